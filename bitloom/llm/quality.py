@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from bitloom.llm.common import cut, free_name, word_chunks
 
-SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_exclaim", "n_enders", "n_bare"]
+SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_exclaim", "n_enders", "n_bare", "n_stutter"]
 _ENDER = re.compile(rb"[.!?][\x20\x09-\x0D]")
 _WINDOW = 8
 #: What the rules' authors claim, and its weight against the counts: how seldom a rule accuses a good document.
@@ -62,12 +62,13 @@ def signals_of(text: str | None) -> tuple[int, ...]:
     if bare:
         none = {k for w, k in known.items() if not re.search(rb"[A-Za-z0-9\x80-\xff]", w)}
         bare = sum(1 for k in ids if k in none)
+    places = np.array(ids, np.int64)
     return (
         len(ids),
         len(text) - blank,
         len(data) - len(data.translate(None, b"#*$%&|<>")),
         len(lines) - len(set(lines)),
-        repeated_words(np.array(ids)),
+        repeated_words(places),
         len(lines),
         len(known),
         upper + sum(map(str.isupper, wide)),
@@ -75,6 +76,7 @@ def signals_of(text: str | None) -> tuple[int, ...]:
         data.count(b"!"),
         len(_ENDER.findall(data + b" ")),
         bare,
+        int((places[1:] == places[:-1]).sum()),
     )
 
 
@@ -119,6 +121,7 @@ def rules(n: dict[str, str]) -> dict[str, Column]:
     fresh = c["n_distinct"] / F.sqrt(words)
     ends = c["n_enders"] / words
     bare = c["n_bare"] / words
+    stutter = c["n_stutter"] / words
     return {
         "symbols": vote(share, share > 0.1, share < 0.02),
         "repeats": vote(repeat, repeat > 0.3, (repeat < 0.05) & (words >= 16)),
@@ -129,6 +132,7 @@ def rules(n: dict[str, str]) -> dict[str, Column]:
         "variety": vote(fresh, fresh < 1.5, (fresh > 2.5) & (words >= 20)),
         "sentences": vote(ends, (ends == 0) & (words >= 60), (ends > 0.01) & (ends < 0.5)),
         "bare_marks": vote(bare, bare > 0.2, bare < 0.05),
+        "stutter": vote(stutter, stutter > 0.2, (stutter < 0.05) & (words >= 10)),
         "length": vote(words, words < 5, words >= 30),
     }
 
@@ -183,7 +187,7 @@ def fit_votes(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds
 def fit(frame: DataFrame, names: dict[str, str]) -> VoteModel:
     """The vote model of all rows of a frame with signals that pass the base; the others need no verdict.
 
-    What reaches the driver is bounded by 3^10 patterns.
+    What reaches the driver is bounded by 3^11 patterns.
     """
     votes = rules(names)
     found = frame.where(~base_failed(names)).select([v.cast("int").alias(f"v{k}") for k, v in enumerate(votes.values())]).groupBy([f"v{k}" for k in range(len(votes))]).count().collect()
