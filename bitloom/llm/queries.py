@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, language, pii, quality, simhash, toxicity
+from bitloom.llm import bpe, chat, language, mixing, pii, quality, sharding, simhash, topk, toxicity
 from bitloom.llm.common import table
 
 
@@ -28,6 +28,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.QUOTING).alias("text"))
+    return chat.digest(chat.format_conversations(turns.unionByName(quoting)))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, as often as they are taken, in (pass, block, draw) order of their source."""
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "pass", "block", "draw")
+
+
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -48,10 +68,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
         "op4_toxicity": op4_toxicity,
+        "op5_exact_topk": op5_exact_topk,
         "op6_bpe": op6_bpe,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_language": op8_language,
+        "op9_mixing": op9_mixing,
+        "op10_hilbert_sharding": op10_hilbert_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_topk": topk.ORACLE, "op7_chat_formatting": chat.ORACLE}
