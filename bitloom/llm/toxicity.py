@@ -25,15 +25,22 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """max_fit, max_examples: labelled rows used, per class, to choose terms and as examples. max_terms: terms kept."""
+    """max_fit, max_examples: labelled rows used, per class, to choose terms and as examples. max_terms: terms kept.
+
+    A term must pass min_chi2, and rows that hold it must have label 1 at min_rate, with a lower confidence bound (Wilson,
+    95 %) of min_bound: chi-squared alone grows with the sample and lets in common words once it is large.
+    """
 
     max_fit: int = 10_000
     max_examples: int = 1_500
     max_terms: int = 512
     min_rows: int = 5
     min_chi2: float = 25.0
+    min_rate: float = 0.85
+    min_bound: float = 0.5
     head: int = 5
     k: int = 15
+    doubt: float = 1.0
     block: int = 64
     threshold: float = 0.7
 
@@ -109,7 +116,10 @@ class Model:
         return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
     def raw(self, terms, counts, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The weighted share of toxic votes, None without a neighbour; the neighbours and their cosines."""
+        """The weighted share of toxic votes, None without a neighbour; the neighbours and their cosines.
+
+        A vote of weight `doubt` for label 0 is always cast, so that far neighbours alone convince nobody.
+        """
         at, w = self.vector(terms, counts)
         if not len(at) or not len(self.toxic):
             return None, at[:0], w[:0]
@@ -117,7 +127,7 @@ class Model:
         if not len(ids):
             return None, ids, sims
         v = sims**2 * self.votes[ids]
-        return float((v * self.toxic[ids]).sum() / v.sum()), ids, sims
+        return float((v * self.toxic[ids]).sum() / (v.sum() + self.params.doubt)), ids, sims
 
     def score(self, terms, counts) -> tuple[float, str]:
         """The probability of label 1, and as evidence the nearest examples as id:label:cosine."""
@@ -159,7 +169,7 @@ def _counted(docs: DataFrame, text: str, known: dict[str, int], head: int, rest:
     return source.mapInArrow(run, schema)
 
 
-def choose_terms(docs: DataFrame, rows: list[tuple], p: Params, id_col: str, text_col: str) -> list[str]:
+def choose_terms(docs: DataFrame, rows: list[tuple], amount: dict[int, int], p: Params, id_col: str, text_col: str) -> list[str]:
     """The terms whose presence goes with label 1 among the sampled rows, by falling chi-squared."""
     n1 = sum(t for _, t in rows)
     n0 = len(rows) - n1
@@ -190,7 +200,10 @@ def choose_terms(docs: DataFrame, rows: list[tuple], p: Params, id_col: str, tex
     n, both = n1 + n0, F.col("c0") + F.col("c1")
     want1, want0 = both * n1 / n, both * n0 / n
     chi2 = (F.col("c1") - want1) ** 2 / want1 + (F.col("c0") - want0) ** 2 / want0
-    kept = total.where((both >= p.min_rows) & (F.col("c1") > want1)).withColumn("chi2", chi2).where(F.col("chi2") >= p.min_chi2)
+    held1, held0 = F.col("c1") * amount[1] / n1, F.col("c0") * amount[0] / n0
+    rate, z2 = held1 / (held1 + held0), 1.96**2
+    low = (rate + z2 / (2 * both) - 1.96 * F.sqrt(rate * (1 - rate) / both + z2 / (4 * both * both))) / (1 + z2 / both)
+    kept = total.where((both >= p.min_rows) & (rate >= p.min_rate) & (low >= p.min_bound)).withColumn("chi2", chi2).where(F.col("chi2") >= p.min_chi2)
     return [r.term for r in kept.orderBy(F.desc("chi2"), "term").limit(p.max_terms).collect()]
 
 
@@ -206,7 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     usable = cut(usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic")))
     amount = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     rows = [tuple(r) for r in _sample(usable, p.max_fit)]
-    terms = choose_terms(docs, rows, p, id_col, text_col)
+    terms = choose_terms(docs, rows, amount, p, id_col, text_col)
     known = {t: k for k, t in enumerate(terms)}
     counted = cut(_counted(docs, text_col, known, p.head, [id_col]))
     n = counted.count()
@@ -252,7 +265,7 @@ def _model(counted: DataFrame, chosen: list[tuple], p: Params, known: dict[str,
     mass = sum(weight[t] for t in source)
     base = sum(weight[t] * t for t in source) / mass if mass else 0.0
     vectors = np.zeros((len(full), max(1, len(known))))
-    model = Model(p, known, idf, full, toxic, np.array([weight[t] for t in toxic]), None, float(base))
+    model = Model(p, known, idf, full, toxic, np.array([weight[t] / weight.get(1, 1.0) for t in toxic]), None, float(base))
     for k, i in enumerate(full):
         at, w = model.vector(found[i][1], found[i][2])
         vectors[k, at] = w
