@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Entries of the word table and of the transition table in a worker; a full table is emptied.
 WORDS, ARCS = 150_000, 400_000
+#: Letters by which the sizes of longer tokens are looked up.
+HEAD = 4
 #: Words of more bytes than this are not kept in the table.
 LONG_WORD = 48
 #: Characters of a text that are encoded at a time, up to the next space.
@@ -62,6 +64,10 @@ class Automaton:
             spelled[x] = spelled[u] + spelled[v]
         self.token = {b: vocab[t] for t, b in spelled.items()}
         self.longest = max(map(len, self.token), default=1)
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        for t in sorted(self.token, key=len):
+            if len(t) >= HEAD:
+                self.sizes[t[:HEAD]] = (len(t), *(n for n in self.sizes.get(t[:HEAD], ()) if n != len(t)))
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, x: int) -> None:
@@ -101,32 +107,35 @@ class Automaton:
                 when, label = b, self.copied_label[label]
 
     def path(self, word: str) -> list[int]:
-        """The labels along the one path that spells word (with its end mark); [] where a symbol is unknown."""
-        token, longest, step, n = self.token, self.longest, self.step, len(word)
+        """The labels along the one path that spells word (with its end mark); [] where a symbol is unknown.
+
+        Longer arcs are tried first. Where none goes on, the last one is taken back and its end is marked, as every
+        beginning of a word is spelled by one path at most; so each place is left once.
+        """
+        token, sizes, arcs, n = self.token, self.sizes, self.arcs, len(word)
         out: list[int] = []
-        ends: list[int] = []
-        at, dead = 0, set()
-        size = min(longest, n)
+        ends = [0]
+        at, dead, limit = 0, set(), n
         while at < n:
-            while size:
-                t = token.get(word[at : at + size])
-                if t is not None and at + size not in dead and (not out or step(out[-1], t)):
-                    break
-                size -= 1
-            if size:
+            state = out[-1] << 32 if out else -1
+            for size in (*sizes.get(word[at : at + HEAD], ()), 3, 2, 1):
+                if size > limit or (t := token.get(word[at : at + size])) is None or at + size in dead or at + size > n:
+                    continue
+                if state >= 0 and not (arcs[k] if (k := state | t) in arcs else self.step(out[-1], t)):
+                    continue
                 out.append(t)
                 at += size
                 ends.append(at)
-                size = min(longest, n - at)
+                limit = n - at
+                break
             else:
                 if not out:
                     return []
                 dead.add(at)
                 out.pop()
                 ends.pop()
-                before = ends[-1] if ends else 0
-                size = at - before - 1
-                at = before
+                limit = at - ends[-1] - 1
+                at = ends[-1]
         return out
 
 

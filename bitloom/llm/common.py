@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,25 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+_held: dict[str, Any] = {}
+
+
+def hold(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives value in a worker. What travels and stays are its bytes; a worker keeps one such value built,
+    as reused workers would otherwise gather the models of all earlier jobs with all that those have cached."""
+    key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(value))
+
+    def take() -> Any:
+        from bitloom.llm import common
+
+        if key not in common._held:
+            common._held.clear()
+            common._held[key] = pickle.loads(sent.value)
+        return common._held[key]
+
+    return take
+
+
 def word_chunks(data: bytes) -> Iterator[list[bytes]]:
     """The words of data, in order, in lists that each come from about CHUNK bytes.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import held_out
+from bitloom.llm.common import held_out, hold
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -41,56 +41,59 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """langs in order; tables of (key -> counts by language) by order, 0 for words; totals by order and language."""
+    """langs in order; tables of (key -> counts by language) by order, 0 for words. A key's row of logs is its score."""
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, list[int]]], params: Params) -> None:
         self.langs, self.params = langs, params
-        self.known: dict[int, dict[str, np.ndarray]] = {}
+        self.at: dict[int, dict[str, int]] = {}
+        logs = [np.zeros((0, len(langs)))]
+        n = 0
         for order, table in tables.items():
-            if not table:
-                self.known[order] = {}
-                continue
-            counts = np.array(list(table.values()), float)
-            total = counts.sum(0) + params.smooth * len(table)
-            self.known[order] = dict(zip(table, np.log((counts + params.smooth) / total)))
-        self.cache: dict[str, np.ndarray] = {}
+            self.at[order] = {key: n + k for k, key in enumerate(table)}
+            n += len(table)
+            counts = np.array(list(table.values()), float).reshape(-1, len(langs))
+            logs.append(np.log((counts + params.smooth) / (counts.sum(0) + params.smooth * max(1, len(table)))))
+        self.logs = np.concatenate(logs)
+        self.cache: dict[str, int] = {}
+        self.cached: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
-        found = self.known[0].get(word)
-        if found is None:
-            for order in ORDERS:
-                table = self.known[order]
-                hits = [table[g] for g in grams(word, order) if g in table]
-                if hits:
-                    found = np.mean(hits, axis=0)
-                    break
-            else:
-                found = np.zeros(len(self.langs))
-        return found
+        row = self.at[0].get(word)
+        if row is not None:
+            return self.logs[row]
+        for order in ORDERS:
+            known = self.at[order]
+            hits = [k for g in grams(word, order) if (k := known.get(g)) is not None]
+            if hits:
+                return self.logs[hits].sum(0) / len(hits)
+        return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
-        total, cache = np.zeros(len(self.langs)), self.cache
-        rows = []
+        if self.cached is None:
+            self.cached = np.zeros((CACHE, len(self.langs)))
+        cache, cached = self.cache, self.cached
+        total, rows = np.zeros(len(self.langs)), []
         for w in words:
-            row = cache.get(w)
-            if row is None:
-                row = self.word(w)
-                if len(w) <= 40:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = row
-            rows.append(row)
-            if len(rows) == 100_000:
-                total += np.add.reduce(rows)
-                rows = []
+            k = cache.get(w)
+            if k is None:
+                if len(w) > 40:
+                    total += self.word(w)
+                    continue
+                if len(cache) >= CACHE:
+                    total += cached[rows].sum(0)
+                    rows = []
+                    cache.clear()
+                k = cache[w] = len(cache)
+                cached[k] = self.word(w)
+            rows.append(k)
         if rows:
-            total += np.add.reduce(rows)
-        best = int(np.argmax(np.round(total, 9)))
+            total += cached[rows].sum(0)
+        total = np.round(total, 9)
         sharp = (total - total.max()) / len(words) * min(len(words), self.params.evidence_words)
-        return self.langs[best], float(1 / np.exp(sharp).sum()) if best == int(np.argmax(total)) else float(1 / len(self.langs))
+        return self.langs[int(np.argmax(total))], float(1 / np.exp(sharp).sum())
 
 
 def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -140,12 +143,12 @@ def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", te
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, lang_pred and score. No letter, a null text or an empty model: und, score 0."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    take = hold(docs.sparkSession, model)
     source = docs.select(id_col, text_col)
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
-        m = held.value
+        m = take()
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "lang_pred", "score"])

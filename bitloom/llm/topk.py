@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut
+from bitloom.llm.common import cut, hold
 
 
 @dataclass(frozen=True)
@@ -166,11 +166,11 @@ def search(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id"
 
 def _block(table: DataFrame, asked: Search, seed_ids: np.ndarray, seeds: np.ndarray, dim: int) -> DataFrame:
     asked.settle(seed_ids, seeds)
-    held = table.sparkSession.sparkContext.broadcast(asked)
+    take = hold(table.sparkSession, asked)
     scale = asked.p.scale
 
     def run(batches):
-        s = held.value
+        s = take()
         best, floor = s.start(), s.floor_score.copy()
         for batch in batches:
             at, rows = integers(batch.column(1), scale, dim)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut, held_out
+from bitloom.llm.common import cut, held_out, hold
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -232,11 +232,11 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
             sizes[t] += 1
             chosen.append((i, t))
     model = _model(counted, chosen, p, known, np.log((n + 1) / (df + 1)), amount, id_col)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    take = hold(docs.sparkSession, model)
     threshold = p.threshold
 
     def run(batches):
-        m = held.value
+        m = take()
         for batch in batches:
             found = [m.score(t, c) if t else (m.base, "") for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             s = [x for x, _ in found]
