@@ -1,15 +1,22 @@
-"""Lineage cuts for loops."""
+"""Lineage cuts for loops, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one is set only where none is named."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if held.isEmpty():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="bitloom-"))
+    return (named or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df materialised in the folder that spark.checkpoint.dir names; a local one is set only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitloom-"))
+    """df materialised in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
