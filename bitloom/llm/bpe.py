@@ -56,12 +56,17 @@ class Automaton:
         self.copied_label: dict[int, int] = {}
         self.born = {vocab[t]: -1 for t in spelled}
         self.gone: dict[tuple[int, int], int] = {}
+        idle: set[str] = set()
         for rank, (u, v) in enumerate(merges):
             x = u + v
-            if u not in spelled or v not in spelled or x not in vocab:
+            if (u not in spelled and u not in idle) or (v not in spelled and v not in idle) or x not in vocab:
                 raise ValueError(f"merge {rank} is not of known symbols")
-            self._gadget(rank, vocab[u], vocab[v], vocab[x])
-            spelled[x] = spelled[u] + spelled[v]
+            # earlier merges may leave no path on which v follows u; then nothing is spelled by x
+            if idle.isdisjoint((u, v)) and self._resolve(vocab[u], vocab[v]):
+                self._gadget(rank, vocab[u], vocab[v], vocab[x])
+                spelled[x] = spelled[u] + spelled[v]
+            else:
+                idle.add(x)
         self.token = {b: vocab[t] for t, b in spelled.items()}
         self.longest = max(map(len, self.token), default=1)
         self.sizes: dict[str, tuple[int, ...]] = {}

@@ -152,16 +152,16 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fingerprint, component_id): of every distinct fingerprint, the smallest id that links lead to.
+    """(fingerprint, component_id, root): of every distinct fingerprint, the smallest id that links lead to, and its class.
 
-    prints: one row a document, with its id and `fingerprint`. Equal fingerprints meet in one row before any join.
+    root tells classes apart where rows of two share an id. prints: one row a document, with its id and `fingerprint`. Equal fingerprints meet in one row before any join.
     """
     own = cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id")))
     found = connected(links(own))
     joined = own.join(found, own.fingerprint == found.node, "left").select("fingerprint", "own_id", F.coalesce("root", "fingerprint").alias("root"))
     smallest = joined.where(F.col("root") != F.col("fingerprint")).unionByName(joined.join(found.select(F.col("root").alias("r")).distinct(), F.col("fingerprint") == F.col("r"), "left_semi"))
     smallest = smallest.groupBy("root").agg(F.min("own_id").alias("component_id"))
-    return joined.join(smallest, "root", "left").select("fingerprint", F.coalesce("component_id", "own_id").alias("component_id"))
+    return joined.join(smallest, "root", "left").select("fingerprint", F.coalesce("component_id", "own_id").alias("component_id"), "root")
 
 
 def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     such rows are kept, and a class of nothing else has a null component_id.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    found = classes(prints, id_col).withColumnRenamed("fingerprint", "f")
+    found = classes(prints, id_col).select(F.col("fingerprint").alias("f"), "component_id")
     return prints.join(found, F.col("fingerprint") == F.col("f")).select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -186,7 +186,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = cut(fingerprints(docs, id_col, text_col))
     found = classes(prints, id_col)
     own = prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id"))
-    first = own.join(found, "fingerprint").groupBy("component_id").agg(F.min_by("fingerprint", F.struct(F.col("own_id").isNull(), "own_id", "fingerprint")).alias("kept"))
+    first = own.join(found, "fingerprint").groupBy("root").agg(F.min_by("fingerprint", F.struct(F.col("own_id").isNull(), "own_id", "fingerprint")).alias("kept"))
     first = first.join(own, F.col("kept") == own.fingerprint).select(F.col("kept").alias("__kept"), F.col("own_id").alias("__own"))
     left = spark_docs.join(first, (F.col(name) == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__own")), "left_semi")
     at = W.partitionBy(name, id_col).orderBy(text_col)
