@@ -35,6 +35,14 @@ class Params:
     evidence_words: int = 12
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case; a number that is no decimal digit, such as a raised 2, is no letter."""
+    words = _WORD.findall(text.lower())
+    if text.isascii():
+        return words
+    return [x for w in words if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
+
+
 def grams(word: str, order: int) -> list[str]:
     marked = f"^{word}$" if order > 1 else word
     return [marked[k : k + order] for k in range(len(marked) - order + 1)]
@@ -51,7 +59,7 @@ class Model:
         for order, table in tables.items():
             self.at[order] = {key: n + k for k, key in enumerate(table)}
             n += len(table)
-            counts = np.array(list(table.values()), float).reshape(-1, len(langs))
+            counts = np.array(list(table.values()), float).reshape(len(table), len(langs))
             logs.append(np.log((counts + params.smooth) / (counts.sum(0) + params.smooth * max(1, len(table)))))
         self.logs = np.concatenate(logs)
         self.cache: dict[str, int] = {}
@@ -69,7 +77,7 @@ class Model:
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.langs:
             return "und", 0.0
         if self.cached is None:
@@ -117,7 +125,7 @@ def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", te
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = at[lang]
-                for w, n in Counter(_WORD.findall(text.lower())).items():
+                for w, n in Counter(words_of(text)).items():
                     seen[0, w, k] += n
                     for order in ORDERS:
                         for g in grams(w, order):
