@@ -16,16 +16,16 @@ RESULT = ["frame int", *[f"p{k} double" for k in range(12)], "t_reloc double", "
 
 
 def read_rows(spark: SparkSession, path: str, columns: list[str], numbered: bool = False) -> DataFrame:
-    """Rows of fields apart by white space. Lines with fewer fields are left out. numbered adds _line, the file's order.
+    """Rows of fields apart by white space. Lines with fewer fields are left out; a field that is no value of its type is null. numbered adds _line, the file's order.
 
     The order is that of the partitions Spark reads, file by file, so it holds within a file.
     """
     lines = spark.read.text(path)
     if numbered:
         lines = lines.select("value", F.monotonically_increasing_id().alias("_line"))
-    parts = lines.withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).where(F.size("_f") >= len(columns))
+    parts = lines.withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).where((F.length(F.trim("value")) > 0) & (F.size("_f") >= len(columns)))
     names = [c.split(" ") for c in columns]
-    return parts.select(*(["_line"] if numbered else []), *[F.col("_f")[k].cast(kind).alias(name) for k, (name, kind) in enumerate(names)])
+    return parts.select(*(["_line"] if numbered else []), *[F.col("_f")[k].try_cast(kind).alias(name) for k, (name, kind) in enumerate(names)])
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
