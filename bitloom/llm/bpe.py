@@ -20,11 +20,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of the word table and of the transition table in a worker; a full table is emptied.
+#: Entries of the word table and of the transition table in a worker. A full transition table is emptied; a full word
+#: table becomes the old one, from which words that are met again are taken over.
 WORDS, ARCS = 150_000, 400_000
 #: Letters by which the sizes of longer tokens are looked up.
 HEAD = 4
-#: Words of more bytes than this are not kept in the table.
+SHORT = tuple(range(HEAD - 1, 0, -1))
+#: Words of more letters than this are not kept in the table.
 LONG_WORD = 48
 #: Characters of a text that are encoded at a time, up to the next space.
 PIECE = 1 << 20
@@ -72,7 +74,8 @@ class Automaton:
         self.sizes: dict[str, tuple[int, ...]] = {}
         for t in sorted(self.token, key=len):
             if len(t) >= HEAD:
-                self.sizes[t[:HEAD]] = (len(t), *(n for n in self.sizes.get(t[:HEAD], ()) if n != len(t)))
+                known = self.sizes.get(t[:HEAD], SHORT)
+                self.sizes[t[:HEAD]] = known if known[0] == len(t) else (len(t), *known)
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, x: int) -> None:
@@ -114,25 +117,43 @@ class Automaton:
     def path(self, word: str) -> list[int]:
         """The labels along the one path that spells word (with its end mark); [] where a symbol is unknown.
 
-        Longer arcs are tried first. Where none goes on, the last one is taken back and its end is marked, as every
-        beginning of a word is spelled by one path at most; so each place is left once.
+        The longest arc is taken at each place; the few words on which that leads nowhere are walked with way back.
         """
-        token, sizes, arcs, n = self.token, self.sizes, self.arcs, len(word)
+        token, sizes, arcs, n = self.token.get, self.sizes.get, self.arcs.get, len(word)
         out: list[int] = []
-        ends = [0]
-        at, dead, limit = 0, set(), n
+        at, last = 0, -1
         while at < n:
-            state = out[-1] << 32 if out else -1
-            for size in (*sizes.get(word[at : at + HEAD], ()), 3, 2, 1):
-                if size > limit or (t := token.get(word[at : at + size])) is None or at + size in dead or at + size > n:
+            for size in sizes(word[at : at + HEAD], SHORT):
+                t = token(word[at : at + size])
+                if t is None or at + size > n:
                     continue
-                if state >= 0 and not (arcs[k] if (k := state | t) in arcs else self.step(out[-1], t)):
-                    continue
-                out.append(t)
-                at += size
-                ends.append(at)
-                limit = n - at
+                if last >= 0:
+                    goes = arcs(last << 32 | t)
+                    if not (self.step(last, t) if goes is None else goes):
+                        continue
                 break
+            else:
+                return self._path_back(word)
+            out.append(t)
+            at += size
+            last = t
+        return out
+
+    def _path_back(self, word: str) -> list[int]:
+        """path() by depth-first search. A place that is left is never entered again, as every beginning of a word is
+        spelled by one path at most."""
+        n = len(word)
+        out: list[int] = []
+        ends, dead, limit = [0], set(), n
+        while (at := ends[-1]) < n:
+            for size in self.sizes.get(word[at : at + HEAD], SHORT):
+                if size > limit or at + size in dead or (t := self.token.get(word[at : at + size])) is None:
+                    continue
+                if not out or self.step(out[-1], t):
+                    out.append(t)
+                    ends.append(at + size)
+                    limit = n - at - size
+                    break
             else:
                 if not out:
                     return []
@@ -140,7 +161,6 @@ class Automaton:
                 out.pop()
                 ends.pop()
                 limit = at - ends[-1] - 1
-                at = ends[-1]
         return out
 
 
@@ -165,6 +185,7 @@ class Encoder:
         self.library.no_truncation()
         self.back = {c: b for c, b in _byte_letters().items()}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.old_words: dict[str, tuple[int, str, str]] = {}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         letters = "a-zªµºß-öø-ÿĀ-ɏ"
         digits = "0-9²³¹¼-¾"
@@ -182,13 +203,15 @@ class Encoder:
 
     def word(self, word: str) -> tuple[int, str, str]:
         """(number of tokens, ids, labels) of a word, the last two joined by spaces."""
-        data = word if word.isascii() else word.encode("utf-8", "surrogateescape").decode("latin-1")
-        ids = self.automaton.path(data + _END if self.suffix else data)
-        labels = self.automaton.labels
-        entry = (len(ids), " ".join(map(str, ids)), " ".join(labels[i] for i in ids))
-        if len(data) <= LONG_WORD:
+        entry = self.old_words.get(word)
+        if entry is None:
+            data = word if word.isascii() else word.encode("utf-8", "surrogateescape").decode("latin-1")
+            ids = self.automaton.path(data + _END if self.suffix else data)
+            labels = self.automaton.labels
+            entry = (len(ids), " ".join(map(str, ids)), " ".join([labels[i] for i in ids]))
+        if len(word) <= LONG_WORD:
             if len(self.words) >= WORDS:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
             self.words[word] = entry
         return entry
 
@@ -203,8 +226,7 @@ class Encoder:
             while at < len(part):
                 stop = len(part) if at + PIECE >= len(part) else part.find(" ", at + PIECE)
                 stop = len(part) if stop < 0 else stop
-                words, known = self.words_of(part[at:stop]), self.words
-                yield [e for w in words if (e := known.get(w) or self.word(w))[0]]
+                yield [e for w in self.words_of(part[at:stop]) if (e := self.words.get(w) or self.word(w))[0]]
                 at = stop
 
     def encode(self, text: str) -> list[int]:
