@@ -142,7 +142,7 @@ _UNIT = re.compile(rf"(?i)(?<!\w){_NAME}(?!\w)|[0-9]+")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[\x20\t]{1,3}(?=[0-9])|(?<=\+)[\x20\t]{1,3}(?=[0-9])")
 _DOT_WORD = r"(?:dot|punkt|punto|point)"
 _SPELLED_DOT = re.compile(rf"(?i)(?<=[0-9])[\x20\t]{{0,3}}[\[({{<_-]?[\x20\t]{{0,3}}(?:{_DOT_WORD}|\.)[\x20\t]{{0,3}}[\])}}>_-]?[\x20\t]{{0,3}}(?=[0-9])")
-_LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OolI](?=[0-9])")
+_LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI]{1,4}(?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OolI]{1,4}(?=[0-9])")
 
 
 def _spelled(t: Tape) -> Tape:
@@ -172,13 +172,14 @@ def _spelled(t: Tape) -> Tape:
 
     t = t.rewrite(pieces())
     t = t.rewrite((m.start(), m.end(), "+" if "l" in m[0].lower() else "") for m in _PLUS.finditer(t.text))
-    return t.rewrite((m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LETTER_DIGIT.finditer(t.text))
+    return t.rewrite((m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for m in _LETTER_DIGIT.finditer(t.text) for k, c in enumerate(m[0]))
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_MARK = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]{{0,3}}(?:{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@)[\x20\t]{{0,3}}{_CLOSE}|[_-]at[_-])[\x20\t]{{0,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]{{1,3}}@[\x20\t]{{0,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[\x20\t]{{1,3}}(?=[A-Za-z0-9])")
 _DOT_MARK = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]{{0,3}}(?:{_OPEN}[\x20\t]{{0,3}}(?:{_DOT_WORD}|\.)[\x20\t]{{0,3}}{_CLOSE}|[_-]{_DOT_WORD}[_-])[\x20\t]{{0,3}}(?=[A-Za-z0-9])")
 _DOTTED = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20\t]{{1,3}}(?:{_DOT_WORD}|\.)[\x20\t]{{1,3}}(?=[A-Za-z0-9])")
+_ENTITY = re.compile(r"(?i)(?P<at>&(?:#64|#x40|commat);|%40)|&(?:#46|#x2e|period);|%2e")
 _WS = r"[\x20\t]{1,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_WS}{_DOT_WORD}{_WS}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?P<at>{_WS}(?:at|arroba){_WS}|@){_LABEL}(?:\.{_LABEL}){{0,8}}(?:{_WS}(?:{_DOT_WORD}|\.){_WS}{_LABEL}){{1,8}}")
@@ -187,6 +188,7 @@ _HALF_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]{{0,64}}[0-9
 
 def _at_dot(t: Tape) -> Tape:
     """Bracketed, spaced and spoken signs become @ and a full stop; bare words only where an address is around them."""
+    t = t.rewrite((m.start(), m.end(), "@" if m["at"] else ".") for m in _ENTITY.finditer(t.text))
     t = t.rewrite((m.start(), m.end(), ".") for m in _DOT_MARK.finditer(t.text))
     t = t.rewrite((m.start(), m.end(), "@") for m in _AT_MARK.finditer(t.text))
 
@@ -203,7 +205,7 @@ def _at_dot(t: Tape) -> Tape:
 TRANSDUCERS: tuple[Callable[[Tape], Tape], ...] = (_homoglyphs, _spelled, _at_dot)
 #: A text that this finds nothing in passes the transducers unchanged where it matters.
 _TRIGGER = re.compile(
-    rf"(?i)[^\x00-\x7fÀ-ɏ]|\xa0|\xad|\xb7|(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])|[0-9][\x20-]{_NAME}(?!\w)|{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}|[_-](?:at|{_DOT_WORD})[_-]|[\x20\t]@|@[\x20\t]|(?<!\w){_DOT_WORD}(?!\w)|[\x20\t]\.[\x20\t]|[0-9][\x20-]?[ol][\x20-]?[0-9]|[0-9][\x20-]?I[\x20-]?[0-9]|[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.|(?<!\w)plus[\x20\t]|\+[\x20\t]"
+    rf"(?i)[^\x00-\x7fÀ-ɏ]|\xa0|\xad|\xb7|(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])|[0-9][\x20-]{_NAME}(?!\w)|{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}|[_-](?:at|{_DOT_WORD})[_-]|[\x20\t]@|@[\x20\t]|(?<!\w){_DOT_WORD}(?!\w)|[\x20\t]\.[\x20\t]|[0-9][\x20-]?[oli]{{1,4}}[\x20-]?[0-9]|&#|&commat;|&period;|%40|%2e|[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.|(?<!\w)plus[\x20\t]|\+[\x20\t]"
 )
 
 

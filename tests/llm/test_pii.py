@@ -56,6 +56,10 @@ DISGUISED = [
     ("card", "card [four one one one one one one one one one one one one one one one] ok"),
     ("card", "[4111​1111​1111​1111]"),
     ("card", "[4111 1111 1111 l111]"),
+    ("card", "[4Il1 1111 1111 IIl1]"),
+    ("email", "[john_at_example_dot_com]"),
+    ("email", "[john&#64;example&#46;com]"),
+    ("email", "[john AT example DOT com]"),
     ("phone", "[+eins zwei drei vier fünf sechs sieben acht neun null]"),
 ]
 
