@@ -203,10 +203,34 @@ def _at_dot(t: Tape) -> Tape:
 
 
 TRANSDUCERS: tuple[Callable[[Tape], Tape], ...] = (_homoglyphs, _spelled, _at_dot)
-#: A text that this finds nothing in passes the transducers unchanged where it matters.
-_TRIGGER = re.compile(
-    rf"(?i)[^\x00-\x7fÀ-ɏ]|\xa0|\xad|\xb7|(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])|[0-9][\x20-]{_NAME}(?!\w)|{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}|[_-](?:at|{_DOT_WORD})[_-]|[\x20\t]@|@[\x20\t]|(?<!\w){_DOT_WORD}(?!\w)|[\x20\t]\.[\x20\t]|[0-9][\x20-]?[oli]{{1,4}}[\x20-]?[0-9]|&#|&commat;|&period;|%40|%2e|[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.|(?<!\w)plus[\x20\t]|\+[\x20\t]"
-)
+# What a text must hold for the transducers to change it where it matters; searched in lower case, apart, as one
+# alternation would try all of them at every character.
+_ODD = re.compile(r"[^\x00-\x9f¡-¬®-¶¸-ɏ]")
+_HINTS = [
+    re.compile(p)
+    for p in (
+        rf"(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])",
+        rf"[0-9][\x20-]{_NAME}(?!\w)",
+        rf"{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}",
+        rf"[_-](?:at|{_DOT_WORD})[_-]",
+        r"[0-9][\x20-]?[oli]{1,4}[\x20-]?[0-9]",
+        rf"[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.[a-z0-9-]",
+        r"[\x20\t]\.[\x20\t]",
+    )
+]
+_HINTS_WITH = [
+    (("@",), re.compile(r"[\x20\t]@|@[\x20\t]")),
+    (("dot", "punkt", "punto", "point"), re.compile(rf"(?<!\w){_DOT_WORD}(?!\w)")),
+    (("plus", "+"), re.compile(r"(?<!\w)plus[\x20\t]|\+[\x20\t]")),
+    (("&", "%"), re.compile(r"&#|&commat;|&period;|%40|%2e")),
+]
+
+
+def suspicious(text: str) -> bool:
+    if not text.isascii() and _ODD.search(text):
+        return True
+    low = text.lower()
+    return any(p.search(low) for p in _HINTS) or any(any(m in low for m in marks) and p.search(low) for marks, p in _HINTS_WITH)
 
 
 def normalise(text: str) -> Tape:
@@ -223,7 +247,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     A found span that meets a base span is dropped, as the base covers it. Each is (start, index of the kind, end).
     """
     base = identifiers(text)
-    if not _TRIGGER.search(text):
+    if not suspicious(text):
         return base, base
     t = normalise(text)
     if t.text == text:
