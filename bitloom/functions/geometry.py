@@ -175,3 +175,13 @@ def zero_mean_squared_apart(a: Column, b: Column) -> Column:
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     gap = total(a) - total(b)
     return squared_apart(a, b) - gap * gap / F.size(a)
+
+
+def pixel_vectors(camera: FieldOfViewCamera, u: Column, v: Column, depth: Column, step: Column) -> tuple[list[Column], list[Column]]:
+    """How a point at this depth moves, in camera coordinates, for `step` pixels to the right and down."""
+    x0, y0 = camera.unproject(u, v)
+    out = []
+    for du, dv in ((1.0, 0.0), (0.0, 1.0)):
+        x, y = camera.unproject(u + step * du, v + step * dv)
+        out.append([(x - x0) * depth, (y - y0) * depth, F.lit(0.0)])
+    return out[0], out[1]

@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _loaded() -> dict[str, Query]:
-    from bitloom.plans import frames, graphs, kernels, pixels, searches  # noqa: F401
+    from bitloom.plans import files, frames, graphs, kernels, pixels, searches  # noqa: F401
 
     return _queries
 

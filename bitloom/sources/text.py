@@ -16,13 +16,15 @@ RESULT = ["frame int", *[f"p{k} double" for k in range(12)], "t_reloc double", "
 
 
 def read_rows(spark: SparkSession, path: str, columns: list[str], numbered: bool = False) -> DataFrame:
-    """Rows of fields apart by white space. Lines with fewer fields are left out; a field that is no value of its type is null. numbered adds _line, the file's order.
+    """Rows of fields apart by white space; lines with fewer fields are left out, and a field that is no value of its type is null.
 
-    The order is that of the partitions Spark reads, file by file, so it holds within a file.
+    numbered adds _line, by which rows order as in the files: (file, block, number within what a task read of it). Files
+    order by their names.
     """
     lines = spark.read.text(path)
     if numbered:
-        lines = lines.select("value", F.monotonically_increasing_id().alias("_line"))
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+        lines = lines.select("value", at.alias("_line"))
     parts = lines.withColumn("_f", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).where((F.length(F.trim("value")) > 0) & (F.size("_f") >= len(columns)))
     names = [c.split(" ") for c in columns]
     return parts.select(*(["_line"] if numbered else []), *[F.col("_f")[k].try_cast(kind).alias(name) for k, (name, kind) in enumerate(names)])
@@ -34,17 +36,15 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Observations by point, oldest first, with run: a new one wherever the id changes from line to line, from 0."""
-    rows = read_rows(spark, path, HISTORY, numbered=True)
-    part = F.shiftright("_line", 33)
+    rows = read_rows(spark, path, HISTORY, numbered=True).withColumn("_part", F.struct("_line.file", "_line.block"))
     w = W.partitionBy("_part").orderBy("_line")
-    rows = rows.withColumn("_part", part)
     new = rows.withColumn("_new", (F.lag("point_id").over(w).isNull() | (F.lag("point_id").over(w) != F.col("point_id"))).cast("int"))
     ends = new.groupBy("_part").agg(F.max_by("point_id", "_line").alias("_last"), F.min_by("point_id", "_line").alias("_first"), F.sum("_new").alias("_n"))
     over = W.orderBy("_part")
-    # one row per part of the file: a run may go on from the part before
+    # one row per block of a file: a run may go on from the block before
     ends = ends.withColumn("_joined", F.coalesce((F.lag("_last").over(over) == F.col("_first")).cast("int"), F.lit(0)))
     ends = ends.withColumn("_before", F.sum(F.col("_n") - F.col("_joined")).over(over.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
-    return new.join(F.broadcast(ends.select("_part", "_before")), "_part").withColumn("run", (F.sum("_new").over(w) - 1 + F.col("_before")).cast("long")).drop("_part", "_new", "_before")
+    return new.join(ends.select("_part", "_before"), "_part").withColumn("run", (F.sum("_new").over(w) - 1 + F.col("_before")).cast("long")).drop("_part", "_new", "_before")
 
 
 def points_of(history: DataFrame) -> DataFrame:
@@ -113,3 +113,14 @@ def load_or_build(spark: SparkSession, path: str, build) -> tuple[DataFrame, dic
 def descriptors_of(images: DataFrame, wanted: DataFrame, image_col: str = "image_id") -> DataFrame:
     """Descriptors of the listed images."""
     return images.join(wanted.select(image_col), image_col, "left_semi")
+
+
+def save_map(points: DataFrame, poses: DataFrame, path: str) -> None:
+    """A map as two tables: points (x, y, z) and poses (seq and twelve numbers)."""
+    write_rows(points, f"{path}/points", ["x", "y", "z"])
+    write_rows(poses, f"{path}/poses", [c.split(" ")[0] for c in KEYFRAME_POSE])
+
+
+def collect_runs(results: DataFrame, path: str, run_cols: list[str]) -> None:
+    """Results of several runs under one folder, a subfolder for each run's settings."""
+    results.write.mode("append").partitionBy(*run_cols).parquet(path)

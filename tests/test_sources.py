@@ -28,7 +28,7 @@ def test_runs_go_on_across_parts_of_a_file(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
     try:
         back = text.read_history(spark, str(tmp_path / "big.txt"))
-        assert back.select(F.shiftright("_line", 33)).distinct().count() > 1
+        assert back.select("_line.block").distinct().count() > 1
         rows = back.orderBy("_line").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
