@@ -210,8 +210,8 @@ def choose_terms(docs: DataFrame, rows: list[tuple], amount: dict[int, int], p:
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, score, predicted and evidence.
 
-    labels: doc_id and toxic; rows with another toxic than 0 or 1 or with a null id are not used, and where an id has
-    several the first by value counts. Null and empty texts, and those without a chosen term, get the rate of label 1 among
+    labels: doc_id and toxic; rows with another toxic than 0 or 1 or with a null id are not used, and of several of one id
+    the smallest counts. Null and empty texts, and those without a chosen term, get the rate of label 1 among
     examples without one. Without usable labels of both classes every score is the rate of label 1 (0 without any).
     """
     p = params
