@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 #: Entries of the word table and of the transition table in a worker. A full transition table is emptied; a full word
 #: table becomes the old one, from which words that are met again are taken over.
-WORDS, ARCS = 150_000, 400_000
+WORDS, ARCS = 100_000, 400_000
 #: Letters by which the sizes of longer tokens are looked up.
 HEAD = 4
 SHORT = tuple(range(HEAD - 1, 0, -1))
