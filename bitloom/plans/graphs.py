@@ -55,9 +55,9 @@ def dense_point_ids(spark, sf_dir):
     return graph.dense_ids(_edges(spark, sf_dir), "point", "dense")
 
 
-@query("J36 P9", "WITH x AS (SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey DESC LIMIT 20) SELECT x.frame, p.p_partkey AS point FROM x, part p WHERE (x.frame, p.p_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem) AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = x.frame)")
+@query("J36 P9", "WITH x AS (SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey DESC LIMIT 1) SELECT x.frame, p.p_partkey AS point FROM x, part p WHERE (x.frame, p.p_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem) AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = x.frame)")
 def edges_not_seen(spark, sf_dir):
-    newest = _frames(spark, sf_dir).orderBy(F.desc("seq")).limit(20)
+    newest = _frames(spark, sf_dir).orderBy(F.desc("seq")).limit(1)
     never = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("point"))
     return graph.unseen(newest, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point")), _edges(spark, sf_dir), never)
 
@@ -70,11 +70,11 @@ def outlier_points(spark, sf_dir):
 _COUNTS = "c AS (SELECT l_partkey AS point, count(*) FILTER (l_returnflag = 'R') AS n_out, count(*) FILTER (l_returnflag = 'A') AS n_in FROM lineitem GROUP BY l_partkey)"
 
 
-@query("P8 P9", f"WITH {_COUNTS} SELECT e.frame, e.point FROM (SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem) e WHERE point NOT IN (SELECT point FROM c WHERE n_out > 8 AND n_out > n_in) AND frame % 100 = 0")
+@query("P8 P9", f"WITH {_COUNTS} SELECT e.frame, e.point FROM (SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem) e WHERE point NOT IN (SELECT point FROM c WHERE n_out > 8 AND n_out > n_in)")
 def edges_without_bad_points(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     counts = li.groupBy(F.col("l_partkey").alias("point")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n_out"), F.count_if(F.col("l_returnflag") == "A").alias("n_in"))
-    return graph.without_points(_edges(spark, sf_dir).where("frame % 100 = 0"), graph.bad_points(counts, 8))
+    return graph.without_points(_edges(spark, sf_dir), graph.bad_points(counts, 8))
 
 
 @query("J37", "SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem f WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = f.l_orderkey AND s.l_partkey = f.l_partkey AND s.l_returnflag <> 'N')")
@@ -83,9 +83,9 @@ def retry_queue(spark, sf_dir):
     return graph.retry_queue(e.where("l_returnflag = 'N'"), e.where("l_returnflag != 'N'"))
 
 
-@query("A18", f"WITH {_EDGES} SELECT a.frame AS j, b.frame AS k, count(*) AS n FROM e a JOIN e b ON a.point = b.point AND a.frame < b.frame WHERE a.point < 100 GROUP BY ALL")
+@query("A18", f"WITH {_EDGES} SELECT a.frame AS j, b.frame AS k, count(*) AS n FROM e a JOIN e b ON a.point = b.point AND a.frame < b.frame GROUP BY ALL")
 def covisible_frames(spark, sf_dir):
-    return graph.covisible(_edges(spark, sf_dir).where("point < 100")).groupBy("j", "k").agg(F.count("*").alias("n"))
+    return graph.covisible(_edges(spark, sf_dir)).groupBy("j", "k").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- positions
@@ -100,10 +100,10 @@ _PLACES = "pl AS (SELECT c_custkey AS id, (floor(c_acctbal) % 1000)::DOUBLE AS x
 _APART = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
-@query("J26 W4 F8", f"WITH {_PLACES}, p AS (SELECT a.id, b.id AS other, {_APART} AS d FROM pl a JOIN pl b ON a.id <> b.id WHERE a.id <= 50) SELECT id, other, round(d, 6) AS d, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM p) WHERE r <= 4")
+@query("J26 W4 F8", f"WITH {_PLACES}, p AS (SELECT a.id, b.id AS other, {_APART} AS d FROM pl a JOIN pl b ON a.id <> b.id WHERE a.id % 100 = 0) SELECT id, other, round(d, 6) AS d, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM p) WHERE r <= 4")
 def nearest_frames(spark, sf_dir):
     pl = _places(spark, sf_dir)
-    return spatial.nearest(pl.where("id <= 50"), pl, 4, "id").select("id", "other", F.round("d", 6).alias("d"), "rank")
+    return spatial.nearest(pl.where("id % 100 = 0"), pl, 4, "id").select("id", "other", F.round("d", 6).alias("d"), "rank")
 
 
 @query("J22", f"WITH {_PLACES} SELECT a.id FROM pl a WHERE a.nation <> 0 AND EXISTS (SELECT 1 FROM pl b WHERE b.nation = 0 AND {_APART} <= 15)")
@@ -118,10 +118,10 @@ def radius_anti(spark, sf_dir):
     return spatial.near_anti(pl.where("nation != 0"), pl.where("nation = 0"), 15.0, "id", "id").select("id")
 
 
-@query("J31 J32", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id, round({_APART}, 6) AS d FROM pl a JOIN pl b ON a.segment = 'BUILDING' AND b.segment = 'MACHINERY' AND {_APART} <= 10")
+@query("J31 J32", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id, round({_APART}, 6) AS d FROM pl a JOIN pl b ON a.segment = 'BUILDING' AND b.segment <> 'BUILDING' AND {_APART} <= 10")
 def radius_join(spark, sf_dir):
     pl = _places(spark, sf_dir)
-    return spatial.within(pl.where("segment = 'BUILDING'"), pl.where("segment = 'MACHINERY'"), 10.0, "id", "id").select("l_id", "r_id", F.round("d", 6).alias("d"))
+    return spatial.within(pl.where("segment = 'BUILDING'"), pl.where("segment != 'BUILDING'"), 10.0, "id", "id").select("l_id", "r_id", F.round("d", 6).alias("d"))
 
 
 @query("J23 F7", f"WITH {_PLACES}, m AS (SELECT nation, avg(x) AS mx, avg(y) AS my FROM pl GROUP BY nation) SELECT nation, round(sqrt((mx - 500)**2 + (my - 500)**2), 6) AS d, sqrt((mx - 500)**2 + (my - 500)**2) <= 50 AS inside FROM m")
@@ -129,10 +129,10 @@ def area_mean_flag(spark, sf_dir):
     return retrieval.in_area(_places(spark, sf_dir), "nation", "x", "y", (500.0, 500.0), 50.0).select("nation", F.round("d", 6).alias("d"), "inside")
 
 
-@query("J24 J25 F7", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id FROM pl a JOIN pl b ON {_APART} <= 20 AND CASE WHEN abs(a.angle - b.angle) % 360 > 180 THEN 360 - abs(a.angle - b.angle) % 360 ELSE abs(a.angle - b.angle) % 360 END <= 15 WHERE a.id <= 200")
+@query("J24 J25 F7", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id FROM pl a JOIN pl b ON {_APART} <= 20 AND CASE WHEN abs(a.angle - b.angle) % 360 > 180 THEN 360 - abs(a.angle - b.angle) % 360 ELSE abs(a.angle - b.angle) % 360 END <= 15 WHERE a.id % 100 = 0")
 def angle_window_join(spark, sf_dir):
     pl = _places(spark, sf_dir)
-    return retrieval.surrounding(pl, pl.where("id <= 200"), 20.0, 15.0, "id").select("l_id", "r_id")
+    return retrieval.surrounding(pl, pl.where("id % 100 = 0"), 20.0, 15.0, "id").select("l_id", "r_id")
 
 
 @query("J39", f"WITH {_PLACES}, p AS (SELECT a.id, b.id AS other, {_APART} AS d FROM pl a JOIN pl b ON a.id <> b.id AND {_APART} BETWEEN 10 AND 60 WHERE (b.x - a.x) / {_APART} >= cos(radians(10))) SELECT id, other, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) r FROM p) WHERE r = 1")
@@ -147,19 +147,19 @@ def grid_links(spark, sf_dir):
     return spatial.grid_links(c, "id")
 
 
-@query("W13", "WITH g AS (SELECT c_custkey AS id, c_custkey % 40 AS gx, c_custkey // 40 AS gy FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT a.id, count(b.id) AS held FROM g a LEFT JOIN g b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 GROUP BY a.id) SELECT id, CASE held WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 10 WHEN 3 THEN 20 ELSE 100 END AS potential FROM n ORDER BY potential DESC, id LIMIT 1")
+@query("W13", "WITH g AS (SELECT c_custkey AS id, c_custkey % 40 AS gx, c_custkey // 40 AS gy FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT a.id, count(b.id) AS held FROM g a LEFT JOIN g b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1 GROUP BY a.id) SELECT id, CASE held WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 10 WHEN 3 THEN 20 ELSE 100 END AS potential FROM n ORDER BY potential DESC, id LIMIT 1")
 def next_to_expand(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40).alias("gx"), F.floor(F.col("c_custkey") / 40).alias("gy"))
+    c = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40).alias("gx"), F.floor(F.col("c_custkey") / 40).alias("gy"))
     held = spatial.grid_links(c, "id").groupBy("id").count()
     n = F.coalesce(F.col("count"), F.lit(0))
     potential = F.when(n == 0, 0).when(n == 1, 1).when(n == 2, 10).when(n == 3, 20).otherwise(100)
     return c.join(held, "id", "left").select("id", potential.alias("potential")).orderBy(F.desc("potential"), "id").limit(1)
 
 
-@query("P2 P3 P4 F10 F12", "WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / 20 AS x, (l_discount - 0.05) * 20 AS y, l_tax * 50 AS z FROM lineitem WHERE l_orderkey < 2000), q AS (SELECT *, CASE WHEN sqrt(x*x/(z*z) + y*y/(z*z)) < 0.001 THEN 1.0 ELSE atan(sqrt(x*x/(z*z) + y*y/(z*z)) * 2 * tan(0.05)) / (sqrt(x*x/(z*z) + y*y/(z*z)) * 0.1) END AS k FROM p WHERE z >= 0.001) SELECT l_orderkey, l_linenumber, round(x / z * k * 320 + 319.5, 4) AS u, round(y / z * k * 360 + 239.5, 4) AS v FROM q WHERE x / z * k * 320 + 319.5 BETWEEN 0 AND 639 AND y / z * k * 360 + 239.5 BETWEEN 0 AND 479")
+@query("P2 P3 P4 F10 F12", "WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / 20 AS x, (l_discount - 0.05) * 20 AS y, l_tax * 50 AS z FROM lineitem), q AS (SELECT *, CASE WHEN sqrt(x*x/(z*z) + y*y/(z*z)) < 0.001 THEN 1.0 ELSE atan(sqrt(x*x/(z*z) + y*y/(z*z)) * 2 * tan(0.05)) / (sqrt(x*x/(z*z) + y*y/(z*z)) * 0.1) END AS k FROM p WHERE z >= 0.001) SELECT l_orderkey, l_linenumber, round(x / z * k * 320 + 319.5, 4) AS u, round(y / z * k * 360 + 239.5, 4) AS v FROM q WHERE x / z * k * 320 + 319.5 BETWEEN 0 AND 639 AND y / z * k * 360 + 239.5 BETWEEN 0 AND 479")
 def visible_points(spark, sf_dir):
     camera = geometry.FieldOfViewCamera()
-    p = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 20).alias("x"), ((F.col("l_discount") - 0.05) * 20).alias("y"), (F.col("l_tax") * 50).alias("z"))
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 20).alias("x"), ((F.col("l_discount") - 0.05) * 20).alias("y"), (F.col("l_tax") * 50).alias("z"))
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     u, v, _ = camera.project(x / z, y / z)
     return p.where(camera.visible(x, y, z)).select("l_orderkey", "l_linenumber", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
@@ -259,11 +259,11 @@ def candidate_keypoints(spark, sf_dir):
     return o.select("o_orderkey", (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("class_id"))
 
 
-_BAND = "g AS (SELECT s_suppkey AS segment, (s_suppkey * 53 % 1000)::DOUBLE AS ax, (s_suppkey * 17 % 1000)::DOUBLE AS ay, (s_suppkey * 91 % 1000)::DOUBLE AS bx, (s_suppkey * 29 % 1000)::DOUBLE AS by2 FROM supplier WHERE s_suppkey <= 20), u AS (SELECT *, sqrt((bx - ax)**2 + (by2 - ay)**2) AS l FROM g), w AS (SELECT *, (bx - ax) / l AS ux, (by2 - ay) / l AS uy FROM u WHERE l > 0)"
+_BAND = "g AS (SELECT s_suppkey AS segment, (s_suppkey * 53 % 1000)::DOUBLE AS ax, (s_suppkey * 17 % 1000)::DOUBLE AS ay, (s_suppkey * 91 % 1000)::DOUBLE AS bx, (s_suppkey * 29 % 1000)::DOUBLE AS by2 FROM supplier WHERE s_suppkey % 100 = 0), u AS (SELECT *, sqrt((bx - ax)**2 + (by2 - ay)**2) AS l FROM g), w AS (SELECT *, (bx - ax) / l AS ux, (by2 - ay) / l AS uy FROM u WHERE l > 0)"
 
 
-@query("J31", f"WITH {_PLACES}, {_BAND} SELECT w.segment, pl.id AS point, round(abs((pl.y - ay) * ux - (pl.x - ax) * uy), 6) AS across FROM pl JOIN w ON abs((pl.y - ay) * ux - (pl.x - ax) * uy) <= 3 AND (pl.x - ax) * ux + (pl.y - ay) * uy BETWEEN -3 AND l + 3")
+@query("J31", f"WITH {_PLACES}, {_BAND} SELECT w.segment, pl.id AS point, round(abs((pl.y - ay) * ux - (pl.x - ax) * uy), 6) AS across FROM pl JOIN w ON abs((pl.y - ay) * ux - (pl.x - ax) * uy) <= 15 AND (pl.x - ax) * ux + (pl.y - ay) * uy BETWEEN -15 AND l + 15")
 def epipolar_band(spark, sf_dir):
     k = F.col("s_suppkey")
-    segments = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(k.alias("segment"), *[(k * m % 1000).cast("double").alias(c) for c, m in (("ax", 53), ("ay", 17), ("bx", 91), ("by", 29))])
-    return spatial.in_band(segments, _places(spark, sf_dir), 3.0, "segment", "id").select("segment", "point", F.round("across", 6).alias("across"))
+    segments = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(k.alias("segment"), *[(k * m % 1000).cast("double").alias(c) for c, m in (("ax", 53), ("ay", 17), ("bx", 91), ("by", 29))])
+    return spatial.in_band(segments, _places(spark, sf_dir), 15.0, "segment", "id").select("segment", "point", F.round("across", 6).alias("across"))

@@ -10,21 +10,18 @@ from pyspark.sql import functions as F
 from bitloom.operators import pose
 from bitloom.plans.registry import query, table
 
-TRUTH = np.array([0.1, 0.1, 1.0, 0.0, 0.0, 0.9])
 
-
-def scene(spark, sf_dir, frames: int = 5) -> DataFrame:
-    """(frame, x, y, z, u, v, d): points made from parts, seen by frames that turn; a fifth of the pixels are wrong."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").where("p_partkey <= 150")
-    rows = parts.join(F.broadcast(spark.range(frames).withColumnRenamed("id", "frame")))
-    rows = rows.select(
-        "frame",
-        ((F.col("p_partkey") * 37 % 101) / 50.0 - 1).alias("x"),
-        ((F.col("p_partkey") * 53 % 103) / 51.0 - 1).alias("y"),
+def scene(spark, sf_dir) -> DataFrame:
+    """(frame, x, y, z, u, v, d): points made from parts, 200 a frame; frames turn, and a fifth of the pixels are wrong."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.floor(k / 200).alias("frame"),
+        ((k * 37 % 101) / 50.0 - 1).alias("x"),
+        ((k * 53 % 103) / 51.0 - 1).alias("y"),
         (F.col("p_size") % 17 / 8.0 + 3).alias("z"),
-        (F.col("p_partkey") % 5 == 0).alias("wrong"),
+        (k % 5 == 0).alias("wrong"),
     )
-    angle = F.col("frame") * 0.02 + 0.3
+    angle = F.col("frame") % 50 * 0.02 + 0.3
     cx = F.cos(angle) * F.col("x") - F.sin(angle) * F.col("y") + 0.1
     cy = F.sin(angle) * F.col("x") + F.cos(angle) * F.col("y") - 0.2
     cz = F.col("z") + 1
@@ -49,9 +46,9 @@ def pose_refined_only(spark, sf_dir):
 
 @query("R12 A17")
 def dominant_plane(spark, sf_dir):
-    """Planes of points whose height follows their place, but for every tenth; one per brand."""
-    p = table(spark, sf_dir, "part").select("p_brand", (F.col("p_partkey") % 97 / 10.0).alias("x"), (F.col("p_partkey") % 89 / 10.0).alias("y"), F.col("p_partkey"))
-    p = p.select("p_brand", "x", "y", F.when(F.col("p_partkey") % 10 == 0, 50.0).otherwise(F.col("x") * 0.2 - F.col("y") * 0.1 + 3).alias("z"))
+    """Planes of points whose height follows their place, but for every tenth; one per 200 parts."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 200).alias("plane"), (F.col("p_partkey") % 97 / 10.0).alias("x"), (F.col("p_partkey") % 89 / 10.0).alias("y"), F.col("p_partkey"))
+    p = p.select("plane", "x", "y", F.when(F.col("p_partkey") % 10 == 0, 50.0).otherwise(F.col("x") * 0.2 - F.col("y") * 0.1 + 3).alias("z"))
 
     def fit(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values(["x", "y", "z"])
@@ -61,7 +58,7 @@ def dominant_plane(spark, sf_dir):
         n = n * np.sign(n[2])
         return {"nx": round(float(n[0]), 6), "ny": round(float(n[1]), 6), "nz": round(float(n[2]), 6), "inliers": int(inliers.sum())}
 
-    return pose.per_group(p, "p_brand", fit, "p_brand string, nx double, ny double, nz double, inliers long")
+    return pose.per_group(p, "plane", fit, "plane long, nx double, ny double, nz double, inliers long")
 
 
 @query("R9 R13 F25")
@@ -71,7 +68,9 @@ def two_view_motion(spark, sf_dir):
 
     def fit(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values(["x", "y"])
-        r, t = pose.se3_exp(np.array([0.2, -0.1, 0.3, 0.02, 0.05, 0.1 + 0.01 * float(pdf["frame"].iloc[0])]))
+        if len(pdf) < 8:
+            return {"rotation_error": None, "point_error": None}
+        r, t = pose.se3_exp(np.array([0.2, -0.1, 0.3, 0.02, 0.05, 0.1 + 0.01 * float(pdf["frame"].iloc[0] % 30)]))
         plane = np.column_stack([pdf["x"], pdf["y"], 4 + 0.1 * pdf["x"]])
         a, moved = plane[:, :2] / plane[:, 2:], plane @ r.T + t
         b = moved[:, :2] / moved[:, 2:]
@@ -86,8 +85,8 @@ def two_view_motion(spark, sf_dir):
 
 @query("R10 R11 R22 A18")
 def bundle_adjustment(spark, sf_dir):
-    """Cameras and points set off their places and brought back; the pixels that are wrong are told apart."""
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.lit(0).cast("long").alias("bundle"), "p_partkey", "p_size")
+    """Cameras and points set off their places and brought back, 40 parts a bundle; the pixels that are wrong are told apart."""
+    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("bundle"), "p_partkey", "p_size")
 
     def fit(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values("p_partkey")
@@ -102,7 +101,7 @@ def bundle_adjustment(spark, sf_dir):
         measured[::23, 2] += 0.3
         off = [(r, t, f) if f else (pose.se3_exp(rng.normal(0, 0.01, 6))[0] @ r, t + rng.normal(0, 0.01, 3), f) for r, t, f in cameras]
         b = pose.Bundle(off, points + rng.normal(0, 0.02, points.shape), measured)
-        steps, _ = b.solve()
+        steps, _ = b.solve(steps=8)
         return {"steps": steps, "point_error": round(float(np.median(np.abs(b.points - points))), 5), "outliers": int(b.outliers(floor=1e-6).sum()), "wrong": len(measured[::23])}
 
     return pose.per_group(parts, "bundle", fit, "bundle long, steps int, point_error double, outliers long, wrong long")

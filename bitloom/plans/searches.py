@@ -18,7 +18,8 @@ def descriptors(spark, sf_dir) -> DataFrame:
 
 
 def asked(df: DataFrame) -> DataFrame:
-    return df.where("vec_id < 50")
+    """The query set of every search: rows whose id divides by 100, against all rows."""
+    return df.where("vec_id % 100 = 0")
 
 
 # ---------------------------------------------------------------- SQL
@@ -30,7 +31,7 @@ def _word(k: int) -> str:
 
 _D = f"d AS (SELECT vec_id, label, {_word(0)} AS w0, {_word(1)} AS w1 FROM embeddings)"
 _APART = "CAST(bit_count(xor(q.w0, m.w0)) + bit_count(xor(q.w1, m.w1)) AS INTEGER)"
-_PAIRS = f"p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM d q JOIN d m ON q.vec_id <> m.vec_id WHERE q.vec_id < 50)"
+_PAIRS = f"p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM d q JOIN d m ON q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0)"
 
 
 def _hash(positions: list[int]) -> str:
@@ -42,7 +43,7 @@ def _buckets(p: search.LshParams, name: str = "b") -> str:
 
 
 def _met(p: search.LshParams) -> str:
-    return f"{_D}, {_buckets(p)}, met AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d, q.tab AS tab FROM b q JOIN b m ON q.tab = m.tab AND q.hash = m.hash AND q.vec_id <> m.vec_id WHERE q.vec_id < 50), cand AS (SELECT DISTINCT q_id, m_id, d FROM met)"
+    return f"{_D}, {_buckets(p)}, met AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d, q.tab AS tab FROM b q JOIN b m ON q.tab = m.tab AND q.hash = m.hash AND q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0), cand AS (SELECT DISTINCT q_id, m_id, d FROM met)"
 
 
 _TIES = "SELECT q_id, m_id, d FROM (SELECT *, rank() OVER (PARTITION BY q_id ORDER BY d) AS r FROM {0}) WHERE r = 1"
@@ -74,16 +75,16 @@ def knn_exact(spark, sf_dir):
     return search.k_nearest(hamming_pairs(spark, sf_dir), 5)
 
 
-@query("J34", f"WITH {_D}, f AS (SELECT q.vec_id AS a, m.vec_id AS b, {_APART} AS d FROM d q JOIN d m ON q.vec_id % 2 = 0 AND m.vec_id % 2 = 1), x AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) r FROM f) WHERE r = 1), y AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) r FROM f) WHERE r = 1) SELECT x.a AS q_id, x.b AS m_id, x.d AS d FROM x JOIN y ON x.a = y.a AND x.b = y.b")
+@query("J34", f"WITH {_D}, f AS (SELECT q.vec_id AS a, m.vec_id AS b, {_APART} AS d FROM d q JOIN d m ON q.vec_id % 100 = 0 AND m.vec_id % 100 <> 0), x AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) r FROM f) WHERE r = 1), y AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) r FROM f) WHERE r = 1) SELECT x.a AS q_id, x.b AS m_id, x.d AS d FROM x JOIN y ON x.a = y.a AND x.b = y.b")
 def mutual_match(spark, sf_dir):
     df = descriptors(spark, sf_dir)
-    return search.mutual(df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1")).select("q_id", "m_id", "d")
+    return search.mutual(asked(df), df.where("vec_id % 100 != 0")).select("q_id", "m_id", "d")
 
 
-@query("F23 J32 J33 J35", "WITH p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS s FROM embeddings q JOIN embeddings m ON q.vec_id <> m.vec_id WHERE q.vec_id < 50) SELECT q_id, m_id, round(s, 6) AS ssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s, m_id) r FROM p) WHERE r = 1")
+@query("F23 J32 J33 J35", "WITH p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS s FROM embeddings q JOIN embeddings m ON q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) SELECT q_id, m_id, round(s, 6) AS ssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s, m_id) r FROM p) WHERE r = 1")
 def ssd_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = F.broadcast(e.where("vec_id < 50").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")))
+    q = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")))
     s = e.join(q, F.col("q_id") != F.col("vec_id")).select("q_id", F.col("vec_id").alias("m_id"), geometry.squared_apart(F.col("qv"), F.col("v")).alias("s"))
     return s.groupBy("q_id").agg(F.min(F.struct("s", "m_id")).alias("b")).select("q_id", F.col("b.m_id").alias("m_id"), F.round("b.s", 6).alias("ssd"))
 
@@ -108,7 +109,7 @@ def lsh_retrieved(spark, sf_dir):
     return search.lsh_candidates(asked(df), df, LSH).groupBy("q_id").agg(F.count("*").alias("n_retrieved"))
 
 
-@query("J5 J7", f"WITH {_met(SPARSE)} SELECT d.vec_id AS q_id, b.m_id AS m_id, b.d AS d FROM d LEFT JOIN (SELECT q_id, m_id, d FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, m_id) r FROM cand) WHERE r = 1) b ON d.vec_id = b.q_id WHERE d.vec_id < 50")
+@query("J5 J7", f"WITH {_met(SPARSE)} SELECT d.vec_id AS q_id, b.m_id AS m_id, b.d AS d FROM d LEFT JOIN (SELECT q_id, m_id, d FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, m_id) r FROM cand) WHERE r = 1) b ON d.vec_id = b.q_id WHERE d.vec_id % 100 = 0")
 def nn_left_outer_one(spark, sf_dir):
     df = descriptors(spark, sf_dir)
     return search.one_per_query(asked(df), search.lsh_candidates(asked(df), df, SPARSE))
@@ -147,7 +148,7 @@ _FLIPS = ", ".join(str(1 << k) for k in range(SPARSE.bits))
 
 @query(
     "J13",
-    f"WITH {_met(SPARSE)}, r0 AS ({_TIES.format('cand')}), l0 AS (SELECT * FROM d WHERE vec_id < 50 AND vec_id NOT IN (SELECT q_id FROM r0)), "
+    f"WITH {_met(SPARSE)}, r0 AS ({_TIES.format('cand')}), l0 AS (SELECT * FROM d WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT q_id FROM r0)), "
     f"c1 AS (SELECT DISTINCT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM (SELECT b.*, unnest([{_FLIPS}]) AS flip FROM b) q JOIN b m ON q.tab = m.tab AND m.hash = xor(q.hash, q.flip::BIGINT) AND q.vec_id <> m.vec_id WHERE q.vec_id IN (SELECT vec_id FROM l0)), "
     f"r1 AS ({_TIES.format('c1')}), l1 AS (SELECT * FROM l0 WHERE vec_id NOT IN (SELECT q_id FROM r1)), c2 AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM l1 q JOIN d m ON q.vec_id <> m.vec_id), r2 AS ({_TIES.format('c2')}) "
     "SELECT q_id, m_id, d, 0 AS flips FROM r0 UNION ALL SELECT q_id, m_id, d, 1 FROM r1 UNION ALL SELECT q_id, m_id, d, 2 FROM r2",
@@ -167,10 +168,10 @@ def ann_recall(spark, sf_dir):
     return r.select("n_exact", F.round("mean_exact", 9).alias("mean_exact"), "n_approx", F.round("mean_approx", 9).alias("mean_approx"), "n_hit", F.round("recall", 9).alias("recall"))
 
 
-@query("A21 H3", "WITH b AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings), s AS (SELECT vec_id, i, CASE WHEN x > 0 THEN 1 ELSE 0 END AS v FROM b) SELECT CAST(a.i AS BIGINT) AS i, CAST(c.i AS BIGINT) AS j, round(corr(a.v, c.v), 6) AS r FROM s a JOIN s c USING (vec_id) WHERE a.i < 8 AND c.i < 8 GROUP BY ALL")
+@query("A21 H3", "WITH b AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings), s AS (SELECT vec_id, i, CASE WHEN x > 0 THEN 1 ELSE 0 END AS v FROM b) SELECT CAST(a.i AS BIGINT) AS i, CAST(c.i AS BIGINT) AS j, round(corr(a.v, c.v), 6) + 0.0::DOUBLE AS r FROM s a JOIN s c USING (vec_id) GROUP BY ALL")
 def bit_correlation(spark, sf_dir):
     c = search.bit_correlation(descriptors(spark, sf_dir), 64)
-    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6)) for i in range(8) for j in range(8)], "i long, j long, r double")
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(64) for j in range(64)], "i long, j long, r double")
 
 
 @query("H2 H4 H5 H8 H9 H10")
@@ -247,7 +248,7 @@ def kmedoid_round(spark, sf_dir):
     return cluster.medoid_swap(df, _centres(df)).select("c_id", "medoid", "cost")
 
 
-@query("J16 J17", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM a q JOIN a m ON q.c_id = m.c_id AND q.vec_id <> m.vec_id WHERE q.vec_id < 50) {_TIES.format('p')}")
+@query("J16 J17", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM a q JOIN a m ON q.c_id = m.c_id AND q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) {_TIES.format('p')}")
 def cluster_pruned_nn(spark, sf_dir):
     df = descriptors(spark, sf_dir)
     return cluster.pruned_nearest(asked(df), df, _centres(df))
@@ -266,14 +267,16 @@ def visual_words(spark, sf_dir):
 
 @query(
     "J21 J25 P11 W3",
-    f"WITH {_WORDS}, post AS (SELECT word, image_id, count(*) AS tf FROM vw WHERE vec_id >= 50 GROUP BY ALL), idf AS (SELECT word, ln((SELECT count(DISTINCT image_id) FROM post) / count(*) + 1) AS idf FROM post GROUP BY word), "
-    "w AS (SELECT image_id, word, tf * idf AS w FROM post JOIN idf USING (word)), n AS (SELECT image_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY image_id), q AS (SELECT word, count(*) * any_value(idf) AS qw FROM vw JOIN idf USING (word) WHERE vec_id < 50 GROUP BY word), "
-    "s AS (SELECT image_id, sum(w * qw) / any_value(norm) AS score FROM w JOIN q USING (word) JOIN n USING (image_id) WHERE image_id <= 7 GROUP BY image_id) SELECT image_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, image_id LIMIT 5",
+    f"WITH {_WORDS}, area AS (SELECT label AS image_id FROM embeddings GROUP BY label HAVING sqrt(avg(embedding[1]::DOUBLE) ** 2 + avg(embedding[2]::DOUBLE) ** 2) <= 0.05), post AS (SELECT word, image_id, count(*) AS tf FROM vw WHERE vec_id % 100 <> 0 GROUP BY ALL), idf AS (SELECT word, ln((SELECT count(DISTINCT image_id) FROM post) / count(*) + 1) AS idf FROM post GROUP BY word), "
+    "w AS (SELECT image_id, word, tf * idf AS w FROM post JOIN idf USING (word)), n AS (SELECT image_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY image_id), q AS (SELECT word, count(*) * any_value(idf) AS qw FROM vw JOIN idf USING (word) WHERE vec_id % 100 = 0 GROUP BY word), "
+    "s AS (SELECT image_id, sum(w * qw) / any_value(norm) AS score FROM w JOIN q USING (word) JOIN n USING (image_id) WHERE image_id IN (SELECT image_id FROM area) GROUP BY image_id) SELECT image_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, image_id LIMIT 5",
 )
 def image_scores_topk(spark, sf_dir):
     df = descriptors(spark, sf_dir)
     words = retrieval.visual_words(df, _centres(df)).join(df.select("vec_id", F.col("label").alias("image_id")), "vec_id")
-    index = retrieval.postings(words.where("vec_id >= 50"))
-    q = words.where("vec_id < 50").groupBy("word").agg(F.count("*").alias("tf"))
-    allowed = index.select("image_id").distinct().where("image_id <= 7")
+    index = retrieval.postings(words.where("vec_id % 100 != 0"))
+    q = words.where("vec_id % 100 = 0").groupBy("word").agg(F.count("*").alias("tf"))
+    at = lambda k: F.col("embedding")[k].cast("double")
+    features = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), at(0).alias("x"), at(1).alias("y"))
+    allowed = retrieval.in_area(features, "image_id", "x", "y", (0.0, 0.0), 0.05).where("inside")
     return retrieval.best_images(retrieval.scores(q, index), 5, allowed).select("image_id", F.round("score", 6).alias("score"))
