@@ -259,11 +259,11 @@ def candidate_keypoints(spark, sf_dir):
     return o.select("o_orderkey", (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("class_id"))
 
 
-_BAND = "g AS (SELECT s_suppkey AS segment, (s_suppkey * 53 % 1000)::DOUBLE AS ax, (s_suppkey * 17 % 1000)::DOUBLE AS ay, (s_suppkey * 91 % 1000)::DOUBLE AS bx, (s_suppkey * 29 % 1000)::DOUBLE AS by2 FROM supplier WHERE s_suppkey % 100 = 0), u AS (SELECT *, sqrt((bx - ax)**2 + (by2 - ay)**2) AS l FROM g), w AS (SELECT *, (bx - ax) / l AS ux, (by2 - ay) / l AS uy FROM u WHERE l > 0)"
+_BAND = "g AS (SELECT s_suppkey AS segment, ((s_suppkey + 7) * 53 % 1000)::DOUBLE AS ax, ((s_suppkey + 7) * 17 % 1000)::DOUBLE AS ay, ((s_suppkey + 7) * 91 % 1000)::DOUBLE AS bx, ((s_suppkey + 7) * 29 % 1000)::DOUBLE AS by2 FROM supplier WHERE s_suppkey % 100 = 0), u AS (SELECT *, sqrt((bx - ax)**2 + (by2 - ay)**2) AS l FROM g), w AS (SELECT *, (bx - ax) / l AS ux, (by2 - ay) / l AS uy FROM u WHERE l > 0)"
 
 
 @query("J31", f"WITH {_PLACES}, {_BAND} SELECT w.segment, pl.id AS point, round(abs((pl.y - ay) * ux - (pl.x - ax) * uy), 6) AS across FROM pl JOIN w ON abs((pl.y - ay) * ux - (pl.x - ax) * uy) <= 15 AND (pl.x - ax) * ux + (pl.y - ay) * uy BETWEEN -15 AND l + 15")
 def epipolar_band(spark, sf_dir):
     k = F.col("s_suppkey")
-    segments = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(k.alias("segment"), *[(k * m % 1000).cast("double").alias(c) for c, m in (("ax", 53), ("ay", 17), ("bx", 91), ("by", 29))])
+    segments = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(k.alias("segment"), *[((k + 7) * m % 1000).cast("double").alias(c) for c, m in (("ax", 53), ("ay", 17), ("bx", 91), ("by", 29))])
     return spatial.in_band(segments, _places(spark, sf_dir), 15.0, "segment", "id").select("segment", "point", F.round("across", 6).alias("across"))
