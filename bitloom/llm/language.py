@@ -118,7 +118,8 @@ def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", te
         return Model([], {k: {} for k in (0, *ORDERS)}, params)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, params.max_docs / number[lang]))])
     spread = F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.where(spread < share[F.col(lang_col)]).select(lang_col, text_col)
+    # a bounded sample, dealt out anew as it may come from few parts of the table
+    picked = usable.where(spread < share[F.col(lang_col)]).select(lang_col, text_col).repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         seen: Counter = Counter()
