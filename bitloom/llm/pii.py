@@ -135,6 +135,8 @@ _DIGIT_NAMES = (
 )
 _DIGIT = {w: str(k) for names in _DIGIT_NAMES for k, w in enumerate(names)} | {"oh": "0", "ein": "1", "zwo": "2", "fuenf": "5"}
 _TIMES = {"double": 2, "triple": 3}
+# Names of digits that are articles or other common words too; "" is for nothing.
+_PROSE = frozenset(["", "ein", "un", "one", "oh", "neuf"])
 _NAME = "(?:" + "|".join(sorted([*_DIGIT, *_TIMES], key=len, reverse=True)) + ")"
 _GAP = r"[\x20\t]{0,3}[-,.]?[\x20\t]{0,3}"
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_NAME}(?!\w)|(?:[0-9]{{1,19}}[\x20-]){{1,19}}{_NAME}(?!\w))(?:{_GAP}(?:{_NAME}|[0-9]{{1,19}})(?!\w))*")
@@ -244,7 +246,9 @@ def normalise(text: str) -> Tape:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, all): what the patterns find in the text itself, and that with what they find behind disguises.
 
-    A found span that meets a base span is dropped, as the base covers it. Each is (start, index of the kind, end).
+    A found span goes only where one base span holds it whole; one that reaches further stays beside the base, which may
+    be a mere remainder of it, unless all it adds is one word of _PROSE ("+1 (848) 555-1373 Un an ..."). Each is (start,
+    index of the kind, end).
     """
     base = identifiers(text)
     if not suspicious(text):
@@ -255,7 +259,8 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     held, more = sorted((s, e) for s, _, e in base), []
     for s, kind, e in identifiers(t.text):
         s, e = t.start[s], t.end[e - 1]
-        if all(e <= a or s >= b for a, b in held):
+        met = [(a, b) for a, b in held if s < b and a < e]
+        if not any((text[s:a] + text[max(s, b) : e]).strip(" \t,.-").lower() in _PROSE for a, b in met):
             more.append((s, kind, e))
     return base, sorted(set(base + more)) if more else base
 

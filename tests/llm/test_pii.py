@@ -74,6 +74,28 @@ def test_disguises_are_found_at_their_source(kind, marked):
     assert (start, pii.KINDS.index(kind), end) in every and base == plain(text)
 
 
+@pytest.mark.parametrize(
+    "kind,text,rest",
+    [
+        ("email", "j\u043ehn@example.com", "hn@example.com"),
+        ("email", "jane [dot] doe@example.com", "doe@example.com"),
+        ("email", "john@example.c\u043em", "john@example.c"),
+        ("phone", "+49 170 12345 six seven eight", "+49 170 12345"),
+    ],
+)
+def test_a_base_span_that_is_a_remainder_hides_nothing(kind, text, rest):
+    k, at = pii.KINDS.index(kind), 3 + text.index(rest)
+    base, every = pii.spans(f"to {text} now")
+    assert base == plain(f"to {text} now") == [(at, k, at + len(rest))]
+    assert every == sorted([*base, (3, k, 3 + len(text))])
+    assert pii.masked(f"to {text} now") == f"to [{kind.upper()}] now"
+
+
+@pytest.mark.parametrize("after", [" ein Haus", " Un an", " one day"])
+def test_an_article_after_a_number_is_prose(after):
+    assert pii.masked("+1 (848) 555-1373" + after) == "[PHONE]" + after
+
+
 @pytest.mark.parametrize("text", ["we met at ten and a dot of two three ink", "at the point of no return", "one two", "look at example.com", "version 1.2.3 at home", "Er war um null Uhr da, neun oder zehn", "un deux trois nous irons au bois"])
 def test_clean_texts_stay_clean(text):
     assert pii.spans(text) == ([], []) and pii.masked(text) == text
