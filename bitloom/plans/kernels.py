@@ -61,26 +61,27 @@ def dominant_plane(spark, sf_dir):
     return pose.per_group(p, "plane", fit, "plane long, nx double, ny double, nz double, inliers long")
 
 
+def two_view(pdf: pd.DataFrame) -> dict:
+    """Of one frame's points, seen as a plane in two views: the errors of the motion and, at most, of the points triangulated."""
+    pdf = pdf.sort_values(["x", "y"])
+    if len(pdf) < 8:
+        return {"rotation_error": None, "point_error": None}
+    r, t = pose.se3_exp(np.array([0.2, -0.1, 0.3, 0.02, 0.05, 0.1 + 0.01 * float(pdf["frame"].iloc[0] % 30)]))
+    plane = np.column_stack([pdf["x"], pdf["y"], 4 + 0.1 * pdf["x"]])
+    a, moved = plane[:, :2] / plane[:, 2:], plane @ r.T + t
+    b = moved[:, :2] / moved[:, 2:]
+    h = pose.robust_homography(a, b)
+    got = min(pose.plausible_motions(pose.decompose(h), a, b), key=lambda m: np.linalg.norm(m[0] - r))
+    scale = np.linalg.norm(t) / max(np.linalg.norm(got[1]), 1e-12)
+    back = np.array([pose.triangulate(got[0], got[1] * scale, y, x) for x, y in zip(a, b)])
+    return {"rotation_error": round(float(np.linalg.norm(got[0] - r)), 4), "point_error": round(float(np.abs(back - plane).max()), 3)}
+
+
 @query("R9 R13 F25")
 def two_view_motion(spark, sf_dir):
-    """Homography of a plane in two views, its motion, and the points triangulated again; one row per frame."""
+    """Homography of a plane in two views, its motion, and all points triangulated again; one row per frame."""
     s = scene(spark, sf_dir).select("frame", "x", "y")
-
-    def fit(pdf: pd.DataFrame) -> dict:
-        pdf = pdf.sort_values(["x", "y"])
-        if len(pdf) < 8:
-            return {"rotation_error": None, "point_error": None}
-        r, t = pose.se3_exp(np.array([0.2, -0.1, 0.3, 0.02, 0.05, 0.1 + 0.01 * float(pdf["frame"].iloc[0] % 30)]))
-        plane = np.column_stack([pdf["x"], pdf["y"], 4 + 0.1 * pdf["x"]])
-        a, moved = plane[:, :2] / plane[:, 2:], plane @ r.T + t
-        b = moved[:, :2] / moved[:, 2:]
-        h = pose.robust_homography(a, b)
-        got = min(pose.plausible_motions(pose.decompose(h), a, b), key=lambda m: np.linalg.norm(m[0] - r))
-        scale = np.linalg.norm(t) / max(np.linalg.norm(got[1]), 1e-12)
-        back = np.array([pose.triangulate(got[0], got[1] * scale, y, x) for x, y in zip(a[:20], b[:20])])
-        return {"rotation_error": round(float(np.linalg.norm(got[0] - r)), 4), "point_error": round(float(np.abs(back - plane[:20]).max()), 3)}
-
-    return pose.per_group(s, "frame", fit, "frame long, rotation_error double, point_error double")
+    return pose.per_group(s, "frame", two_view, "frame long, rotation_error double, point_error double")
 
 
 @query("R10 R11 R22 A18")
@@ -101,7 +102,7 @@ def bundle_adjustment(spark, sf_dir):
         measured[::23, 2] += 0.3
         off = [(r, t, f) if f else (pose.se3_exp(rng.normal(0, 0.01, 6))[0] @ r, t + rng.normal(0, 0.01, 3), f) for r, t, f in cameras]
         b = pose.Bundle(off, points + rng.normal(0, 0.02, points.shape), measured)
-        steps, _ = b.solve(steps=8)
+        steps, _ = b.solve()
         return {"steps": steps, "point_error": round(float(np.median(np.abs(b.points - points))), 5), "outliers": int(b.outliers(floor=1e-6).sum()), "wrong": len(measured[::23])}
 
     return pose.per_group(parts, "bundle", fit, "bundle long, steps int, point_error double, outliers long, wrong long")
