@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,16 +232,27 @@ def kbm_one_round(spark, sf_dir):
 
 @query("K1 K2 K4 K5 K6 K7 W6")
 def kbm_cluster(spark, sf_dir):
-    centroids, _, _ = cluster.binary_means(descriptors(spark, sf_dir).select("vec_id", "w0", "w1"), k=8, rounds=5)
+    centroids, _, _ = cluster.binary_means(descriptors(spark, sf_dir).select("vec_id", "w0", "w1"), k=8)
     return centroids
 
 
 @query("K8")
 def kbm_sweep(spark, sf_dir):
-    """Costs by number of clusters: the driver's loop is over parameters only."""
+    """Rounds, seconds, last cost and sizes by number of clusters, each clustered to its end: the driver's loop is over parameters only.
+
+    sizes: the rows that the last assignment gives each centroid, by its number. An empty table has no cost and no rows.
+    """
     df = descriptors(spark, sf_dir).select("vec_id", "w0", "w1")
-    rows = [(k, float(cluster.binary_means(df, k=k, rounds=1)[2][-1])) for k in (4, 8)]
-    return spark.createDataFrame(rows, "k int, cost double")
+    out = None
+    for k in (4, 8):
+        began = time.monotonic()
+        centroids, assigned, costs = cluster.binary_means(df, k=k)
+        seconds = time.monotonic() - began
+        n = centroids.select("c_id").join(assigned.groupBy("c_id").agg(F.count("*").alias("rows")), "c_id", "left")
+        sizes = F.transform(F.array_sort(F.collect_list(F.struct("c_id", F.coalesce("rows", F.lit(0)).alias("rows")))), lambda x: x.rows)
+        one = n.agg(F.lit(k).alias("k"), F.lit(len(costs) - 1).alias("rounds"), F.lit(seconds).alias("seconds"), F.lit(costs[-1]).cast("double").alias("cost"), sizes.alias("sizes"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("A22", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, t AS (SELECT q.c_id, q.vec_id, sum({_APART}) AS cost FROM a q JOIN a m ON q.c_id = m.c_id GROUP BY ALL) SELECT c_id, vec_id AS medoid, CAST(cost AS BIGINT) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY c_id ORDER BY cost, vec_id) r FROM t) WHERE r = 1")
