@@ -4,6 +4,11 @@ A chain of transducers rewrites a text: look-alike characters become ASCII, invi
 digits, at/dot disguises become the signs. Each transducer emits, for every character that it writes, the span of source
 characters that it stands for, and chains compose; identifiers found in the normalised text are mapped back through
 that, so spans always point into the text as it was given.
+
+What counts as a disguise is bounded, by these definitions and not to save work: signs and spelled digits stand at most
+three blanks apart; a local part is of up to 64 characters and a label of up to 63, as in addresses; a domain is of up
+to nine labels apart and a spoken local part of up to four; a group of digits is of up to 19, the longest card number. Of
+longer runs the pieces within these bounds are read.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +62,8 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of what the four patterns match and their checks pass, in order."""
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p) <= 400 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
@@ -109,6 +116,7 @@ _INVISIBLE = dict.fromkeys("­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿", "")
 _LOOKALIKE = _CYRILLIC | _GREEK | _MARKS | _DASHES | _SPACES | _INVISIBLE
 
 
+@cache
 def _plain(c: str) -> str | None:
     """What a character outside ASCII stands for, or None to leave it: the tables, digits of any script, styled forms."""
     if (known := _LOOKALIKE.get(c)) is not None:
@@ -143,7 +151,7 @@ _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_NAME}(?!\w)|(?:[0-9]{{1,19}}[\x20-]){{1
 _UNIT = re.compile(rf"(?i)(?<!\w){_NAME}(?!\w)|[0-9]+")
 _PLUS = re.compile(r"(?i)(?<!\w)plus[\x20\t]{1,3}(?=[0-9])|(?<=\+)[\x20\t]{1,3}(?=[0-9])")
 _DOT_WORD = r"(?:dot|punkt|punto|point)"
-_SPELLED_DOT = re.compile(rf"(?i)(?<=[0-9])[\x20\t]{{0,3}}[\[({{<_-]?[\x20\t]{{0,3}}(?:{_DOT_WORD}|\.)[\x20\t]{{0,3}}[\])}}>_-]?[\x20\t]{{0,3}}(?=[0-9])")
+_SPELLED_DOT = re.compile(rf"(?i)(?<=[0-9])[\x20\t]{{0,3}}(?:[\[({{<_-]?[\x20\t]{{0,3}}{_DOT_WORD}[\x20\t]{{0,3}}[\])}}>_-]?|[\[({{<][\x20\t]{{0,3}}\.[\x20\t]{{0,3}}[\])}}>]|(?<=[\x20\t])\.)[\x20\t]{{0,3}}(?=[0-9])")
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI]{1,4}(?=[\x20-]?[0-9])|(?<=[0-9][\x20-])[OolI]{1,4}(?=[0-9])")
 
 
@@ -205,34 +213,37 @@ def _at_dot(t: Tape) -> Tape:
 
 
 TRANSDUCERS: tuple[Callable[[Tape], Tape], ...] = (_homoglyphs, _spelled, _at_dot)
-# What a text must hold for the transducers to change it where it matters; searched in lower case, apart, as one
-# alternation would try all of them at every character.
-_ODD = re.compile(r"[^\x00-\x9f¡-¬®-¶¸-ɏ]")
-_HINTS = [
-    re.compile(p)
-    for p in (
-        rf"(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])",
-        rf"[0-9][\x20-]{_NAME}(?!\w)",
-        rf"{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}",
-        rf"[_-](?:at|{_DOT_WORD})[_-]",
-        r"[0-9][\x20-]?[oli]{1,4}[\x20-]?[0-9]",
-        rf"[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.[a-z0-9-]",
-        r"[\x20\t]\.[\x20\t]",
-    )
-]
-_HINTS_WITH = [
-    (("@",), re.compile(r"[\x20\t]@|@[\x20\t]")),
-    (("dot", "punkt", "punto", "point"), re.compile(rf"(?<!\w){_DOT_WORD}(?!\w)")),
-    (("plus", "+"), re.compile(r"(?<!\w)plus[\x20\t]|\+[\x20\t]")),
-    (("&", "%"), re.compile(r"&#|&commat;|&period;|%40|%2e")),
-]
+# What a text must hold for one of the patterns above to change it, where no look-alike does: each is a part of them that
+# no match lacks. Searched apart, as one alternation would try all of them at every character, and where the text is
+# ASCII in its lower case.
+_HINTS = (
+    rf"(?<!\w){_NAME}{_GAP}(?:{_NAME}(?!\w)|[0-9])",
+    rf"[0-9][\x20-]{_NAME}(?!\w)",
+    rf"{_OPEN}[\x20\t]{{0,3}}(?:at|arroba|ät|@|\.|{_DOT_WORD})[\x20\t]{{0,3}}{_CLOSE}",
+    rf"[_-](?:at|{_DOT_WORD})[_-]",
+    r"[0-9][\x20-]?[oli]{1,4}[\x20-]?[0-9]",
+    rf"[\x20\t](?:at|arroba)[\x20\t]{{1,3}}{_LABEL}\.[a-z0-9-]",
+    r"[\x20\t]\.[\x20\t]",
+    r"[0-9][\x20\t]{1,3}\.[\x20\t]{0,3}[0-9]",
+)
+# The same behind a sign or word that must be there too.
+_HINTS_WITH = (
+    (("@",), r"[\x20\t]@|@[\x20\t]"),
+    (("dot", "punkt", "punto", "point"), rf"(?<!\w){_DOT_WORD}(?!\w)|[0-9][\x20\t\[({{<_-]{{0,7}}{_DOT_WORD}"),
+    (("plus", "+"), r"(?<!\w)plus[\x20\t]|\+[\x20\t]"),
+    (("&", "%"), r"&#|&commat;|&period;|%40|%2e"),
+)
+_LOW_HINTS = [re.compile(p) for p in _HINTS]
+_LOW_HINTS_WITH = [(marks, re.compile(p)) for marks, p in _HINTS_WITH]
+_ANY_CASE_HINTS = [re.compile("(?i)" + p) for p in (*_HINTS, *(p for _, p in _HINTS_WITH))]
 
 
 def suspicious(text: str) -> bool:
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    return any(p.search(low) for p in _HINTS) or any(any(m in low for m in marks) and p.search(low) for marks, p in _HINTS_WITH)
+    """False only where no transducer changes the text; then what they would find is not looked for."""
+    if text.isascii():
+        low = text.lower()
+        return any(p.search(low) for p in _LOW_HINTS) or any(any(m in low for m in marks) and p.search(low) for marks, p in _LOW_HINTS_WITH)
+    return any(c > "\x7f" and _plain(c) is not None for c in set(text)) or any(p.search(text) for p in _ANY_CASE_HINTS)
 
 
 def normalise(text: str) -> Tape:

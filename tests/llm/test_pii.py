@@ -120,3 +120,27 @@ def test_query_columns_and_masks(make_docs):
     masked = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(make_docs(texts)).collect()}
     assert masked == {0: ("[EMAIL] and [EMAIL]", 19), 1: (None, None), 2: ("", 0), 3: ("[PHONE]\n[IP]", 12)}
     assert pii.find(make_docs(texts).where("false")).collect() == []
+
+
+def test_an_ip_part_of_any_length_counts_by_its_value():
+    text = "0" * 401 + "1.2.3.4 " + "1" * 401 + ".2.3.4 " + "0" * 500 + ".1.1.1"
+    assert [e - s for s, _, e in pii.identifiers(text)] == [408, 506] and pii.spans(text)[0] == pii.identifiers(text)
+
+
+FRAGMENTS = [
+    "1", "2", "25", "168", " ", "  ", "\t", ".", " . ", "[.]", "(dot)", " dot ", "DOT", "punkt", "_at_", " at ", "(at)", " @ ", "@", "<", ">", "-", "_", ",", "+", "plus ", "Plus", "one", "two ", "double ",
+    "Three", "null", "vier ", "O", "l", "Il", "a", "bob", "mail.example.com", "example", "com", "4111", "1111 ", "²", "¹", "ª", "½", "é", "ß", "ſ", "İ", "ı", "K", "о", "е", "​", "’", " ", "１", "＠", "٣", "&#64;", "%40", "%2E", "&period;", "\n",
+]
+
+
+def test_the_gate_in_front_changes_nothing(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(FRAGMENTS) for _ in range(rng.randint(1, 14))) for _ in range(30_000)]
+    texts += ["server 1².3.4.5 ok", "192dot168dot1dot17", "192 .168 .1 .17", "ip 10 . 1 . 2 . 3"]
+    with_gate = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "suspicious", lambda t: True)
+    assert [t for t, found in zip(texts, with_gate) if pii.spans(t) != found] == []
+    assert sum(len(every) > len(base) for base, every in with_gate) > 300
+    assert [len(every) - len(base) for base, every in with_gate[-4:]] == [1, 1, 1, 1]
