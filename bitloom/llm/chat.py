@@ -3,9 +3,12 @@
     conversation := turn*        turn := "<|im_start|>" role "\\n" text "<|im_end|>" "\\n"
 
 The parser cuts at every end mark, takes the role up to the first line break and undoes escapes; a control string left
-inside a role or text is an error. Every turn is rendered plainly and parsed; where what comes back differs, or is an
-error, the turn's content is escaped and must come back identical then. Escaping puts one more ^ into each "<^...^|",
-which leaves no control string and is undone by taking one out; roles also get their line breaks written as %0A.
+inside a role or text, or a piece that doesn't begin with the start mark, is an error. Every turn is rendered plainly,
+parsed and compared with its source; where what comes back is an error or differs, more of the turn is escaped (the
+text, the role, both) and it is parsed and compared again, until it is identical. Whole conversations are parsed once
+more and compared with their turns, and one that still differs stops the job. Escaping puts one more ^ into each
+"<^...^|", which leaves no control string and is undone by taking one out; roles also get their line breaks written
+as %0A.
 """
 
 from __future__ import annotations
@@ -34,53 +37,72 @@ def _unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def _free(c: Column) -> Column:
-    return ~F.contains(c, F.lit(START)) & ~F.contains(c, F.lit(END))
-
-
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation, in order, as an array of (role, text)."""
+    """The turns of a formatted conversation, in order, as an array of (role, text); null where it isn't of the grammar."""
     pieces = F.split(formatted, r"<\|im_end\|>\n")
+    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+    def body(piece: Column) -> Column:
+        return F.substr(piece, F.lit(len(START) + 1))
+
+    def good(piece: Column) -> Column:
+        return F.startswith(piece, F.lit(START)) & F.contains(piece, F.lit("\n")) & ~F.contains(body(piece), F.lit(START)) & ~F.contains(piece, F.lit(END))
 
     def turn(piece: Column) -> Column:
-        body = F.substr(piece, F.lit(len(START) + 1))
-        at = F.instr(body, "\n")
-        return F.struct(_unescaped_role(F.substring(body, F.lit(1), at - 1)).alias("role"), unescaped(F.substr(body, at + 1)).alias("text"))
+        at = F.instr(body(piece), "\n")
+        return F.struct(_unescaped_role(F.substring(body(piece), F.lit(1), at - 1)).alias("role"), unescaped(F.substr(body(piece), at + 1)).alias("text"))
 
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
+    return F.when((F.element_at(pieces, -1) == "") & F.forall(turns, good), F.transform(turns, turn))
+
+
+def _round_trip(rows: DataFrame) -> DataFrame:
+    """rows (role, text) with shown_role and shown_text: the least escaped rendering that parses back into both.
+
+    Each try is parsed only for turns that no earlier one served.
+    """
+    source = F.array(F.struct("role", "text"))
+    tries = [(r, t) for r in (F.col("role"), _escaped_role(F.col("role"))) for t in (F.col("text"), escaped(F.col("text")))]
+    shown = F.raise_error(F.concat(F.lit("no rendering parses back, role: "), F.col("role"))).cast("struct<shown_role: string, shown_text: string>")
+    for r, t in reversed(tries):
+        shown = F.when(F.coalesce(parse(rendered(r, t)) == source, F.lit(False)), F.struct(r.alias("shown_role"), t.alias("shown_text"))).otherwise(shown)
+    return rows.withColumn("shown", shown).select("*", "shown.shown_role", "shown.shown_text").drop("shown")
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: id, formatted, loss_mask (spans of assistant texts, code points, end exclusive).
+    """One row per conversation: id, formatted, loss_mask (spans of assistant texts: start and end in code points, from_byte
+    and to_byte in UTF-8, ends exclusive).
 
     Null roles and texts count as empty. Turns go by turn number, null first; equal numbers by role and then text, so
-    repeated rows are repeated turns. A null id is a conversation of its own; an empty table gives none.
+    repeated rows are repeated turns. A null id is a conversation of its own; an empty table gives none; other columns
+    don't matter, whatever their names. A conversation is one string, so one of any length is put together in one task.
     """
-    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    plain_role = _free(F.col("role")) & ~F.contains("role", F.lit("\n")) & (_unescaped_role(F.col("role")) == F.col("role"))
-    plain_text = _free(F.col("text")) & (unescaped(F.col("text")) == F.col("text"))
-    rows = rows.withColumn("shown_role", F.when(plain_role, F.col("role")).otherwise(_escaped_role(F.col("role"))))
-    rows = rows.withColumn("shown_text", F.when(plain_text, F.col("text")).otherwise(escaped(F.col("text"))))
-    rows = rows.withColumn("piece", rendered(F.col("shown_role"), F.col("shown_text")))
+    name = lambda c: F.col(f"`{c}`")
+    rows = turns.select(name(id_col).alias("id"), name(turn_col).alias("turn"), F.coalesce(name(role_col), F.lit("")).alias("role"), F.coalesce(name(text_col), F.lit("")).alias("text"))
+    rows = _round_trip(rows).withColumn("piece", rendered(F.col("shown_role"), F.col("shown_text")))
     order = W.partitionBy("id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("after", F.sum(F.char_length("piece").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    stop = F.col("after") - len(END) - 1
-    loss = F.when(F.col("role") == _LOSS_ROLE, F.struct((stop - F.char_length("shown_text")).alias("start"), stop.alias("end")))
-    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("pieces"), F.array_sort(F.collect_list(loss)).alias("loss_mask"))
-    return whole.select(F.col("id").alias(id_col), F.array_join(F.transform("pieces", lambda p: p.piece), "").alias("formatted"), "loss_mask")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("*", F.row_number().over(order).alias("n"), F.sum(F.char_length("piece").cast("long")).over(upto).alias("chars"), F.sum(F.octet_length("piece").cast("long")).over(upto).alias("bytes"))
+    stop, last = F.col("chars") - len(END) - 1, F.col("bytes") - len(END) - 1
+    loss = F.when(F.col("role") == _LOSS_ROLE, F.struct((stop - F.char_length("shown_text")).alias("start"), stop.alias("end"), (last - F.octet_length("shown_text")).alias("from_byte"), last.alias("to_byte")))
+    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "piece", "role", "text"))).alias("turns"), F.array_sort(F.collect_list(loss)).alias("loss_mask"))
+    whole = whole.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t.piece), ""))
+    same = F.coalesce(parse(F.col("formatted")) == F.transform("turns", lambda t: F.struct(t.role, t.text)), F.lit(False))
+    whole = whole.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("does not parse back: conversation "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
+    return whole.select(F.col("id").alias(id_col), "formatted", "loss_mask")
 
 
 def digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What a formatted conversation holds, read back from it."""
-    read = formatted.select(id_col, "formatted", parse(F.col("formatted")).alias("turns"))
-    read = read.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t.role == _LOSS_ROLE), lambda t: t.text), ""))
+    """What a formatted conversation holds, read back from it: its turns by the parser, the loss by cutting out its mask."""
+    bare = F.col("formatted").cast("binary")
+    cut_out = lambda m: unescaped(F.substring(bare, (m.from_byte + 1).cast("int"), (m.to_byte - m.from_byte).cast("int")).cast("string"))
+    read = formatted.select(F.col(f"`{id_col}`"), "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(F.transform("loss_mask", cut_out), "").alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
-        id_col,
+        F.col(f"`{id_col}`"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"),

@@ -52,6 +52,34 @@ def test_the_mask_covers_the_assistants_texts(formatted):
     assert [rows[3].formatted[m.start : m.end] for m in rows[3].loss_mask] == ["<^^|im_end|> <^^^| <^|", "ends in <|im_end|", "", "<^^|"]
 
 
+def test_the_masks_in_characters_and_in_bytes_agree(formatted):
+    for r in formatted.collect():
+        for m in r.loss_mask:
+            assert r.formatted[m.start : m.end] == r.formatted.encode()[m.from_byte : m.to_byte].decode()
+
+
+def test_the_loss_is_what_the_mask_covers(formatted):
+    moved = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m: m.withField("to_byte", m.to_byte - 1)))
+    a, b = ({r.conv_id: r for r in chat.digest(f).collect()} for f in (formatted.where("conv_id = 1"), moved.where("conv_id = 1")))
+    assert a[1].loss_chars == b[1].loss_chars + 1 and a[1].loss_sha256 != b[1].loss_sha256 and a[1].turns_sha256 == b[1].turns_sha256
+
+
+@pytest.mark.parametrize("broken", ["escaped", "unescaped", "_unescaped_role", "rendered"])
+def test_a_broken_part_stops_the_job(spark, monkeypatch, broken):
+    right = getattr(chat, broken)
+    monkeypatch.setattr(chat, broken, (lambda r, t: right(t, r)) if broken == "rendered" else (lambda c: c))
+    df = spark.createDataFrame([(1, 0, "a\nb", f"{chat.START}x")], T)
+    with pytest.raises(Exception, match="parses? back"):
+        chat.format_conversations(df).collect()
+
+
+def test_what_is_not_of_the_grammar_is_an_error(spark):
+    bad = ["x", chat.START + "a" + chat.END + "\n", f"{chat.START}a\nb{chat.END}", f"{chat.START}a\n{chat.START}{chat.END}\n", f"{chat.START}a\n{chat.END}b{chat.END}\n", f"a\nb{chat.END}\n"]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bad)], "k long, f string")
+    assert [r.t for r in df.select(chat.parse(F.col("f")).alias("t")).collect()] == [None] * len(bad)
+    assert spark.range(1).select(chat.parse(F.lit(""))).first()[0] == []
+
+
 def test_plain_texts_are_not_touched(formatted):
     r = {r.conv_id: r.formatted for r in formatted.collect()}
     assert r[1] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello\nthere<|im_end|>\n<|im_start|>\n<|im_end|>\n"
