@@ -80,22 +80,26 @@ def refill(assigned: DataFrame, centroids: DataFrame, seed: int) -> DataFrame:
 def binary_means(df: DataFrame, k: int, seed: int = 1, rounds: int = 31, tolerance: float = 1e-5, balance: bool = True, unchanged: bool = False, id_col: str = "vec_id") -> tuple[DataFrame, DataFrame, list[float]]:
     """(centroids, assignment, costs): Lloyd rounds until the cost falls by less than tolerance, or none changes.
 
-    A cost that rises doesn't end it. Each round is cut by a checkpoint; only the cost comes to the driver.
+    A cost that rises doesn't end it. Each round is written to the shared folder and the one before it deleted; only the
+    cost comes to the driver.
     """
-    from bitloom.operators.lineage import cut
+    from bitloom.operators.lineage import cut, drop
 
     words = search.words_of(df)
     centroids = cut(seeds(df, k, seed, id_col))
     assigned = cut(assign(df.select(id_col, *words), centroids, id_col))
     costs = [cost(assigned).first().cost]
     for r in range(rounds):
+        old = [centroids, assigned]
         new = cut(update(assigned, centroids))
         if balance:
+            old.append(new)
             new = cut(refill(assigned, new, seed + r + 1))
         same = unchanged and new.select("c_id", *words).exceptAll(centroids.select("c_id", *words)).isEmpty()
         centroids = new
         assigned = cut(assign(df.select(id_col, *words), centroids, id_col))
         costs.append(cost(assigned).first().cost)
+        drop(*old)
         if same or not unchanged and costs[-1] is not None and 0 <= costs[-2] - costs[-1] < tolerance:
             break
     return centroids, assigned, costs

@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one is set only where none is named."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="bitloom-"))
-    return (named or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on a single machine; on a cluster
+    that is an error, as a folder of one machine would be lost with it."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df materialised in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder, and read from there: lost executors don't bring its making back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what cut() wrote for these frames; others are left alone."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            df._cut_path = None
