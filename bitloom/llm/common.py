@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -11,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.operators.lineage import cut, drop, shared_dir  # noqa: F401
 from bitloom.sources.shipping import ship
 
 #: Bytes of text that are split into words at a time.
@@ -22,47 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where the session names none (tests, a single machine) a local folder is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: compressed and read by column; for frames that hold texts."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the table behind a frame that stored() made."""
-    spark = df.sparkSession
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/stored-" in root:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of df has, whatever its case."""
     held = {c.lower() for c in df.columns}

@@ -1,14 +1,17 @@
 """Quality rules by weak supervision.
 
 Each rule looks at a document's signals and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over all
-documents estimates how often each rule is right about good and about bad documents, without labels; a document's
-posterior probability of being good then decides, in place of demanding that every rule passes. Votes are a sufficient
-statistic: documents are counted by vote pattern (3^rules patterns at most, whatever the corpus size), and the fit runs
-on those counts.
+documents estimates, without labels, kinds of documents and how often each rule accuses each kind: junk differs, and
+what one rule sees another does not. How many kinds there are is decided by the Bayesian information criterion. A kind
+is junk if several rules agree on accusing it, so a single rule's accusations count for as much as other rules bear them
+out, and the posterior probability of the other kinds decides, in place of demanding that every rule passes. Votes are a
+sufficient statistic: documents are counted by vote pattern (3^rules patterns at most, whatever the corpus size), and
+the fit runs on those counts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -20,11 +23,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from bitloom.llm.common import cut, free_name, word_chunks
 
-SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_exclaim", "n_enders", "n_bare", "n_stutter"]
+SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_exclaim", "n_enders", "n_bare", "n_stutter", "n_marked"]
 _ENDER = re.compile(rb"[.!?][\x20\x09-\x0D]")
 _WINDOW = 8
-#: What the rules' authors claim, and its weight against the counts: how seldom a rule accuses a good document.
-CLAIM, TRUST = 0.002, 4.0
+_MARKED = re.compile(rb"[#*$%&|<>]{2}[^\x20\x09-\x0D]*")
+#: Kinds of junk that are tried at most, and the accusations that a kind must draw above the best one's to be junk.
+KINDS, AGREE = 6, 1.5
 
 
 def repeated_words(ids: np.ndarray, window: int = _WINDOW) -> int:
@@ -77,6 +81,7 @@ def signals_of(text: str | None) -> tuple[int, ...]:
         len(_ENDER.findall(data + b" ")),
         bare,
         int((places[1:] == places[:-1]).sum()),
+        len(_MARKED.findall(data)),
     )
 
 
@@ -122,6 +127,8 @@ def rules(n: dict[str, str]) -> dict[str, Column]:
     ends = c["n_enders"] / words
     bare = c["n_bare"] / words
     stutter = c["n_stutter"] / words
+    plain = c["n_letters"] / F.when(c["word_chars"] > 0, c["word_chars"])
+    marked = c["n_marked"] / words
     return {
         "symbols": vote(share, share > 0.1, share < 0.02),
         "repeats": vote(repeat, repeat > 0.3, (repeat < 0.05) & (words >= 16)),
@@ -134,83 +141,133 @@ def rules(n: dict[str, str]) -> dict[str, Column]:
         "bare_marks": vote(bare, bare > 0.2, bare < 0.05),
         "stutter": vote(stutter, stutter > 0.2, (stutter < 0.05) & (words >= 10)),
         "length": vote(words, words < 5, words >= 30),
+        "letters": vote(plain, plain < 0.75, plain > 0.85),
+        "marked_words": vote(marked, marked > 0.1, marked < 0.02),
     }
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """prior: share of good documents. good, bad: per rule, the probability that a vote is "bad", by class."""
+    """By kind: its share of the documents, whether it is junk, and per rule the probability that a vote is "bad"."""
 
     names: tuple[str, ...]
-    prior: float
-    good: tuple[float, ...]
-    bad: tuple[float, ...]
-
-    def logit(self, votes: dict[str, Column]) -> Column:
-        total = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for name, g, b in zip(self.names, self.good, self.bad):
-            total = total + F.when(votes[name] == 1, float(np.log((1 - g) / (1 - b)))).when(votes[name] == -1, float(np.log(g / b))).otherwise(0.0)
+    shares: tuple[float, ...]
+    junk: tuple[bool, ...]
+    rates: tuple[tuple[float, ...], ...]
+
+    @property
+    def prior(self) -> float:
+        """The share of good documents."""
+        return sum(s for s, bad in zip(self.shares, self.junk) if not bad)
+
+    def _weight(self, votes: dict[str, Column], junk: bool) -> Column:
+        """The probability of the votes and of being of a kind that is, or isn't, junk."""
+        total = F.lit(0.0)
+        for share, bad, rates in zip(self.shares, self.junk, self.rates):
+            if bad == junk:
+                log = F.lit(math.log(share))
+                for name, r in zip(self.names, rates):
+                    log = log + F.when(votes[name] == -1, math.log(r)).when(votes[name] == 1, math.log1p(-r)).otherwise(0.0)
+                total = total + F.exp(log)
         return total
 
     def posterior(self, votes: dict[str, Column]) -> Column:
-        return 1 / (1 + F.exp(-self.logit(votes)))
-
-
-def fit_votes(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tol: float = 1e-9) -> VoteModel:
-    """Expectation-maximisation on distinct vote patterns (rows of -1, 0, 1) and their counts.
-
-    Abstaining says nothing. A rule's "bad" vote is held to be at least as likely of bad documents as of good ones, which
-    fixes which class is which; counts get a weak prior so that no probability is 0 or 1. It starts from the belief that a
-    document with any "bad" vote is bad, as kinds of junk differ and the likeliest split alone would find one kind only.
-    No patterns: the prior alone.
-    """
-    down, up = patterns == -1, patterns == 1
-    p, last = np.where(down.any(axis=1), 0.1, 0.95), None
-    good, bad, prior = np.full(len(names), 0.01), np.full(len(names), 0.4), 0.9
-    for _ in range(rounds if len(counts) else 0):
-        wg, wb = counts * p, counts * (1 - p)
-        prior = float(np.clip((wg.sum() + 9) / (counts.sum() + 10), 0.02, 0.98))
-        held = wg @ (down | up)
-        good = (wg @ down + TRUST * held * CLAIM + 0.1) / ((1 + TRUST) * held + 10)
-        bad = (wb @ down + 4) / (wb @ (down | up) + 10)
-        good, bad = np.minimum(good, 0.5 * (good + bad)), np.maximum(bad, good)
-        lg = np.log(prior) + down @ np.log(good) + up @ np.log(1 - good)
-        lb = np.log(1 - prior) + down @ np.log(bad) + up @ np.log(1 - bad)
-        like = float((counts * np.logaddexp(lg, lb)).sum())
-        p = 1 / (1 + np.exp(np.clip(lb - lg, -500, 500)))
-        if last is not None and abs(like - last) <= tol * max(1.0, abs(like)):
+        good = self._weight(votes, False)
+        return good / (good + self._weight(votes, True))
+
+
+def _start(down: np.ndarray, counts: np.ndarray, kinds: int) -> np.ndarray:
+    """First guesses of each pattern's kind, the last `kinds` of them by seeds: in turn the commonest pattern of two
+    accusations or more that shares less than half of them with an earlier seed. Nearness is by shared accusations."""
+    n, free = down.sum(1), down.sum(1) >= 2
+    near = np.zeros((len(down), kinds))
+    for k in range(kinds):
+        weight = np.where(free, counts, 0)
+        if not weight.any():
+            break
+        seed = down[int(np.argmax(weight))]
+        both = (down & seed).sum(1)
+        near[:, k] = both / np.maximum(n + seed.sum() - both, 1)
+        free &= near[:, k] < 0.5
+    junk = np.where(n >= 2, 0.9, np.where(n == 1, 0.3, 0.01))
+    total = near.sum(1)
+    split = np.where(total[:, None] > 0, near / np.where(total > 0, total, 1)[:, None], 1 / max(1, kinds))
+    return np.hstack([1 - junk[:, None], junk[:, None] * split]) if kinds else np.ones((len(down), 1))
+
+
+def _maximise(down: np.ndarray, up: np.ndarray, counts: np.ndarray, kinds: int, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shares, rates, log likelihood) of a good kind and `kinds` others. Counts get half a vote either way, so that no
+    probability is 0 or 1."""
+    p, last = _start(down, counts, kinds), -np.inf
+    for _ in range(rounds):
+        w = counts[:, None] * p
+        shares = (w.sum(0) + 0.5) / (counts.sum() + 0.5 * (kinds + 1))
+        rates = np.clip((w.T @ down + 0.5) / (w.T @ (down | up) + 1), 1e-9, 1 - 1e-9)
+        log = np.log(shares) + down @ np.log(rates).T + up @ np.log1p(-rates).T
+        each = np.logaddexp.reduce(log, axis=1)
+        like = float(counts @ each)
+        p = np.exp(log - each[:, None])
+        if like - last <= tol * max(1.0, abs(like)):
             break
         last = like
-    return VoteModel(tuple(names), prior, tuple(map(float, good)), tuple(map(float, bad)))
+    return shares, rates, like
 
 
-def fit(frame: DataFrame, names: dict[str, str]) -> VoteModel:
-    """The vote model of all rows of a frame with signals that pass the base; the others need no verdict.
+def fit_votes(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tol: float = 1e-9) -> VoteModel:
+    """Expectation-maximisation on distinct vote patterns (rows of -1, 0, 1) and their counts.
 
-    What reaches the driver is bounded by 3^11 patterns.
+    Abstaining says nothing. Zero to KINDS further kinds beside the first are tried, and the criterion takes the number.
+    The kind that draws the fewest accusations is good; others are junk if they draw AGREE more than it, summed over the
+    rules, so by one rule's word alone no kind is. No patterns: nine in ten are held to be good.
     """
-    votes = rules(names)
-    found = frame.where(~base_failed(names)).select([v.cast("int").alias(f"v{k}") for k, v in enumerate(votes.values())]).groupBy([f"v{k}" for k in range(len(votes))]).count().collect()
+    if not len(counts):
+        return VoteModel(tuple(names), (0.9, 0.1), (False, True), ((0.5,) * len(names),) * 2)
+    down, up = patterns == -1, patterns == 1
+    best = None
+    for kinds in range(KINDS + 1):
+        shares, rates, like = _maximise(down, up, counts, kinds, rounds, tol)
+        worth = like - 0.5 * kinds * (len(names) + 1) * np.log(counts.sum())
+        if best is None or worth > best[0]:
+            best = worth, shares, rates
+    _, shares, rates = best
+    voted = (counts @ (down | up)) > 0
+    least = rates[int(np.argmin(rates[:, voted].sum(1)))]
+    junk = np.maximum(rates - least, 0)[:, voted].sum(1) >= AGREE
+    return VoteModel(tuple(names), tuple(map(float, shares)), tuple(map(bool, junk)), tuple(tuple(map(float, r)) for r in rates))
+
+
+def voted(frame: DataFrame, names: dict[str, str]) -> tuple[DataFrame, dict[str, Column]]:
+    """frame with a column of votes by rule, and those columns by the rules' names."""
+    said = rules(names)
+    at = {rule: free_name(frame, f"vote_{rule}") for rule in said}
+    return frame.select("*", *[v.cast("int").alias(at[rule]) for rule, v in said.items()]), {rule: F.col(c) for rule, c in at.items()}
+
+
+def fit(frame: DataFrame, votes: dict[str, Column]) -> VoteModel:
+    """The vote model of all rows of a frame. What reaches the driver is bounded by 3^13 patterns."""
+    found = frame.groupBy(*votes.values()).count().collect()
     rows = np.array([tuple(r) for r in found], np.int64).reshape(-1, len(votes) + 1)
     order = np.lexsort(rows.T)
     return fit_votes(list(votes), rows[order, :-1], rows[order, -1].astype(float))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Per row of docs: id, the signals, base_failed, kept and posterior.
+    """Per row of docs: id, the signals, the votes, base_failed, posterior and kept. The fit is to what passes the base.
 
     Null and empty texts have no words: base_failed, not kept. Repeated rows are judged alike; an empty table gives none.
     """
     frame, names = signals(docs.select(id_col, text_col), text_col, drop_text=True)
+    frame, votes = voted(frame.withColumn("base_failed", base_failed(names)), names)
     frame = cut(frame)
-    model = fit(frame, names)
-    out = frame.withColumn("base_failed", base_failed(names)).withColumn("posterior", model.posterior(rules(names)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    model = fit(frame.where("not base_failed"), votes)
+    return frame.withColumn("posterior", model.posterior(votes)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that judge() does not keep; the model is fitted on these docs. Columns stay as they are."""
-    counted, names = signals(docs.select(text_col), text_col, drop_text=True)
-    model = fit(counted, names)
-    frame, names = signals(docs, text_col)
-    return frame.where(~base_failed(names) & (model.posterior(rules(names)) >= threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that judge() does not keep; the model is fitted on these docs. Columns stay as they are,
+    whatever their names. Texts are read for signals once: what passes the base is written with its votes, then filtered."""
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    frame, names = signals(numbered, f"c{docs.columns.index(text_col)}")
+    frame, votes = voted(frame.where(~base_failed(names)), names)
+    frame = cut(frame.drop(*names.values()))
+    return frame.where(fit(frame, votes).posterior(votes) >= threshold).select(*numbered.columns).toDF(*docs.columns)
