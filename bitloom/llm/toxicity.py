@@ -1,10 +1,12 @@
 """Toxicity from the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents, as TF-IDF vectors over the terms (words, and first letters of long
-words) whose presence goes with the label by a chi-squared test on a larger bounded sample. Document frequencies come
-from all documents. An index with per-block maxima finds each document's exact nearest examples by cosine: blocks are
-taken by falling upper bound, and what can't reach the k-th best is left. Votes weigh by squared cosine; the mapping
-from votes to probability is an isotonic fit to the examples' own leave-one-out votes.
+Examples are a bounded sample of labelled documents, clean ones too, as TF-IDF vectors over all of their words. Document
+frequencies come from all documents. A term whose presence goes with label 1 beyond chance, among a larger bounded
+sample, weighs more by its log odds, and for such terms beginnings of words count too; every other word keeps a floor.
+The examples' vectors lie in an inverted index: each term's postings are cut into blocks of examples, each with its
+greatest weight. A document's blocks are taken by falling upper bound, and what can't reach the k-th best is left, so
+its nearest examples by cosine are exact. Votes weigh by squared cosine; the mapping from votes to probability is an
+isotonic fit to the examples' own leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -25,62 +27,104 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """max_fit, max_examples: labelled rows used, per class, to choose terms and as examples. max_terms: terms kept.
+    """max_fit, max_examples: labelled rows used, per class, to weigh terms and as examples. heads: lengths of beginnings.
 
-    A term must pass min_chi2, and rows that hold it must have label 1 at min_rate, with a lower confidence bound (Wilson,
-    95 %) of min_bound: chi-squared alone grows with the sample and lets in common words once it is large.
+    A term is told from chance by the signed root of its G statistic, which must reach min_root. floor: weight of the
+    other words against a log odds of one. first: blocks that a document looks into before it bounds the rest.
     """
 
     max_fit: int = 10_000
     max_examples: int = 1_500
-    max_terms: int = 512
-    min_rows: int = 5
-    min_chi2: float = 25.0
-    min_rate: float = 0.85
-    min_bound: float = 0.5
-    head: int = 5
+    min_root: float = 4.0
+    heads: tuple[int, ...] = (4, 5, 6, 7)
+    floor: float = 0.1
     k: int = 15
-    doubt: float = 1.0
+    doubt: float = 0.05
     block: int = 64
+    first: int = 4
     threshold: float = 0.7
 
 
-def terms_of(text: str, head: int) -> list[str]:
-    """Words in lower case and, marked ^, the first letters of longer ones; with repeats."""
-    words = _WORD.findall(text.lower())
-    return words + ["^" + w[:head] for w in words if len(w) > head]
+def counts_of(text: str) -> Counter:
+    """The words of a whole text in lower case, and how often each is there."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def heads_of(words: Counter, lengths: tuple[int, ...], known=None) -> Counter:
+    """The beginnings, marked ^, of longer words; of known ones only, if known is given."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for k in lengths:
+            if len(w) <= k:
+                break
+            h = "^" + w[:k]
+            if known is None or h in known:
+                out[h] += n
+    return out
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owner) of all numbers in the ranges."""
+    size = ends - starts
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(size) + size, size), owner
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks, each with its greatest weight by term, for exact top-k by inner product."""
-
-    def __init__(self, vectors: np.ndarray, block: int) -> None:
-        n, terms = vectors.shape
-        self.order = np.lexsort((np.arange(n), vectors.argmax(1))) if n else np.arange(0)
-        self.place = np.argsort(self.order)
-        rows = vectors[self.order]
-        self.rows = rows
-        self.starts = list(range(0, n, block))
-        self.block = block
-        self.highest = np.array([rows[s : s + block].max(0) for s in self.starts]).reshape(len(self.starts), terms)
+    """Unit vectors, sparse, as posting lists by term. A list is cut where its rows pass from one block of rows to the
+    next, and each such piece has its greatest weight. For exact top-k by inner product."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int, order: list[int] | None = None, first: int = 4) -> None:
+        """vectors: (terms, weights) of every row; order: rows in the order in which they fill blocks."""
+        n = len(vectors)
+        self.first, self.rows = first, n
+        self.order = np.array(order if order is not None else range(n), np.int64)
+        place = np.argsort(self.order)
+        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        row = np.repeat(place, [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        at = np.lexsort((row, term))
+        term, self.row, self.weight = term[at], row[at], weight[at]
+        cell = self.row // block
+        self.blocks = -(-n // block)
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (cell[1:] != cell[:-1])
+        self.piece = np.append(np.nonzero(new)[0], len(term))
+        self.piece_block = cell[new]
+        self.piece_most = np.maximum.reduceat(self.weight, self.piece[:-1]) if len(term) else np.zeros(0)
+        self.list = np.searchsorted(term[new], np.arange(terms + 1))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k best with a positive product, ties to the smaller row; skip is left out."""
-        bounds = self.highest[:, terms] @ weights
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(ids) == k and bounds[b] < scores[-1] - 1e-9:
-                break
-            s = self.starts[b]
-            found = self.rows[s : s + self.block][:, terms] @ weights
-            hit = np.nonzero(found > 0)[0]
-            here = self.order[s + hit]
-            if skip >= 0:
-                hit, here = hit[here != skip], here[here != skip]
-            ids, scores = np.concatenate([ids, here]), np.concatenate([scores, np.round(found[hit], 12)])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+        pieces, owner = _ranges(self.list[terms], self.list[terms + 1])
+        of_piece, block = weights[owner], self.piece_block[pieces]
+        bounds = np.bincount(block, of_piece * self.piece_most[pieces], self.blocks)
+        taken = np.argsort(-bounds, kind="stable")[: self.first]
+        score = np.zeros(self.rows)
+        self._add(score, pieces, of_piece, np.isin(block, taken))
+        least = self._kth(score, k + (skip >= 0))
+        rest = bounds >= least - 1e-9
+        rest[taken] = False
+        if rest.any():
+            self._add(score, pieces, of_piece, rest[block])
+        score = np.round(score, 12)
+        hit = np.nonzero(score > 0)[0]
+        rows = self.order[hit]
+        if skip >= 0:
+            hit, rows = hit[rows != skip], rows[rows != skip]
+        found = score[hit]
+        if len(hit) > k:
+            good = found >= np.partition(found, -k)[-k]
+            rows, found = rows[good], found[good]
+        best = np.lexsort((rows, -found))[:k]
+        return rows[best], found[best]
+
+    def _add(self, score: np.ndarray, pieces: np.ndarray, weights: np.ndarray, use: np.ndarray) -> None:
+        at, owner = _ranges(self.piece[pieces[use]], self.piece[pieces[use] + 1])
+        score += np.bincount(self.row[at], weights[use][owner] * self.weight[at], self.rows)
+
+    def _kth(self, score: np.ndarray, k: int) -> float:
+        return float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +143,40 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
+    """terms: number of every term of an example; weight: its idf times its log odds or the floor; apart: the largest
+    weight, which words that no example has get in a text's length."""
+
     params: Params
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
+    apart: float
     ids: list
     toxic: np.ndarray
     votes: np.ndarray
-    index: BlockMaxIndex
     base: float
+    index: BlockMaxIndex | None = None
     curve: tuple[np.ndarray, np.ndarray] | None = None
-
-    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        at = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
-
-    def raw(self, terms, counts, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+    heads: frozenset = frozenset()
+
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text's words, of length 1 with the words that no example has."""
+        known = self.terms
+        found = [(k, c) for w, c in words.items() if (k := known.get(w)) is not None]
+        spare = np.array([c for w, c in words.items() if w not in known], float)
+        found += [(known[h], c) for h, c in heads_of(words, self.params.heads, self.heads).items()]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found.sort()
+        at = np.array([k for k, _ in found], np.int64)
+        w = (1 + np.log(np.array([c for _, c in found], float))) * self.weight[at]
+        length = np.sqrt((w * w).sum() + (((1 + np.log(spare)) * self.apart) ** 2).sum())
+        return (at, w / length) if length > 0 else (at[:0], w[:0])
+
+    def raw(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         """The weighted share of toxic votes, None without a neighbour; the neighbours and their cosines.
 
         A vote of weight `doubt` for label 0 is always cast, so that far neighbours alone convince nobody.
         """
-        at, w = self.vector(terms, counts)
         if not len(at) or not len(self.toxic):
             return None, at[:0], w[:0]
         ids, sims = self.index.top(at, w, self.params.k, skip)
@@ -129,154 +185,155 @@ class Model:
         v = sims**2 * self.votes[ids]
         return float((v * self.toxic[ids]).sum() / (v.sum() + self.params.doubt)), ids, sims
 
-    def score(self, terms, counts) -> tuple[float, str]:
+    def score(self, text: str | None) -> tuple[float, str]:
         """The probability of label 1, and as evidence the nearest examples as id:label:cosine."""
-        raw, ids, sims = self.raw(terms, counts)
+        raw, ids, sims = self.raw(*self.vector(counts_of(text or "")))
         if raw is None:
             return self.base, ""
         p = float(np.clip(np.interp(raw, *self.curve), 0, 1)) if self.curve else raw
         return p, ",".join(f"{self.ids[i]}:{self.toxic[i]}:{s:.3f}" for i, s in zip(ids[:3], sims[:3]))
 
 
+def build(examples: list[tuple], frequencies: dict[str, int], n: int, odds: dict[str, float], amount: dict[int, int], p: Params) -> Model:
+    """The model of labelled examples (id, words, label). frequencies: documents of n that hold each of their terms; odds:
+    log odds of the terms that go with label 1; amount: labelled rows by label, which the votes are weighed up to."""
+    terms = {t: k for k, t in enumerate(sorted(frequencies))}
+    idf = np.log((n + 1) / (np.array([frequencies[t] for t in terms], float) + 1)) if terms else np.zeros(0)
+    weight = np.maximum(idf, 0) * np.array([odds.get(t, p.floor) for t in terms])
+    each = Counter(t for _, _, t in examples)
+    share = {t: amount.get(t, 0) / each[t] for t in each}
+    mass = sum(share[t] * each[t] for t in each)
+    toxic = np.array([t for _, _, t in examples], np.int64)
+    model = Model(p, terms, weight, float(np.log(n + 1) * p.floor), [i for i, _, _ in examples], toxic, np.array([share[t] / share.get(1, 1.0) for t in toxic]), share.get(1, 0.0) * each[1] / mass if mass else 0.0)
+    model.heads = frozenset(t for t in terms if t[0] == "^")
+    vectors = [model.vector(words) for _, words, _ in examples]
+    lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+    model.index = BlockMaxIndex(vectors, len(terms), p.block, sorted(range(len(vectors)), key=lambda k: (toxic[k], lead[k], k)), p.first)
+    votes = [(model.raw(*v, skip=k)[0], k) for k, v in enumerate(vectors)]
+    seen = [(raw, toxic[k], share[toxic[k]]) for raw, k in votes if raw is not None]
+    if seen:
+        model.curve = isotonic(*(np.array(x, float) for x in zip(*seen)))
+    return model
+
+
 def _sample(labels: DataFrame, n: int) -> list[tuple]:
     """Up to n labelled rows of each class, by the hash of their ids."""
     rows = []
     for toxic in (0, 1):
         rows += labels.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "toxic").collect()
-    return rows
+    return [tuple(r) for r in rows]
 
 
-def _counted(docs: DataFrame, text: str, known: dict[str, int], head: int, rest: list[str]) -> DataFrame:
-    """Columns rest, and by known term its number in the whole text: arrays terms, counts."""
-    source = docs.select(*rest, text)
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "terms array<int>, counts array<int>"])
-    whole = {t for t in known if t[0] != "^"}
-    heads = {t[1:] for t in known if t[0] == "^"}
+def _texts(docs: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
+    """(id, label, text) of the labelled rows; of several documents of one id the least text."""
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(rows, f"want {kind}, label int"))
+    return docs.join(wanted, F.col("id") == F.col("want")).groupBy("id", "label").agg(F.min("text").alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            ts, cs = [], []
-            for value in batch.column(len(rest)):
-                words = _WORD.findall((value.as_py() or "").lower())
-                hits = Counter(w for w in words if w in whole)
-                if heads:
-                    hits.update("^" + h for w in words if len(w) > head and (h := w[:head]) in heads)
-                found = sorted((known[t], c) for t, c in hits.items())
-                ts.append([t for t, _ in found])
-                cs.append([c for _, c in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), pa.array(ts, pa.list_(pa.int32())), pa.array(cs, pa.list_(pa.int32()))], names=[*rest, "terms", "counts"])
-
-    return source.mapInArrow(run, schema)
-
-
-def choose_terms(docs: DataFrame, rows: list[tuple], amount: dict[int, int], p: Params, id_col: str, text_col: str) -> list[str]:
-    """The terms whose presence goes with label 1 among the sampled rows, by falling chi-squared."""
-    n1 = sum(t for _, t in rows)
-    n0 = len(rows) - n1
-    if not n1 or not n0:
-        return []
-    spark = docs.sparkSession
-    label = {i: t for i, t in rows}
-    held = spark.sparkContext.broadcast(label)
-    head = p.head
-    picked = docs.select(id_col, text_col).join(F.broadcast(spark.createDataFrame(rows, f"__id {docs.schema[id_col].dataType.simpleString()}, __t int")), F.col(id_col) == F.col("__id"), "left_semi")
+
+def term_odds(sampled: DataFrame, p: Params) -> dict[str, float]:
+    """The log odds of the terms, beginnings too, whose presence goes with label 1 beyond chance among the sampled rows;
+    each count a half up. sampled: label and text; its bounded number of rows bounds what reaches the driver."""
+    lengths = p.heads
 
     def run(batches):
         seen: dict[str, list[int]] = {}
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = held.value[i]
-                for term in set(terms_of(text or "", head)):
-                    seen.setdefault(term, [0, 0])[t] += 1
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = counts_of(text or "")
+                for term in (*words, *heads_of(words, lengths)):
+                    seen.setdefault(term, [0, 0])[label] += 1
             if len(seen) > 300_000:
                 yield out(seen)
                 seen = {}
         yield out(seen)
 
     def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["term", "n0", "n1"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["term", "n0", "n1"])
+
+    sizes = {r[0]: r[1] for r in sampled.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return {}
+    total = sampled.select("label", "text").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+    c0, c1 = F.col("c0"), F.col("c1")
+    part = lambda c, n: F.when(c > 0, c * F.log(c / ((c0 + c1) * (n / (n0 + n1))))).otherwise(0.0)
+    g = 2 * (part(c0, n0) + part(c1, n1))
+    kept = total.where((c1 * n0 > c0 * n1) & (g >= p.min_root**2))
+    return {r.term: float(np.log((r.c1 + 0.5) / (n1 + 1)) - np.log((r.c0 + 0.5) / (n0 + 1))) for r in kept.collect()}
+
 
-    total = picked.mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    n, both = n1 + n0, F.col("c0") + F.col("c1")
-    want1, want0 = both * n1 / n, both * n0 / n
-    chi2 = (F.col("c1") - want1) ** 2 / want1 + (F.col("c0") - want0) ** 2 / want0
-    held1, held0 = F.col("c1") * amount[1] / n1, F.col("c0") * amount[0] / n0
-    rate, z2 = held1 / (held1 + held0), 1.96**2
-    low = (rate + z2 / (2 * both) - 1.96 * F.sqrt(rate * (1 - rate) / both + z2 / (4 * both * both))) / (1 + z2 / both)
-    kept = total.where((both >= p.min_rows) & (rate >= p.min_rate) & (low >= p.min_bound)).withColumn("chi2", chi2).where(F.col("chi2") >= p.min_chi2)
-    return [r.term for r in kept.orderBy(F.desc("chi2"), "term").limit(p.max_terms).collect()]
+def frequencies_of(docs: DataFrame, terms: list[str], lengths: tuple[int, ...]) -> tuple[dict[str, int], int]:
+    """How many of all documents hold each of the terms, and how many documents there are. docs: text."""
+    take = hold(docs.sparkSession, terms)
+
+    def run(batches):
+        number = {t: k for k, t in enumerate(take())}
+        heads = {t for t in number if t[0] == "^"}
+        seen, n = np.zeros(len(number), np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for text in batch.column(0):
+                words = counts_of(text.as_py() or "")
+                here = [k for w in words if (k := number.get(w)) is not None]
+                here += [number[h] for h in heads_of(words, lengths, heads)]
+                seen[here] += 1
+        held = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], n))], names=["t", "n"])
+
+    found = {r.t: r["sum(n)"] for r in docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").sum("n").collect()}
+    return {t: found.get(k, 0) for k, t in enumerate(terms)}, found.get(-1, 0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
+    """The model of documents (id, text) by the labels that aren't held out."""
+    kind = docs.schema["id"].dataType.simpleString()
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    usable = cut(usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic")))
+    amount = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    rows = _sample(usable, p.max_fit)
+    sampled = cut(_texts(docs, rows, kind))
+    odds = term_odds(sampled, p)
+    chosen, sizes = [], Counter()
+    for i, label in rows:
+        sizes[label] += 1
+        if sizes[label] <= p.max_examples:
+            chosen.append((i, label))
+    lengths, heads = p.heads, frozenset(t for t in odds if t[0] == "^")
+
+    def run(batches):
+        for batch in batches:
+            words = [counts_of(t or "") for t in batch.column(2).to_pylist()]
+            words = [w | heads_of(w, lengths, heads) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
+
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"want {kind}, of int").select("want"))
+    found = sampled.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(run, f"id {kind}, label int, terms array<string>, counts array<int>")
+    examples = sorted((r.id, r.label, dict(zip(r.terms, r.counts))) for r in found.collect()) if chosen else []
+    terms = sorted({t for _, _, words in examples for t in words})
+    frequencies, n = frequencies_of(docs, terms, lengths)
+    bare = [(i, Counter({w: c for w, c in words.items() if w[0] != "^"}), label) for i, label, words in examples]
+    return build(bare, frequencies, n, odds, amount, p)
 
 
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, score, predicted and evidence.
 
     labels: doc_id and toxic; rows with another toxic than 0 or 1 or with a null id are not used, and of several of one id
-    the smallest counts. Null and empty texts, and those without a chosen term, get the rate of label 1 among
-    examples without one. Without usable labels of both classes every score is the rate of label 1 (0 without any).
+    the smallest counts. Null and empty texts, and those that share no word with an example, get the rate of label 1
+    among the usable labels. Without usable labels of both classes every score is the rate of label 1 (0 without any).
+    Repeated documents each get the same score and an empty table gives no rows; other columns don't matter.
     """
     p = params
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    usable = cut(usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic")))
-    amount = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    rows = [tuple(r) for r in _sample(usable, p.max_fit)]
-    terms = choose_terms(docs, rows, amount, p, id_col, text_col)
-    known = {t: k for k, t in enumerate(terms)}
-    counted = cut(_counted(docs, text_col, known, p.head, [id_col]))
-    n = counted.count()
-    df = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r.t] = r["count"]
-    chosen, sizes = [], Counter()
-    for i, t in rows:
-        if sizes[t] < p.max_examples:
-            sizes[t] += 1
-            chosen.append((i, t))
-    model = _model(counted, chosen, p, known, np.log((n + 1) / (df + 1)), amount, id_col)
-    take = hold(docs.sparkSession, model)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    take = hold(docs.sparkSession, learn(source, labels, p))
     threshold = p.threshold
 
     def run(batches):
         m = take()
         for batch in batches:
-            found = [m.score(t, c) if t else (m.base, "") for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [m.score(t.as_py()) for t in batch.column(1)]
             s = [x for x, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([e for _, e in found], pa.string())], names=[id_col, "score", "predicted", "evidence"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = counted.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence string")
-    return out.select(id_col, held_out(F.col(id_col), 3, 1).alias("held_out"), "score", "predicted", "evidence")
-
-
-def _model(counted: DataFrame, chosen: list[tuple], p: Params, known: dict[str, int], idf: np.ndarray, amount: dict[int, int], id_col: str) -> Model:
-    """The examples' vectors, gathered from the counted documents; 2 * max_examples rows of max_terms numbers at most."""
-    spark = counted.sparkSession
-    found = {}
-    if chosen:
-        wanted = spark.createDataFrame(chosen, f"__id {counted.schema[id_col].dataType.simpleString()}, __t int")
-        for r in counted.join(F.broadcast(wanted), F.col(id_col) == F.col("__id")).groupBy("__id", "__t").agg(F.min(F.struct("terms", "counts")).alias("v")).collect():
-            found[r["__id"]] = (r["__t"], r.v.terms, r.v.counts)
-    ids = [i for i, _ in chosen if i in found]
-    each = Counter(found[i][0] for i in ids)
-    weight = {t: amount.get(t, 0) / each[t] for t in each}
-    full = [i for i in ids if found[i][1]]
-    toxic = np.array([found[i][0] for i in full], np.int64)
-    blank = [found[i][0] for i in ids if not found[i][1]]
-    source = blank or [found[i][0] for i in ids]
-    mass = sum(weight[t] for t in source)
-    base = sum(weight[t] * t for t in source) / mass if mass else 0.0
-    vectors = np.zeros((len(full), max(1, len(known))))
-    model = Model(p, known, idf, full, toxic, np.array([weight[t] / weight.get(1, 1.0) for t in toxic]), None, float(base))
-    for k, i in enumerate(full):
-        at, w = model.vector(found[i][1], found[i][2])
-        vectors[k, at] = w
-    model.index = BlockMaxIndex(vectors, p.block)
-    x, y, w = [], [], []
-    for k, i in enumerate(full):
-        raw, _, _ = model.raw(found[i][1], found[i][2], skip=k)
-        if raw is not None:
-            x.append(raw)
-            y.append(toxic[k])
-            w.append(weight[toxic[k]])
-    if x:
-        model.curve = isotonic(np.array(x), np.array(y), np.array(w))
-    return model
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([e for _, e in found], pa.string())], names=["id", "score", "predicted", "evidence"])
+
+    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int, evidence string")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted", "evidence")
