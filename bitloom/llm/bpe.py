@@ -1,13 +1,16 @@
-"""Byte-pair encoding by an automaton over tokens.
+"""Byte-pair encoding by a deterministic automaton over bytes.
 
-The automaton starts as one state with a loop for every base symbol. Each merge (u, v) -> x, in order, is a gadget:
+The construction starts as one state with a loop for every base symbol. Each merge (u, v) -> x, in order, is a gadget:
 after u the arc v goes, x gets the state that v led to, and x can be taken wherever u could. The paths that are left
-spell every text in exactly one way, the one that applying the merges gives, so encoding a word is finding its path and
-decoding is emitting the labels of the arcs.
-
-Written out, the arcs of a 49,000-token vocabulary number about 2.4 thousand millions, as every state copies another.
-States and labels are therefore kept by copy-on-write: whom each copied and when, and the arcs that went. step() reads
-an arc through those tables, and the answers are kept in a transition table that fills as words are met.
+spell every text in exactly one way, the one that applying the merges gives. Written out, the arcs of a 49,000-token
+vocabulary number about 2.4 thousand millions, as every state copies another. States and labels are therefore kept by
+copy-on-write: whom each copied and when, and the arcs that went; follows() reads an arc through those tables.
+
+That automaton reads tokens. Encoding reads bytes, by its determinisation: a state holds the tokens that may be under way
+(the place in the trie of tokens, the token before it, and the labels not yet emitted), and an arc over a byte emits the
+labels that all of them share, so a label comes out as soon as no later byte can change it. A word is encoded by one
+transition a byte, looked up in a table, without choice or way back. The table fills as transitions are met and starts
+anew when it is full; decoding is emitting the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -19,13 +22,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of the word table and of the transition table in a worker. A full transition table is emptied; a full word
 #: table becomes the old one, from which words that are met again are taken over.
-WORDS, ARCS = 100_000, 400_000
-#: Letters by which the sizes of longer tokens are looked up.
-HEAD = 4
-SHORT = tuple(range(HEAD - 1, 0, -1))
+WORDS, ARCS = 80_000, 600_000
 #: Words of more letters than this are not kept in the table.
 LONG_WORD = 48
 #: Characters of a text that are encoded at a time, up to the next space.
@@ -42,6 +43,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class State(dict):
+    """Arcs by letter, each (state, labels emitted), and the threads that the state stands for: (place in the trie, token
+    before, labels held back), longest under way first; the one at the root, if any, is complete."""
+
+    __slots__ = ("threads", "rest")
+
+    def __init__(self, threads: tuple[tuple[int, int, tuple[int, ...]], ...]) -> None:
+        super().__init__()
+        self.threads = threads
+        self.rest = next((held for place, _, held in threads if place == 0), None)
+
+
 class Automaton:
     """The automaton of a vocabulary: token -> id, and merges in order. suffix marks a base symbol that ends a word."""
 
@@ -64,19 +77,30 @@ class Automaton:
             if (u not in spelled and u not in idle) or (v not in spelled and v not in idle) or x not in vocab:
                 raise ValueError(f"merge {rank} is not of known symbols")
             # earlier merges may leave no path on which v follows u; then nothing is spelled by x
-            if idle.isdisjoint((u, v)) and self._resolve(vocab[u], vocab[v]):
+            if idle.isdisjoint((u, v)) and self.follows(vocab[u], vocab[v]):
                 self._gadget(rank, vocab[u], vocab[v], vocab[x])
                 spelled[x] = spelled[u] + spelled[v]
             else:
                 idle.add(x)
-        self.token = {b: vocab[t] for t, b in spelled.items()}
-        self.longest = max(map(len, self.token), default=1)
-        self.sizes: dict[str, tuple[int, ...]] = {}
-        for t in sorted(self.token, key=len):
-            if len(t) >= HEAD:
-                known = self.sizes.get(t[:HEAD], SHORT)
-                self.sizes[t[:HEAD]] = known if known[0] == len(t) else (len(t), *known)
-        self.arcs: dict[int, bool] = {}
+        # the trie of all tokens: per place, the next places by letter, and the token that ends there
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for t, letters in spelled.items():
+            place = 0
+            for c in letters:
+                if c not in self.next[place]:
+                    self.next[place][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(-1)
+                place = self.next[place][c]
+            self.ends[place] = vocab[t]
+        self._empty()
+
+    def _empty(self) -> None:
+        """An empty transition table. One arc leads to the state without threads, from which none leads away."""
+        self.start = State(((0, -1, ()),))
+        self.states = {self.start.threads: self.start}
+        self.n_arcs = 0
 
     def _gadget(self, rank: int, u: int, v: int, x: int) -> None:
         self.gone[u, v] = rank
@@ -84,17 +108,8 @@ class Automaton:
         self.copied_label[x] = u
         self.born[x] = rank
 
-    def step(self, state: int, label: int) -> bool:
+    def follows(self, state: int, label: int) -> bool:
         """Whether the state that label `state` leads to has an arc `label`."""
-        key = state << 32 | label
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._resolve(state, label)
-        return known
-
-    def _resolve(self, state: int, label: int) -> bool:
         born, gone, when = self.born, self.gone, _FAR_FUTURE
         while True:
             if gone.get((state, label), _FAR_FUTURE) < when:
@@ -114,54 +129,46 @@ class Automaton:
             else:
                 when, label = b, self.copied_label[label]
 
-    def path(self, word: str) -> list[int]:
-        """The labels along the one path that spells word (with its end mark); [] where a symbol is unknown.
-
-        The longest arc is taken at each place; the few words on which that leads nowhere are walked with way back.
-        """
-        token, sizes, arcs, n = self.token.get, self.sizes.get, self.arcs.get, len(word)
-        out: list[int] = []
-        at, last = 0, -1
-        while at < n:
-            for size in sizes(word[at : at + HEAD], SHORT):
-                t = token(word[at : at + size])
-                if t is None or at + size > n:
-                    continue
-                if last >= 0:
-                    goes = arcs(last << 32 | t)
-                    if not (self.step(last, t) if goes is None else goes):
-                        continue
-                break
-            else:
-                return self._path_back(word)
-            out.append(t)
-            at += size
-            last = t
+    def arc(self, state: State, letter: str) -> tuple[State, tuple[int, ...]]:
+        """The transition of a state over a letter, which enters the table."""
+        threads = []
+        whole = None
+        for place, last, held in state.threads:
+            place = self.next[place].get(letter)
+            if place is not None:
+                if self.next[place]:
+                    threads.append((place, last, held))
+                t = self.ends[place]
+                if t >= 0 and (last < 0 or self.follows(last, t)):
+                    # every beginning of a word is spelled by one path at most, so there is one such thread at most
+                    whole = (0, t, (*held, t))
+        if whole:
+            threads.append(whole)
+        shared = 0
+        if threads:
+            first, rest = threads[0][2], [h for _, _, h in threads[1:]]
+            while shared < len(first) and all(len(h) > shared and h[shared] == first[shared] for h in rest):
+                shared += 1
+        key = tuple((place, last, held[shared:]) for place, last, held in threads)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = State(key)
+        self.n_arcs += 1
+        out = state[letter] = (to, threads[0][2][:shared] if threads else ())
         return out
 
-    def _path_back(self, word: str) -> list[int]:
-        """path() by depth-first search. A place that is left is never entered again, as every beginning of a word is
-        spelled by one path at most."""
-        n = len(word)
-        out: list[int] = []
-        ends, dead, limit = [0], set(), n
-        while (at := ends[-1]) < n:
-            for size in self.sizes.get(word[at : at + HEAD], SHORT):
-                if size > limit or at + size in dead or (t := self.token.get(word[at : at + size])) is None:
-                    continue
-                if not out or self.step(out[-1], t):
-                    out.append(t)
-                    ends.append(at + size)
-                    limit = n - at - size
-                    break
-            else:
-                if not out:
-                    return []
-                dead.add(at)
-                out.pop()
-                ends.pop()
-                limit = at - ends[-1] - 1
-        return out
+    def path(self, word: str) -> list[int]:
+        """The labels along the one path that spells word (with its end mark); [] where a symbol is unknown."""
+        if self.n_arcs >= ARCS:
+            self._empty()
+        state, out = self.start, []
+        for letter in word:
+            arc = state.get(letter) or self.arc(state, letter)
+            state = arc[0]
+            out += arc[1]
+        if state.rest is None:
+            return []
+        return out + list(state.rest)
 
 
 class Encoder:
@@ -179,6 +186,9 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.automaton = Automaton(model["vocab"], merges, self.suffix)
+        for a in spec["added_tokens"]:
+            if a.get("single_word") or a.get("lstrip") or a.get("rstrip") or a.get("normalized"):
+                raise ValueError(f"added token {a['content']!r} has a flag that isn't supported")
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.library = Tokenizer.from_str(definition)
         self.library.no_padding()
@@ -272,11 +282,13 @@ def encoder(definition: str) -> Encoder:
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_tokens, ids_sha256, decoded_sha256. vocabulary: path of a tokenizer file on the driver.
 
-    The file's content (its size doesn't depend on the data) is broadcast. Null texts count as empty: no tokens.
+    The file's content (its size doesn't depend on the data) is broadcast. Null texts count as empty: no tokens. Repeated
+    rows give repeated rows, an empty table none, texts of any length are walked piece by piece, and other columns don't
+    matter, whatever their names.
     """
     with open(vocabulary, encoding="utf-8") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
-    source = docs.select(id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):

@@ -84,3 +84,38 @@ def test_query_rows(both, make_docs):
     ids = bpe.tokens(docs.withColumnRenamed("lang", "Token_ids"), queries.vocabulary())
     assert {r.doc_id: r.token_ids for r in ids.collect()}[2] == both[0].encode("Hello you")
     assert bpe.digests(docs.where("false"), queries.vocabulary()).collect() == []
+
+
+def test_every_word_of_the_test_tables_and_one_transition_a_byte(spark, both):
+    """The query over whole tables against the library."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        ids = both[1].encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(both[1].decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = queries.queries()["op6_bpe"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
+
+
+def test_labels_come_out_as_soon_as_they_are_sure():
+    a = bpe.Automaton({"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}, [("a", "b"), ("ab", "c")], suffix="")
+    state, out = a.start, []
+    for letter in "aabab":
+        state, labels = state.get(letter) or a.arc(state, letter)
+        out.append(labels)
+    # the first a is sure once a second follows; ab may still become abc
+    assert out == [(), (0,), (), (3,), ()] and state.rest == (3,)
+    assert a.path("aababc") == [0, 3, 4] and a.path("ax") == [] and a.path("axa") == []
+    assert all(len(letter) == 1 for s in a.states.values() for letter in s)
+
+
+def test_an_added_token_with_a_flag_is_refused():
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="flag"):
+        bpe.Encoder(json.dumps(spec))
