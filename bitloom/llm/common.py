@@ -32,6 +32,22 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left.join(right, key) where one key may hold a large part of left. right holds a key once; hot holds the keys that
+    are frequent, few by how they were chosen: their rows meet right by broadcast, the others by a shuffle."""
+    few = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(right.join(few, key, "left_semi")), key).unionByName(left.join(few, key, "left_anti").join(right, key))
+
+
+#: A key is frequent if it has more than this many rows and more than a 1,000th of all, so that there are under 1,000.
+FREQUENT = 256
+
+
+def frequent(rows: int) -> int:
+    """The number of rows above which a key is frequent, of so many rows in all."""
+    return max(FREQUENT, rows // 1000)
+
+
 _held: dict[str, Any] = {}
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut
+from bitloom.llm.common import cut, drop, frequent, join_hot
 
 
 class Forest:
@@ -55,25 +55,32 @@ def _thin(batches):
         yield stars(forest)
 
 
+def _to_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (a, b) with m, the least node by a. Of the n edges frequent centres have over a 1,000th each, so their minima
+    are few and go to the rows, which no task then gathers; the other centres' rows are shuffled."""
+    return join_hot(rows, least.select("a", "m"), "a", least.where(F.col("rows") > frequent(n)))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps until nothing changes; each round is cut by a checkpoint. A round's rows
-    never outnumber the edges, and no neighbourhood is gathered: minima are aggregated before they are shuffled.
+    Alternates large-star and small-star steps until nothing changes; each round is written to the shared folder and the
+    one before it deleted. A round's rows never outnumber the edges, and no neighbourhood is gathered: minima are
+    aggregated before they are shuffled, and frequent centres get theirs by broadcast.
     """
+    state_of = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     e = cut(edges.where("a != b").mapInArrow(_thin, "a long, b long").distinct())
-    before = None
-    while True:
+    state, before = state_of(e), None
+    while state != before and state.n:
+        before, n = state, 2 * state.n
         # large star: every larger neighbour of a node is linked to the least of the node and its neighbours
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("rows")))
+        large = cut(_to_least(both.where("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: every node and its smaller neighbours are linked to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).where("a != b").mapInArrow(_thin, "a long, b long").distinct())
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")))
+        small = _to_least(large, lower, n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = cut(small.union(lower.select("a", F.col("m").alias("b"))).where("a != b").mapInArrow(_thin, "a long, b long").distinct())
+        drop(e, least, large, lower)
+        e, state = new, state_of(new)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -14,13 +14,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from bitloom.llm.common import cut, free_name, word_chunks
+from bitloom.llm.common import cut, drop, frequent, join_hot, word_chunks
+from bitloom.operators.sizing import small
 from bitloom.llm.components import connected
 
 SEED = 42
@@ -46,22 +46,20 @@ def simhash(data: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """docs' ids and `fingerprint` (long); with keep, all columns of docs and a fingerprint named free_name().
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """id and `fingerprint` (long) of docs, and more columns by expressions over id and text.
 
     A text that is null, empty or without words has fingerprint 0.
     """
-    name = free_name(docs, "fingerprint") if keep else "fingerprint"
-    source = docs if keep else docs.select(id_col, text_col)
-    out = source.schema if keep else docs.select(id_col).schema
-    out = type(out)(list(out.fields)).add(name, "long", False)
-    at, held = source.columns.index(text_col), range(len(source.columns)) if keep else [0]
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).select("id", *more, F.col("text").cast("binary").alias("text"))
+    held = range(len(source.columns) - 1)
+    out = StructType([source.schema.fields[i] for i in held]).add("fingerprint", "long", False)
 
     def run(batches):
         for batch in batches:
-            texts = pc.cast(batch.column(at), pa.binary())
+            texts = batch.column(len(held))
             prints = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in held), pa.array(prints)], names=[*(batch.schema.names[i] for i in held), name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in held), pa.array(prints)], names=out.names)
 
     return source.mapInArrow(run, out)
 
@@ -86,8 +84,15 @@ def _cells(u: Column, visits: bool) -> Column:
     return F.array(*out)
 
 
-def _near(a: Column, b: Column, ua: Column, ub: Column) -> Column:
-    return (F.bit_count(ua.bitwiseXOR(ub)) <= MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+def _near(a: Column, b: Column) -> Column:
+    """The Manhattan distance of the segments' counts as a bound, then the fingerprints' own."""
+    return (F.bit_count(_unary(a).bitwiseXOR(_unary(b))) <= MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+
+
+def _unary_rows(f: np.ndarray) -> np.ndarray:
+    """_unary() of an array."""
+    low, half = np.uint64(0x5555555555555555), f >> np.uint64(1)
+    return ((f | half) & low) | ((f & half & low) << np.uint64(1))
 
 
 def _span(batches):
@@ -96,10 +101,13 @@ def _span(batches):
 
     for key, homes, guests in _grouped(batches):
         forest = Forest()
+        counts = _unary_rows(homes)
         for k in range(0, len(guests), 256):
             part = guests[k : k + 256]
-            apart = np.bitwise_count(part[:, None] ^ homes[None, :])
-            g, h = np.nonzero((apart <= MAX_BITS) & (apart > 0))
+            g, h = np.nonzero(np.bitwise_count(_unary_rows(part)[:, None] ^ counts[None, :]) <= MAX_BITS)
+            apart = np.bitwise_count(part[g] ^ homes[h])
+            kept = (apart <= MAX_BITS) & (apart > 0)
+            g, h = g[kept], h[kept]
             for x, y in zip(part[g].view(np.int64).tolist(), homes[h].view(np.int64).tolist()):
                 forest.join(x, y)
         links = forest.links
@@ -127,14 +135,14 @@ def links(prints: DataFrame) -> DataFrame:
     Cells with up to DENSE homes give every link. Denser ones are cut into block pairs of BLOCK fingerprints, each of
     which gives a spanning forest of its links: the classes are the same, and the rows stay in proportion.
     """
-    base = prints.select(F.col("fingerprint").alias("f")).withColumn("u", _unary(F.col("f")))
-    homes = base.select("f", "u", F.explode(_cells(F.col("u"), False)).alias("cell"))
-    guests = base.select("f", "u", F.explode(F.array_compact(_cells(F.col("u"), True))).alias("cell"))
+    base = prints.select(F.col("fingerprint").alias("f"))
+    homes = base.select("f", F.explode(_cells(_unary(F.col("f")), False)).alias("cell"))
+    guests = base.select("f", F.explode(F.array_compact(_cells(_unary(F.col("f")), True))).alias("cell"))
     dense = cut(homes.groupBy("cell").count().where(F.col("count") > DENSE))
     h, g = homes.alias("h"), guests.alias("g")
     plain = (
         g.join(dense, "cell", "left_anti").alias("g")
-        .join(h, (F.col("g.cell") == F.col("h.cell")) & (F.col("g.f") != F.col("h.f")) & _near(F.col("g.f"), F.col("h.f"), F.col("g.u"), F.col("h.u")))
+        .join(h, (F.col("g.cell") == F.col("h.cell")) & (F.col("g.f") != F.col("h.f")) & _near(F.col("g.f"), F.col("h.f")))
         .select(F.col("g.f").alias("a"), F.col("h.f").alias("b"))
     )
     if dense.isEmpty():
@@ -154,40 +162,76 @@ def links(prints: DataFrame) -> DataFrame:
 def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fingerprint, component_id, root): of every distinct fingerprint, the smallest id that links lead to, and its class.
 
-    root tells classes apart where rows of two share an id. prints: one row a document, with its id and `fingerprint`. Equal fingerprints meet in one row before any join.
+    root tells classes apart where rows of two share an id. prints: one row a document, with its id and `fingerprint`.
     """
-    own = cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id")))
+    return _classes_of(cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id"))))
+
+
+def _classes_of(own: DataFrame) -> DataFrame:
+    """classes() of distinct fingerprints with their least ids, `own_id`: equal ones have met before any join."""
     found = connected(links(own))
-    joined = own.join(found, own.fingerprint == found.node, "left").select("fingerprint", "own_id", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = joined.where(F.col("root") != F.col("fingerprint")).unionByName(joined.join(found.select(F.col("root").alias("r")).distinct(), F.col("fingerprint") == F.col("r"), "left_semi"))
-    smallest = smallest.groupBy("root").agg(F.min("own_id").alias("component_id"))
-    return joined.join(smallest, "root", "left").select("fingerprint", F.coalesce("component_id", "own_id").alias("component_id"), "root")
+    linked = cut(own.join(found.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select("fingerprint", "own_id", F.coalesce("root", "fingerprint").alias("root"), F.col("root").isNotNull().alias("moved")))
+    # ids of a class meet once a map task has taken the least of its own
+    least = linked.where("moved").unionByName(linked.where("not moved").join(found.select("root").distinct(), "root", "left_semi")).groupBy("root").agg(F.min("own_id").alias("component_id"), F.count("*").alias("rows"))
+    # few classes have many fingerprints; classes of one fingerprint need none of this
+    n = linked.where("moved").count()
+    least = cut(least)
+    met = join_hot(linked.where("moved"), least.select("root", "component_id"), "root", least.where(F.col("rows") > frequent(n)))
+    alone = linked.where("not moved").join(least.select("root", "component_id"), "root", "left")
+    out = met.unionByName(alone.select(*met.columns))
+    return out.select("fingerprint", F.coalesce("component_id", "own_id").alias("component_id"), "root")
 
 
 def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, `fingerprint` (16 hex digits) and `component_id`.
 
     Empty, null and wordless texts share fingerprint 0 and so link. Repeated rows give repeated rows. Ids may be null:
-    such rows are kept, and a class of nothing else has a null component_id.
+    such rows are kept, and a class of nothing else has a null component_id. An empty table gives none; other columns
+    don't matter, whatever their names.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    found = classes(prints, id_col).select(F.col("fingerprint").alias("f"), "component_id")
-    return prints.join(found, F.col("fingerprint") == F.col("f")).select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    own = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("own_id"), F.count("*").alias("rows")))
+    found = _classes_of(own.select("fingerprint", "own_id")).select("fingerprint", "component_id")
+    n = prints.count()
+    out = join_hot(prints, found, "fingerprint", own.where(F.col("rows") > frequent(n)))
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Rows of a table of dropped documents (an id and two hashes each) that may be broadcast.
+FEW_DROPPED = 500_000
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that of its smallest id, the rest of its rows dropped. Columns stay as they are.
+    """docs with one row of each class: that of its smallest id, the rest of its rows dropped. Columns stay as they are,
+    whatever their names.
 
-    Rows that repeat an id are told apart by fingerprint and then text, so exactly one row of a class remains. Null ids
-    come after all others.
+    Rows that repeat an id are told apart by fingerprint and then text (by two 64-bit hashes), and of rows that agree in
+    all these the least by its other columns stays, so exactly one row of a class remains. Null ids come after all others.
+    Texts are read once for fingerprints, and classes are made of ids, fingerprints and hashes; texts aren't shuffled
+    unless too many rows go for a broadcast of their keys.
     """
-    spark_docs = fingerprints(docs, id_col, text_col, keep=True)
-    name = next(c for c in spark_docs.columns if c not in docs.columns)
-    prints = cut(fingerprints(docs, id_col, text_col))
-    found = classes(prints, id_col)
-    own = prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id"))
-    first = own.join(found, "fingerprint").groupBy("root").agg(F.min_by("fingerprint", F.struct(F.col("own_id").isNull(), "own_id", "fingerprint")).alias("kept"))
-    first = first.join(own, F.col("kept") == own.fingerprint).select(F.col("kept").alias("__kept"), F.col("own_id").alias("__own"))
-    left = spark_docs.join(first, (F.col(name) == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__own")), "left_semi")
-    at = W.partitionBy(name, id_col).orderBy(text_col)
-    return left.withColumn("__rank", F.row_number().over(at)).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    id_at, text_at = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    hashes = lambda text: (F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    prints = cut(fingerprints(numbered, id_at, text_at, *hashes(F.col("text"))))
+    keys = cut(prints.groupBy("fingerprint", "id", "h", "g").agg(F.count("*").alias("rows")))
+    drop(prints)
+    best = keys.groupBy("fingerprint").agg(F.min("id").alias("own_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "h", "g")).alias("best"))
+    best = cut(best)
+    first = best.join(_classes_of(best.select("fingerprint", "own_id")).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
+    first = first.select(F.col("best.fingerprint").alias("fingerprint"), F.col("best.id").alias("id"), F.col("best.h").alias("h"), F.col("best.g").alias("g"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]) & (a["g"] == b["g"])
+    k, f = keys.alias("k"), first.alias("f")
+    met = (F.col("k.fingerprint") == F.col("f.fingerprint")) & F.col("k.id").eqNullSafe(F.col("f.id")) & (F.col("k.h") == F.col("f.h")) & (F.col("k.g") == F.col("f.g"))
+    kept = k.join(f, met, "left_semi").where("rows > 1")
+    gone = cut(k.join(f, met, "left_anti").select("id", "h", "g").unionByName(kept.select("id", "h", "g")))
+    gone_few = small(gone, FEW_DROPPED)
+    rows = numbered.select("*", F.col(id_at).alias("id"), *hashes(F.col(text_at)))
+    single = rows.join(gone_few, same(rows, gone_few), "left_anti").select(*numbered.columns)
+    # what is kept of repeated rows: met in one row each by a map-side aggregate
+    again = cut(kept.select("id", "h", "g"))
+    if again.isEmpty():
+        return single.toDF(*docs.columns)
+    again = small(again, FEW_DROPPED)
+    repeated = rows.join(again, same(rows, again), "left_semi").groupBy("id", "h", "g").agg(F.min(F.struct(*numbered.columns)).alias("row")).select("row.*")
+    return single.unionByName(repeated).toDF(*docs.columns)
