@@ -1,11 +1,13 @@
 """Exact top-k by integer inner product.
 
-Vectors are turned into integers and taken by falling length. A rotation, fitted by SVD on a bounded sample, moves most
-of the product into the first coordinates: the partial product over those plus the product of the residual lengths (by
-Cauchy-Schwarz) bounds the whole, and only pairs whose bound reaches the query's k-th best score are multiplied out.
-The k-th best starts from the longest vectors of all, so every task prunes from its first row.
-
-Queries travel in blocks of bounded size; candidates are never shuffled.
+Vectors are turned into integers, sorted by falling length once and written in that order. A rotation, fitted by SVD on a
+bounded sample, moves most of the product into the first coordinates: the partial product over those plus the product of
+the residual lengths (by Cauchy-Schwarz) bounds the whole, and only pairs whose bound reaches the query's k-th best score
+are multiplied out. The k-th best starts from the longest vectors of all, so every task prunes from its first row, a task
+stops at the first row that is too short for all of its queries, and files of shorter rows aren't read at all.
+
+Queries are broadcast, in as few parts as a bound on their bytes allows: one part, and so one pass over the vectors, for
+up to some 100,000 queries. Candidates are shuffled once, for their order, however many queries there are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from bitloom.llm.common import cut, hold
 
 @dataclass(frozen=True)
 class Params:
-    """head: rotated coordinates of the partial product. seeds: longest vectors; sample: rows the rotation is fitted on."""
+    """head: rotated coordinates of the partial product. seeds: longest vectors; sample: rows the rotation is fitted on.
+
+    part_bytes: size of the queries that are broadcast at a time; query_block, rows: queries and candidates whose bounds
+    are held at a time.
+    """
 
     k: int = 5
     every: int = 50
@@ -31,6 +37,7 @@ class Params:
     head: int = 16
     seeds: int = 2048
     sample: int = 4096
+    part_bytes: int = 64 << 20
     query_block: int = 4096
     rows: int = 1024
 
@@ -54,10 +61,14 @@ def integers(column: pa.Array, scale: int, dim: int) -> tuple[np.ndarray, np.nda
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise products of integer-valued rows; in floating point where that is exact, else in int64."""
-    if len(a) and np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**52:
+    """Row-wise products of integer-valued rows, exactly: in floating point or int64 where that is exact, else in Python's
+    integers. A product beyond int64 is an error."""
+    reach = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    if reach < 2**52:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    if reach < 2**62:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    return np.array([sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)], np.int64)
 
 
 class Search:
@@ -76,44 +87,52 @@ class Search:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def feed(self, best, score_floor, ids, rows):
-        """Merge rows into best = (query places, scores, ids); score_floor falls never and is changed in place."""
+        """Merge rows into best = (query places, scores, ids); score_floor falls never and is changed in place.
+
+        Rows come by falling length, so the first run of them that no query can use ends it. Also tells whether the first
+        run was of use; if not, no later row is.
+        """
         p = self.p
         length = np.sqrt((rows**2).sum(1))
         order = np.argsort(-length, kind="stable")
         for s in range(0, len(order), p.rows):
             part = order[s : s + p.rows]
             reach = self.length * length[part[0]]
-            live = np.nonzero(reach * (1 + 1e-9) + 1e-6 >= score_floor)[0]
-            if not len(live):
-                break
+            every = np.nonzero(~(reach * (1 + 1e-9) + 1e-6 < score_floor))[0]
+            if not len(every):
+                return best, s > 0
             turned = rows[part] @ self.rotation
             rest = np.sqrt((turned[:, p.head :] ** 2).sum(1))
-            bound = self.turned[live] @ turned[:, : p.head].T
-            bound += self.rest[live][:, None] * rest[None, :]
-            slack = 1e-9 * reach[live] + 1e-6
-            q, r = np.nonzero(bound >= (score_floor[live] - slack)[:, None])
-            q, r = live[q], part[r]
-            own = ids[r] == self.ids[q]
-            q, r = q[~own], r[~own]
-            for t in range(0, len(q), 100_000):
-                qq, rr = q[t : t + 100_000], r[t : t + 100_000]
-                scores = exact(self.rows[qq], rows[rr])
-                kept = (scores > self.floor_score[qq]) | (scores == self.floor_score[qq]) & (ids[rr] <= self.floor_id[qq])
-                kept &= scores >= score_floor[qq]
-                best = tuple(np.concatenate(x) for x in zip(best, (qq[kept], scores[kept], ids[rr][kept])))
-                o = np.lexsort((best[2], -best[1], best[0]))
-                bq = best[0][o]
-                rank = np.arange(len(bq)) - np.searchsorted(bq, bq)
-                o, full = o[rank < p.k], rank == p.k - 1
-                last = np.nonzero(full)[0]
-                best_sorted = best[1][np.lexsort((best[2], -best[1], best[0]))]
-                score_floor[bq[last]] = np.maximum(score_floor[bq[last]], best_sorted[last])
-                best = tuple(x[o] for x in best)
+            for block in range(0, len(every), p.query_block):
+                live = every[block : block + p.query_block]
+                bound = self.turned[live] @ turned[:, : p.head].T
+                bound += self.rest[live][:, None] * rest[None, :]
+                slack = 1e-9 * reach[live] + 1e-6
+                q, r = np.nonzero(~(bound < (score_floor[live] - slack)[:, None]))
+                best = self._merge(best, score_floor, live[q], part[r], ids, rows)
+        return best, True
+
+    def _merge(self, best, score_floor, q, r, ids, rows):
+        """best with the pairs of queries q and rows r that are good enough."""
+        p = self.p
+        own = ids[r] == self.ids[q]
+        q, r = q[~own], r[~own]
+        for t in range(0, len(q), 100_000):
+            qq, rr = q[t : t + 100_000], r[t : t + 100_000]
+            scores = exact(self.rows[qq], rows[rr])
+            kept = (scores > self.floor_score[qq]) | (scores == self.floor_score[qq]) & (ids[rr] <= self.floor_id[qq])
+            kept &= scores >= score_floor[qq]
+            best = tuple(np.concatenate(x) for x in zip(best, (qq[kept], scores[kept], ids[rr][kept])))
+            best = tuple(x[np.lexsort((best[2], -best[1], best[0]))] for x in best)
+            rank = np.arange(len(best[0])) - np.searchsorted(best[0], best[0])
+            full = rank == p.k - 1
+            score_floor[best[0][full]] = np.maximum(score_floor[best[0][full]], best[1][full])
+            best = tuple(x[rank < p.k] for x in best)
         return best
 
     def settle(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Take the k-th best among these rows as every query's floor."""
-        q, s, i = self.feed(self.start(), np.full(len(self.ids), -np.inf), ids, rows)
+        (q, s, i), _ = self.feed(self.start(), np.full(len(self.ids), -np.inf), ids, rows)
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         last = rank == self.p.k - 1
         self.floor_score[q[last]], self.floor_id[q[last]] = s[last], i[last]
@@ -124,39 +143,40 @@ def search(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id"
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Shorter vectors
     count as filled up with zeros. Of several query rows with one id the first by components asks, and none of them
-    answers it; other repeated rows are candidates of their own. Scaled components must stay within 31 bits.
+    answers it; other repeated rows are candidates of their own. A score beyond 64 bits is an error. An empty table, or
+    one without queries, gives no rows; other columns don't matter, whatever their names.
     """
     p = params
     spark = vectors.sparkSession
-    table = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    sized = table.agg(F.max(F.size("v")).alias("dim"), F.sum((F.col("id") % p.every == 0).cast("long")).alias("asked")).first()
+    table = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    table = table.where("id is not null and v is not null").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.floor(p.scale * x).cast("double") * F.floor(p.scale * x).cast("double"))
+    # equal lengths are told apart by id, so that vectors of one length are dealt to many tasks
+    table = cut(table.withColumn("square", square).repartitionByRange(F.desc("square"), "id").sortWithinPartitions(F.desc("square"), "id"))
+    asks = F.col("id") % p.every == 0
+    sized = table.agg(F.max(F.size("v")).alias("dim"), F.sum(asks.cast("long")).alias("asked")).first()
     dim, asked = int(sized.dim or 0), int(sized.asked or 0)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not dim or not asked:
         return empty
 
     def rows_of(frame):
-        got = frame.toArrow()
+        got = frame.select("id", "v").toArrow()
         at, rows = integers(got.column("v"), p.scale, dim)
         return got.column("id").to_numpy()[at].astype(np.int64), rows
 
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.floor(p.scale * x) * F.floor(p.scale * x))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    seed_ids, seeds = rows_of(table.where(finite).select("id", "v", square.alias("n")).orderBy(F.desc("n"), "id").limit(p.seeds).select("id", "v"))
-    _, sample = rows_of(table.where(finite).orderBy(F.xxhash64("id"), "id").limit(p.sample))
-    rotation = np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) >= dim else np.eye(dim)
-    blocks = -(-asked // p.query_block)
+    seed_ids, seeds = rows_of(table.orderBy(F.desc("square"), "id").limit(p.seeds))
+    _, sample = rows_of(table.orderBy(F.xxhash64("id"), "id").limit(p.sample))
+    rotation = np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) >= dim and np.isfinite(sample @ sample.T).all() else np.eye(dim)
+    parts = -(-asked * 8 * (dim + p.head) // p.part_bytes)
+    queries = table.where(asks).groupBy("id").agg(F.min("v").alias("v")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(parts)))
+    queries = cut(queries.repartition("part")) if parts > 1 else queries
     found = []
-    for b in range(blocks):
-        ids, rows = rows_of(table.where((F.col("id") % p.every == 0) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)) == b)))
+    for b in range(parts):
+        ids, rows = rows_of(queries.where(F.col("part") == b))
         if len(ids):
-            order = np.lexsort((*rows.T[::-1], ids))
-            ids, rows = ids[order], rows[order]
-            first = np.concatenate([[True], ids[1:] != ids[:-1]])
-            one = _block(table, Search(ids[first], rows[first], rotation, p), seed_ids, seeds, dim)
-            found.append(cut(one) if blocks > 1 else one)
-    if not found:
-        return empty
+            one = _part(table, Search(ids, rows, rotation, p), seed_ids, seeds, dim)
+            found.append(cut(one) if parts > 1 else one)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -164,21 +184,26 @@ def search(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id"
     return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
-def _block(table: DataFrame, asked: Search, seed_ids: np.ndarray, seeds: np.ndarray, dim: int) -> DataFrame:
+def _part(table: DataFrame, asked: Search, seed_ids: np.ndarray, seeds: np.ndarray, dim: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of every partition, and maybe more; table: id, v and square, sorted."""
     asked.settle(seed_ids, seeds)
     take = hold(table.sparkSession, asked)
     scale = asked.p.scale
+    # the shortest vector that any query has use for; readers skip files and row groups of shorter ones
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = float(np.min(np.where(asked.floor_score > 0, asked.floor_score / asked.length, 0)))
+    live = table.where(F.col("square") >= (need * (1 - 1e-9)) ** 2 - 1e-6) if np.isfinite(need) and need > 0 else table
 
     def run(batches):
         s = take()
-        best, floor = s.start(), s.floor_score.copy()
+        best, floor, more = s.start(), s.floor_score.copy(), True
         for batch in batches:
-            at, rows = integers(batch.column(1), scale, dim)
-            if len(at):
-                best = s.feed(best, floor, batch.column(0).to_numpy()[at].astype(np.int64), rows)
+            if more:
+                at, rows = integers(batch.column(1), scale, dim)
+                best, more = s.feed(best, floor, batch.column(0).to_numpy()[at].astype(np.int64), rows)
         yield pa.RecordBatch.from_arrays([pa.array(s.ids[best[0]], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return table.mapInArrow(run, "query_id long, vec_id long, score long")
+    return live.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 ORACLE = """

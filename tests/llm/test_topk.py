@@ -37,7 +37,7 @@ def rows():
     return out + [(900, None), (901, [1.0, None] + [0.0] * 10), (902, [float("nan")] + [0.0] * 11), (903, [float("inf")] + [0.0] * 11), (None, [1.0] * 12), (904, []), (950, [0.25] * 5), (951, [0.5] * 3), (10, [0.5] * 12), (50, [-0.5] * 12)]
 
 
-@pytest.mark.parametrize("params", [{}, {"head": 2, "rows": 7}, {"seeds": 3, "sample": 5}, {"query_block": 3}, {"every": 7}, {"k": 1}])
+@pytest.mark.parametrize("params", [{}, {"head": 2, "rows": 7}, {"seeds": 3, "sample": 5}, {"query_block": 3}, {"part_bytes": 500}, {"part_bytes": 500, "head": 2, "seeds": 3}, {"every": 7}, {"k": 1}])
 def test_all_pairs(spark, rows, params):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], V).repartition(5).withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
     assert run(df, **params) == plain(rows, params.get("k", 5), params.get("every", 50))
@@ -51,6 +51,20 @@ def test_few_rows(spark):
     assert run(spark.createDataFrame([(0, None, 0)], V)) == []
 
 
+def test_scores_of_any_size_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([1e4, -3e6, 12345.5, 7e5]) * rng.random() for _ in range(8)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(df) == plain(rows)
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big"):
+        run(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"))
+
+
+def test_vectors_of_one_length(spark):
+    rows = [(k, [1.0 if j == k % 6 else 0.0 for j in range(6)]) for k in range(300)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)) == plain(rows)
+
+
 def test_pruning_does_prune():
     import numpy as np
 
