@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import cut, free_name
 
+#: Sources are a list that people keep; one row of each meets on the driver, and goes to every task. More is an error.
+MAX_SOURCES = 100_000
 _TOKENS = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,34 +108,38 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
 
     Tokens are words between white space. The realised tokens of a source fall short of its budget by less than one
     document. Null is a source of its own; null texts count as empty; rows that agree in id and text share a place.
-    An empty table gives an empty mix. Columns of docs that are named pass, block or draw get a number behind. The number
-    of sources is taken to be that of a list people keep (thousands); their totals meet on the driver.
+    An empty table gives an empty mix. Columns of docs that are named pass, block or draw keep their names and values,
+    and these get a number behind; other names don't matter. Over MAX_SOURCES sources are an error.
     """
     p = params
     spark = docs.sparkSession
-    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_TOKENS)), F.lit(0)).cast("long")
-    slim = cut(docs.select(F.col(source_col).alias("source"), tokens.alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")))
-    stats = [(r.source, r.n, r.t) for r in slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()]
-    shares = plan(stats, p)
-    names = {stem: free_name(docs, stem) for stem in ("pass", "block", "draw")}
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values())
+    tokens = F.coalesce(F.regexp_count(F.col(at[text_col]), F.lit(_TOKENS)), F.lit(0)).cast("long")
+    key = F.xxhash64(F.col(at[id_col]), F.col(at[text_col]))
+    slim = cut(rows.select(F.col(at[source_col]).alias("source"), tokens.alias("tokens"), key.alias("key")))
+    totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources")
+    shares = plan([(r.source, r.n, r.t) for r in totals], p)
     kind = docs.schema[source_col].dataType.simpleString()
-    parts = spark.createDataFrame([(s.source, s.passes, s.rest, max(1, -(-s.docs // p.block))) for s in shares], f"_source {kind}, _passes long, _rest long, _blocks long")
+    parts = spark.createDataFrame([(s.source, s.passes, s.rest, max(1, -(-s.docs // p.block))) for s in shares], f"of {kind}, passes long, rest long, blocks long")
 
     # the block that the partial pass of each source ends in, and what is left for it
-    last = slim.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("_source"))).where("_rest > 0")
-    sums = last.groupBy("_source", "_rest", _block(_draw(F.col("key"), F.col("_passes"), p.seed), F.col("_blocks")).alias("b")).agg(F.sum("tokens").alias("t"))
-    upto = F.sum("t").over(W.partitionBy("_source").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-    ends = {r["_source"]: (r.b, r.left) for r in sums.withColumn("left", F.col("_rest") - upto + F.col("t")).where((F.col("left") >= 0) & (F.col("left") < F.col("t"))).groupBy("_source").agg(F.max_by("b", "b").alias("b"), F.max_by("left", "b").alias("left")).collect()}
-    parts = spark.createDataFrame([(s.source, s.passes, s.rest, max(1, -(-s.docs // p.block)), *ends.get(s.source, (None, None))) for s in shares], f"_source {kind}, _passes long, _rest long, _blocks long, _end long, _left long")
-
-    taken = docs.join(F.broadcast(parts), F.col(source_col).eqNullSafe(F.col("_source")))
-    count = F.col("_passes") + (F.col("_rest") > 0).cast("long")
-    taken = taken.where(count > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("_pass"))
-    taken = taken.withColumn("_draw", _draw(F.xxhash64(F.col(id_col), F.col(text_col)), F.col("_pass"), p.seed)).withColumn("_block", _block(F.col("_draw"), F.col("_blocks")))
-    partial = F.col("_pass") == F.col("_passes")
-    whole = taken.where(~partial | F.col("_end").isNull() | (F.col("_block") < F.col("_end")))
-    edge = taken.where(partial & (F.col("_block") == F.col("_end")))
-    order = W.partitionBy("_source").orderBy("_draw", id_col, text_col).rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("_upto", F.sum(tokens).over(order)).where(F.col("_upto") <= F.col("_left")).drop("_upto")
-    out = whole.unionByName(edge)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_pass").alias(names["pass"]), F.col("_block").alias(names["block"]), F.col("_draw").alias(names["draw"])), shares
+    last = slim.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("of"))).where("rest > 0")
+    sums = last.groupBy("of", "rest", _block(_draw(F.col("key"), F.col("passes"), p.seed), F.col("blocks")).alias("b")).agg(F.sum("tokens").alias("t"))
+    upto = F.sum("t").over(W.partitionBy("of").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
+    ends = {r.of: (r.b, r.left) for r in sums.withColumn("left", F.col("rest") - upto + F.col("t")).where((F.col("left") >= 0) & (F.col("left") < F.col("t"))).groupBy("of").agg(F.max_by("b", "b").alias("b"), F.max_by("left", "b").alias("left")).collect()}
+    parts = spark.createDataFrame([(s.source, s.passes, s.rest, max(1, -(-s.docs // p.block)), *ends.get(s.source, (None, None))) for s in shares], f"of {kind}, passes long, rest long, blocks long, end long, left long")
+
+    taken = rows.join(F.broadcast(parts), F.col(at[source_col]).eqNullSafe(F.col("of")))
+    count = F.col("passes") + (F.col("rest") > 0).cast("long")
+    taken = taken.where(count > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("pass"))
+    taken = taken.withColumn("draw", _draw(key, F.col("pass"), p.seed)).withColumn("block", _block(F.col("draw"), F.col("blocks")))
+    partial = F.col("pass") == F.col("passes")
+    whole = taken.where(~partial | F.col("end").isNull() | (F.col("block") < F.col("end")))
+    edge = taken.where(partial & (F.col("block") == F.col("end")))
+    order = W.partitionBy("of").orderBy("draw", at[id_col], at[text_col]).rowsBetween(W.unboundedPreceding, 0)
+    edge = edge.withColumn("upto", F.sum(tokens).over(order)).where(F.col("upto") <= F.col("left")).drop("upto")
+    out = whole.unionByName(edge).select(*at.values(), "pass", "block", "draw")
+    return out.toDF(*docs.columns, *(free_name(docs, stem) for stem in ("pass", "block", "draw"))), shares
