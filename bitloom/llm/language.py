@@ -20,17 +20,16 @@ from bitloom.llm.common import held_out, hold
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Words that a worker keeps scores of; a full table is emptied.
-CACHE = 200_000
+#: Words that a worker keeps scores of, at most, and bytes of their scores; a full table is emptied.
+CACHE, CACHE_BYTES = 200_000, 16 << 20
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_docs: learned documents per language, about. max_words, max_grams: table sizes, in all and per order."""
+    """max_docs: learned documents per language, about; every key of theirs is kept. evidence_words: words that count in full
+    towards a score's certainty."""
 
-    max_docs: int = 1_000
-    max_words: int = 60_000
-    max_grams: int = 12_000
+    max_docs: int = 500
     smooth: float = 0.5
     evidence_words: int = 12
 
@@ -49,19 +48,21 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """langs in order; tables of (key -> counts by language) by order, 0 for words. A key's row of logs is its score."""
+    """langs in order; counts (keys by languages) of the keys of every order, 0 for words. A key's row of logs is its score.
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, list[int]]], params: Params) -> None:
+    Its size is that of the learned sample: keys times languages."""
+
+    def __init__(self, langs: list[str], tables: dict[int, tuple[list[str], np.ndarray]], params: Params) -> None:
         self.langs, self.params = langs, params
         self.at: dict[int, dict[str, int]] = {}
         logs = [np.zeros((0, len(langs)))]
         n = 0
-        for order, table in tables.items():
-            self.at[order] = {key: n + k for k, key in enumerate(table)}
-            n += len(table)
-            counts = np.array(list(table.values()), float).reshape(len(table), len(langs))
-            logs.append(np.log((counts + params.smooth) / (counts.sum(0) + params.smooth * max(1, len(table)))))
+        for order, (keys, counts) in tables.items():
+            self.at[order] = {key: n + k for k, key in enumerate(keys)}
+            n += len(keys)
+            logs.append(np.log((counts + params.smooth) / (counts.sum(0) + params.smooth * max(1, len(keys)))))
         self.logs = np.concatenate(logs)
+        self.room = min(CACHE, max(1_000, CACHE_BYTES // (8 * max(1, len(langs)))))
         self.cache: dict[str, int] = {}
         self.cached: np.ndarray | None = None
 
@@ -81,7 +82,7 @@ class Model:
         if not words or not self.langs:
             return "und", 0.0
         if self.cached is None:
-            self.cached = np.zeros((CACHE, len(self.langs)))
+            self.cached = np.zeros((min(self.room, CACHE), len(self.langs)))
         cache, cached = self.cache, self.cached
         total, rows = np.zeros(len(self.langs)), []
         for w in words:
@@ -90,7 +91,7 @@ class Model:
                 if len(w) > 40:
                     total += self.word(w)
                     continue
-                if len(cache) >= CACHE:
+                if len(cache) >= len(cached):
                     total += cached[rows].sum(0)
                     rows = []
                     cache.clear()
@@ -107,19 +108,19 @@ class Model:
 def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
     """The tables of the given documents; rows whose lang or text is null are left out.
 
-    Of a language with over max_docs documents, those whose hash falls below max_docs / its number are learned. The
-    tables keep the most frequent keys; what reaches the driver is bounded by their sizes.
+    Of a language with over max_docs documents, those whose hash (of id and text) falls below max_docs / its number are
+    learned. All of their words and n-grams reach the driver, so the sample bounds that.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    number = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    usable = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    number = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(number)
     at = {lang: k for k, lang in enumerate(langs)}
     if not langs:
-        return Model([], {k: {} for k in (0, *ORDERS)}, params)
+        return Model([], {k: ([], np.zeros((0, 0))) for k in (0, *ORDERS)}, params)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, params.max_docs / number[lang]))])
-    spread = F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # a bounded sample, dealt out anew as it may come from few parts of the table
-    picked = usable.where(spread < share[F.col(lang_col)]).select(lang_col, text_col).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    picked = usable.where(spread < share[F.col("lang")]).select("lang", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         seen: Counter = Counter()
@@ -141,31 +142,37 @@ def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang", te
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["o", "key", "lang", "n"])
 
     by = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"l{k}") for k in range(len(langs))]
-    total = picked.mapInArrow(run, "o int, key string, lang int, n long").groupBy("o", "key").agg(F.sum("n").alias("n"), *by).where("n > 1").persist()
-    tables: dict[int, dict[str, list[int]]] = {}
+    total = picked.mapInArrow(run, "o int, key string, lang int, n long").groupBy("o", "key").agg(*by).toArrow().sort_by([("o", "ascending"), ("key", "ascending")])
+    orders = total.column("o").to_numpy()
+    counts = np.array([total.column(f"l{k}").to_numpy() for k in range(len(langs))], float).T.reshape(len(total), len(langs))
+    keys = total.column("key").to_pylist()
+    tables = {}
     for order in (0, *ORDERS):
-        top = total.where(F.col("o") == order).orderBy(F.desc("n"), "key").limit(params.max_grams if order else params.max_words)
-        tables[order] = {r.key: [r[f"l{k}"] for k in range(len(langs))] for r in top.collect()}
-    total.unpersist()
+        a, b = np.searchsorted(orders, [order, order + 1])
+        tables[order] = (keys[a:b], counts[a:b])
     return Model(langs, tables, params)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, held_out, lang_pred and score. No letter, a null text or an empty model: und, score 0."""
+    """Per row of docs: id, held_out, lang_pred and score. No letter, a null text or an empty model: und, score 0.
+
+    Repeated rows are predicted alike, an empty table gives no rows, whole texts count however long they are, a tie goes to
+    the language that comes first, and other columns don't matter, whatever their names.
+    """
     take = hold(docs.sparkSession, model)
-    source = docs.select(id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches):
         m = take()
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["id", "lang_pred", "score"])
 
-    out = source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
-    return out.select(id_col, held_out(F.col(id_col), 5, 0).alias("held_out"), "lang_pred", "score")
+    out = source.mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """Learn from the documents that are not held out, then predict every document."""
+    """Learn from the documents that are not held out, then predict every document; see learn() and predict()."""
     return predict(docs, learn(docs.where(~held_out(F.col("doc_id"), 5, 0)), params))
