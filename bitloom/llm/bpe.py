@@ -307,14 +307,15 @@ def tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: st
         held = docs.sparkSession.sparkContext.broadcast(f.read())
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = docs.columns.index(text_col)
     rest = [k for k, c in enumerate(docs.columns) if c.lower() != out_col.lower()]
-    schema = StructType([docs.schema.fields[k] for k in rest] + [StructField(out_col, ArrayType(IntegerType(), False))])
+    schema = StructType([rows.schema.fields[k] for k in rest] + [StructField("ids", ArrayType(IntegerType(), False))])
 
     def run(batches):
         enc = encoder(held.value)
         for batch in batches:
             ids = pa.array([enc.encode(t.as_py() or "") for t in batch.column(at)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), ids], names=[*(batch.schema.names[k] for k in rest), out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), ids], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*(docs.columns[k] for k in rest), out_col)

@@ -283,10 +283,11 @@ def written(found: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, the number of base spans by kind, base_sha256, spans and the number of disguised ones.
 
-    Null and empty texts have no spans; repeated rows are treated alike; an empty table gives none.
+    Null and empty texts have no spans; repeated rows are treated alike; an empty table gives none; whole texts are read,
+    however long; other columns don't matter, whatever their names.
     """
-    source = docs.select(id_col, text_col)
-    schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = f"id {source.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
 
     def run(batches):
         for batch in batches:
@@ -298,9 +299,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for c, v in zip(cols, row):
                     c.append(v)
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def masked(text: str) -> str:
@@ -322,8 +323,9 @@ def masked(text: str) -> str:
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data masked; length_col, where docs has it, becomes the new length in code points.
 
-    A null text stays null, with its length as it was.
+    A null text stays null, with its length as it was. Other columns stay as they are, whatever their names.
     """
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -331,7 +333,8 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
             texts = [None if t is None else masked(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.schema.types[at]))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, rows.schema)
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.char_length(text_col)).cast(docs.schema[length_col].dataType))
-    return out
+        text, length = f"c{at}", f"c{docs.columns.index(length_col)}"
+        out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.char_length(text)).cast(docs.schema[length_col].dataType))
+    return out.toDF(*docs.columns)

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bitloom.llm import bpe, mixing, pii, quality, queries, simhash
@@ -38,3 +39,25 @@ def test_stages_keep_the_columns(spark, make_docs, prose):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, docs.where("false"), "").collect() == []
+
+
+#: Names that the stages work with inside, and a name that must be quoted.
+CLASHES = [
+    "id", "h", "g", "rows", "fingerprint", "own_id", "best", "root", "none", "c0", "c3", "of", "passes", "rest", "blocks", "end", "left", "pass", "block", "draw", "upto", "tokens", "key", "_source", "_pass", "_draw",
+    "_block", "n_words", "n_marked", "vote_symbols", "base_failed", "kept", "posterior", "row", "__kept", "__own", "__rank", "x.y", "a b",
+]
+
+
+def test_stages_with_clashing_names(spark, make_docs, prose):
+    """Every stage keeps every other column, values and all; with repeated rows, nulls and an empty text among them."""
+    texts = [(k, prose(k, 60) + " a@b.c") for k in range(30)] + [(3, prose(3, 60) + " a@b.c"), (None, prose(4, 60)), (40, None), (41, "")]
+    plain = make_docs(texts)
+    docs = plain.toDF("doc_id", "text", "lang", "source", "n_chars").select("*", *[F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for k, c in enumerate(CLASHES)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and all(v == f"{k}:{'?' if r[0] is None else r[0]}" for r in rows for k, v in enumerate(r[5:])), name
+        assert sorted(repr(r[:5]) for r in rows) == sorted(repr(tuple(r)) for r in stage(spark, plain, "").collect()), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == len(texts)
