@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mix of their sources takes them."""
     ship(spark)
     mixed, _ = mixing.mix(docs)
-    return mixed.select(*docs.columns)
+    return mixed.select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
