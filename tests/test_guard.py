@@ -22,3 +22,11 @@ def test_nothing_else_imports_it():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name)) as f:
                         assert "bitloom.llm" not in f.read(), name
+
+
+def test_a_missing_library_takes_only_the_queries_that_need_it(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("xxhash", "tokenizers"):
+        (tmp_path / f"{name}.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; assert 'lsh_ann' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{root}"})
