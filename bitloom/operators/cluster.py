@@ -108,14 +108,16 @@ def binary_means(df: DataFrame, k: int, seed: int = 1, rounds: int = 31, toleran
 def medoid_swap(df: DataFrame, medoids: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """The best medoid of every cluster: the row with the least summed distance to its cluster, ties to the smaller id.
 
-    Distances are taken inside clusters only, to at most all of its distinct descriptors.
+    A sum of Hamming distances is a sum over bits: a bit that is set differs from the cluster's rows without it, one that
+    isn't from those with it. So a cluster is its rows' number and its bits' counts, and no pairs are made.
     """
     words = search.words_of(df)
     assigned = assign(df.select(id_col, *words), medoids, id_col)
-    each = assigned.groupBy("c_id", *words).agg(F.count("*").alias("n"), F.min(id_col).alias("id"))
-    other = each.select("c_id", F.col("n").alias("m"), *[F.col(w).alias(f"o_{w}") for w in words])
-    d = bits.hamming([F.col(w) for w in words], [F.col(f"o_{w}") for w in words])
-    total = each.join(other, "c_id").groupBy("c_id", "id", *words).agg(F.sum(d * F.col("m")).alias("cost"))
+    columns, width = [F.col(w) for w in words], 32 * len(words)
+    counts = assigned.groupBy("c_id").agg(F.count("*").alias("n"), F.array(*[F.sum(bits.bit(columns, k)) for k in range(width)]).alias("ones"))
+    apart = [F.when(bits.bit(columns, k) == 1, F.col("n") - F.col("ones")[k]).otherwise(F.col("ones")[k]) for k in range(width)]
+    # one row a cluster
+    total = assigned.join(small(counts), "c_id").select("c_id", F.col(id_col).alias("id"), *words, reduce(Column.__add__, apart).alias("cost"))
     best = total.groupBy("c_id").agg(F.min(F.struct("cost", "id", *words)).alias("b"))
     return best.select("c_id", F.col("b.id").alias("medoid"), F.col("b.cost").alias("cost"), *[F.col(f"b.{w}").alias(w) for w in words])
 

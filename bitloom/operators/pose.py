@@ -92,14 +92,29 @@ def rigid(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return r, b - r @ a
 
 
-def triangulate(rotation: np.ndarray, translation: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The point, in B's coordinates, seen at b there and at a in the camera A that the pose leads to."""
-    m = np.zeros((4, 4))
-    p = np.hstack([rotation, translation[:, None]])
-    m[0], m[1] = np.array([-1, 0, b[0], 0]), np.array([0, -1, b[1], 0])
-    m[2], m[3] = a[0] * p[2] - p[0], a[1] * p[2] - p[1]
-    x = np.linalg.svd(m)[2][-1]
-    return x[:3] / (x[3] if x[3] else 1e-5)
+def triangulate(rotation: np.ndarray, translation: np.ndarray, a: np.ndarray, b: np.ndarray, far: float = 1e6) -> np.ndarray:
+    """The point, in B's coordinates, seen at b there and at a in the camera A that the pose leads to: midway between the
+    rays where they come closest, then moved by two Gauss-Newton steps on both images' errors. Rays that are parallel meet
+    `far` along B's."""
+    towards = np.array([b[0], b[1], 1.0])
+    other = rotation.T @ np.array([a[0], a[1], 1.0])
+    origin = -rotation.T @ translation
+    rays = np.column_stack([towards, -other])
+    gram = rays.T @ rays
+    if abs(np.linalg.det(gram)) < 1e-14 * gram[0, 0] * gram[1, 1]:
+        return towards * far
+    s, u = np.linalg.solve(gram, rays.T @ origin)
+    x = (s * towards + origin + u * other) / 2
+    for _ in range(2):
+        rows, errors = [], []
+        for r, t, seen in ((np.eye(3), np.zeros(3), b), (rotation, translation, a)):
+            y = r @ x + t
+            if abs(y[2]) < 1e-12:
+                return x
+            rows.append((r[:2] - np.outer(y[:2] / y[2], r[2])) / y[2])
+            errors.append(seen[:2] - y[:2] / y[2])
+        x = x + np.linalg.lstsq(np.vstack(rows), np.concatenate(errors), rcond=None)[0]
+    return x
 
 
 # ---------------------------------------------------------------- pose from points
@@ -327,28 +342,28 @@ def robust_homography(a: np.ndarray, b: np.ndarray, rounds: int = 300, cut: floa
 
 
 def decompose(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Up to eight (rotation, translation over distance, normal) whose plane motion is this homography."""
-    u, d, vt = np.linalg.svd(h)
-    s = np.linalg.det(u) * np.linalg.det(vt)
-    d1, d2, d3 = d[0] / d[1], 1.0, d[2] / d[1]
-    if d1 - d3 < 1e-9:
-        return [(s * u @ vt, np.zeros(3), np.array([0.0, 0.0, 1.0]))]
-    x1 = math.sqrt(max(0.0, (d1**2 - d2**2) / (d1**2 - d3**2)))
-    x3 = math.sqrt(max(0.0, (d2**2 - d3**2) / (d1**2 - d3**2)))
+    """Up to four (rotation, translation over distance, normal) whose plane motion is this homography.
+
+    By the eigenvectors of H'H: with its middle singular value at one, H keeps the lengths of two planes of vectors, those
+    that the plane's translation doesn't reach. In either, two axes and their product tell how H turns it, and what H adds
+    along the normal is the translation. Signs are such that both cameras are on one side of the plane.
+    """
+    h = np.asarray(h, float)
+    h = h * (np.sign(np.linalg.det(h)) or 1.0) / np.linalg.svd(h, compute_uv=False)[1]
+    power, axes = np.linalg.eigh(h.T @ h)
+    small, large = power[0], power[2]
+    if large - small < 1e-9:
+        return [(h, np.zeros(3), np.array([0.0, 0.0, 1.0]))]
+    low, kept, high = axes.T
     out = []
-    for e1 in (1, -1):
-        for e3 in (1, -1):
-            n = np.array([e1 * x1, 0, e3 * x3])
-            sine = (d1 - d3) * e1 * e3 * x1 * x3 / d2
-            cosine = (d1 * x3**2 + d3 * x1**2) / d2
-            rp = np.array([[cosine, 0, -sine], [0, 1, 0], [sine, 0, cosine]])
-            tp = (d1 - d3) * np.array([e1 * x1, 0, -e3 * x3])
-            out.append((s * u @ rp @ vt, s * u @ tp, vt.T @ n))
-            sine = (d1 + d3) * e1 * e3 * x1 * x3 / d2
-            cosine = (d3 * x1**2 - d1 * x3**2) / d2
-            rp = np.array([[cosine, 0, sine], [0, -1, 0], [sine, 0, -cosine]])
-            tp = (d1 + d3) * np.array([e1 * x1, 0, e3 * x3])
-            out.append((s * u @ rp @ vt, -s * u @ tp, vt.T @ n))
+    for sign in (1.0, -1.0):
+        along = (math.sqrt(max(0.0, 1 - small)) * high + sign * math.sqrt(max(0.0, large - 1)) * low) / math.sqrt(large - small)
+        normal = np.cross(kept, along)
+        frame = np.column_stack([kept, along, normal])
+        turned = np.column_stack([h @ kept, h @ along, np.cross(h @ kept, h @ along)])
+        rotation = turned @ frame.T
+        shift = (h - rotation) @ normal
+        out += [(rotation, shift, normal), (rotation, -shift, -normal)]
     return out
 
 

@@ -6,20 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import robust
+from bitloom.operators.sizing import small
 
 
-def upper_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per group n and the element at n div 2 of its ascending values; exact, by counted distinct values.
+def at_ranks(df: DataFrame, by: list[str], value: str, **ranks) -> DataFrame:
+    """Per group n, its number of values, and under each given name the element at that place, from 0, of its ascending
+    values; a place is an expression over n. Null values don't count; a place beyond the values gives null.
 
-    Groups may be of any size: rows meet as (group, value, count), and each group's running counts pick the element.
+    Exact for groups of any size: equal values meet in one row with their count, runs of the order (group, value) are dealt
+    to tasks, and a value's place is what its group has in earlier runs plus the running count in its own.
     """
     from pyspark.sql import Window as W
 
+    from bitloom.operators.lineage import cut
+
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    upto = F.sum("count").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    n = F.sum("count").over(W.partitionBy(*by))
-    at = counted.withColumn("_u", upto).withColumn("n", n).where((F.floor(F.col("n") / 2) < F.col("_u")) & (F.floor(F.col("n") / 2) >= F.col("_u") - F.col("count")))
-    return at.select(*by, "n", F.col(value).alias("median"))
+    # where runs are cut depends on a sample, so they are written before they are told by number
+    counted = cut(counted.repartitionByRange(*by, value).select(*by, F.col(value).alias("_v"), F.col("count").alias("_c"), F.spark_partition_id().alias("_p")))
+    runs = counted.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    # as many rows as groups and runs together
+    sizes = runs.select(*by, "_p", F.sum("_s").over(W.partitionBy(*by)).alias("n"), (F.sum("_s").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_b"))
+    upto = F.sum("_c").over(W.partitionBy(*by, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    placed = counted.withColumn("_u", upto).join(small(sizes), [*by, "_p"])
+    end = F.col("_b") + F.col("_u")
+    holds = lambda rank: (rank < end) & (rank >= end - F.col("_c"))
+    return placed.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(holds(rank), F.col("_v"))).alias(name) for name, rank in ranks.items()])
+
+
+def upper_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per group n and the element at n div 2 of its ascending values."""
+    return at_ranks(df, by, value, median=F.floor(F.col("n") / 2))
 
 
 def robust_sigma(df: DataFrame, by: list[str], error2: str) -> DataFrame:

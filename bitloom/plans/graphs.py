@@ -242,8 +242,8 @@ def plane_sums(spark, sf_dir):
 
 @query("W12", "WITH v AS (SELECT p_brand AS g, p_retailprice AS x FROM part), s AS (SELECT g, list_sort(list(x)) AS l, count(*) AS n FROM v GROUP BY g) SELECT g, l[CAST(ceil(0.1 * n) AS BIGINT)] AS low, l[CAST(floor(0.9 * n) AS BIGINT) + 1] AS high FROM s WHERE n >= 10")
 def percentile_thresholds(spark, sf_dir):
-    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("g")).agg(F.sort_array(F.collect_list("p_retailprice")).alias("l"), F.count("*").alias("n")).where("n >= 10")
-    return g.select("g", F.element_at("l", F.ceil(F.col("n") * 0.1).cast("int")).alias("low"), F.element_at("l", (F.floor(F.col("n") * 0.9) + 1).cast("int")).alias("high"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_retailprice").alias("x"))
+    return stats.at_ranks(p, ["g"], "x", low=F.ceil(F.col("n") * 0.1) - 1, high=F.floor(F.col("n") * 0.9)).where("n >= 10").select("g", "low", "high")
 
 
 @query("W5 W7 W10", "SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 100")

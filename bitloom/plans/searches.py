@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits, geometry
 from bitloom.operators import cluster, retrieval, search
+from bitloom.operators.sizing import small
 from bitloom.plans.registry import query, table
 
 LSH = search.LshParams(tables=4, bits=8)
@@ -86,7 +87,7 @@ def mutual_match(spark, sf_dir):
 @query("F23 J32 J33 J35", "WITH p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS s FROM embeddings q JOIN embeddings m ON q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) SELECT q_id, m_id, round(s, 6) AS ssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s, m_id) r FROM p) WHERE r = 1")
 def ssd_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")))
+    q = small(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")))
     s = e.join(q, F.col("q_id") != F.col("vec_id")).select("q_id", F.col("vec_id").alias("m_id"), geometry.squared_apart(F.col("qv"), F.col("v")).alias("s"))
     return s.groupBy("q_id").agg(F.min(F.struct("s", "m_id")).alias("b")).select("q_id", F.col("b.m_id").alias("m_id"), F.round("b.s", 6).alias("ssd"))
 
