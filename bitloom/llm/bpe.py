@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Entries of the word table and of the transition table in a worker. A full transition table is emptied; a full word
 #: table becomes the old one, from which words that are met again are taken over.
-WORDS, ARCS = 80_000, 600_000
+WORDS, ARCS = 50_000, 400_000
 #: Words of more letters than this are not kept in the table.
 LONG_WORD = 48
 #: Characters of a text that are encoded at a time, up to the next space.
@@ -82,17 +83,20 @@ class Automaton:
                 spelled[x] = spelled[u] + spelled[v]
             else:
                 idle.add(x)
-        # the trie of all tokens: per place, the next places by letter, and the token that ends there
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # the trie of all tokens: the next place by place and letter, and at every place the token that ends there, and
+        # whether longer ones go on
+        self.next: dict[int, int] = {}
+        self.ends, self.goes_on = array("l", [-1]), bytearray(1)
         for t, letters in spelled.items():
             place = 0
             for c in letters:
-                if c not in self.next[place]:
-                    self.next[place][c] = len(self.next)
-                    self.next.append({})
+                self.goes_on[place] = 1
+                key = place << 9 | ord(c)
+                if key not in self.next:
+                    self.next[key] = len(self.ends)
                     self.ends.append(-1)
-                place = self.next[place][c]
+                    self.goes_on.append(0)
+                place = self.next[key]
             self.ends[place] = vocab[t]
         self._empty()
 
@@ -133,10 +137,11 @@ class Automaton:
         """The transition of a state over a letter, which enters the table."""
         threads = []
         whole = None
+        code = ord(letter)
         for place, last, held in state.threads:
-            place = self.next[place].get(letter)
+            place = self.next.get(place << 9 | code)
             if place is not None:
-                if self.next[place]:
+                if self.goes_on[place]:
                     threads.append((place, last, held))
                 t = self.ends[place]
                 if t >= 0 and (last < 0 or self.follows(last, t)):
@@ -190,9 +195,9 @@ class Encoder:
             if a.get("single_word") or a.get("lstrip") or a.get("rstrip") or a.get("normalized"):
                 raise ValueError(f"added token {a['content']!r} has a flag that isn't supported")
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.library = Tokenizer.from_str(definition)
-        self.library.no_padding()
-        self.library.no_truncation()
+        # only its normaliser and splitter are asked, so it goes without the vocabulary
+        bare = {**spec, "added_tokens": [], "post_processor": None, "decoder": None, "truncation": None, "padding": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(bare))
         self.back = {c: b for c, b in _byte_letters().items()}
         self.words: dict[str, tuple[int, str, str]] = {}
         self.old_words: dict[str, tuple[int, str, str]] = {}
