@@ -34,7 +34,7 @@ class Params:
     """
 
     max_fit: int = 10_000
-    max_examples: int = 1_500
+    max_examples: int = 500
     min_root: float = 4.0
     heads: tuple[int, ...] = (4, 5, 6, 7)
     floor: float = 0.1
@@ -63,6 +63,32 @@ def heads_of(words: Counter, lengths: tuple[int, ...], known=None) -> Counter:
     return out
 
 
+class Vocabulary:
+    """Numbers of terms."""
+
+    def __init__(self, terms: list[str], lengths: tuple[int, ...]) -> None:
+        self.number, self.lengths = {t: k for k, t in enumerate(terms)}, lengths
+        self.least = min(lengths, default=0)
+        self.starts = frozenset(t[1 : self.least + 1] for t in terms if t[0] == "^")
+
+    def numbers(self, words: Counter) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(numbers, counts) of a text's terms, beginnings once, and the counts of its words without a number."""
+        at, counts, spare, heads = [], [], [], {}
+        number, starts, least = self.number.get, self.starts, self.least
+        for w, n in words.items():
+            k = number(w)
+            if k is None:
+                spare.append(n)
+            else:
+                at.append(k)
+                counts.append(n)
+            if w[:least] in starts:
+                for size in self.lengths:
+                    if size < len(w) and (h := number("^" + w[:size])) is not None:
+                        heads[h] = heads.get(h, 0) + n
+        return np.array([*at, *heads], np.int64), np.array([*counts, *heads.values()], float), spare
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, owner) of all numbers in the ranges."""
     size = ends - starts
@@ -71,11 +97,16 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class BlockMaxIndex:
-    """Unit vectors, sparse, as posting lists by term. A list is cut where its rows pass from one block of rows to the
-    next, and each such piece has its greatest weight. For exact top-k by inner product."""
+    """Unit vectors, sparse and without negative weights, as posting lists by term. A list is cut where its rows pass from
+    one block of rows to the next, and each such piece has its greatest weight; a list that holds many of the rows is
+    written out over all of them. For exact top-k by inner product."""
+
+    #: A list is written out if it holds at least this part of the rows.
+    WRITTEN_OUT = 1 / 8
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int, order: list[int] | None = None, first: int = 4) -> None:
-        """vectors: (terms, weights) of every row; order: rows in the order in which they fill blocks."""
+        """vectors: (terms, weights) of every row; order: rows in the order in which they fill blocks; first: blocks that are
+        looked into before the rest are bounded."""
         n = len(vectors)
         self.first, self.rows = first, n
         self.order = np.array(order if order is not None else range(n), np.int64)
@@ -83,10 +114,18 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
         row = np.repeat(place, [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        size = np.bincount(term, minlength=terms)
+        long = np.nonzero(size >= max(2, n * self.WRITTEN_OUT))[0]
+        self.out = np.full(terms, -1)
+        self.out[long] = np.arange(len(long))
+        self.full = np.zeros((len(long), n))
+        whole = self.out[term] >= 0
+        self.full[self.out[term[whole]], row[whole]] = weight[whole]
+        term, row, weight = term[~whole], row[~whole], weight[~whole]
         at = np.lexsort((row, term))
         term, self.row, self.weight = term[at], row[at], weight[at]
         cell = self.row // block
-        self.blocks = -(-n // block)
+        self.starts = np.arange(0, n, block)
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (cell[1:] != cell[:-1])
         self.piece = np.append(np.nonzero(new)[0], len(term))
@@ -96,35 +135,33 @@ class BlockMaxIndex:
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k best with a positive product, ties to the smaller row; skip is left out."""
+        out = self.out[terms]
+        score = weights[out >= 0] @ self.full[out[out >= 0]]
+        terms, weights = terms[out < 0], weights[out < 0]
         pieces, owner = _ranges(self.list[terms], self.list[terms + 1])
         of_piece, block = weights[owner], self.piece_block[pieces]
-        bounds = np.bincount(block, of_piece * self.piece_most[pieces], self.blocks)
-        taken = np.argsort(-bounds, kind="stable")[: self.first]
-        score = np.zeros(self.rows)
-        self._add(score, pieces, of_piece, np.isin(block, taken))
-        least = self._kth(score, k + (skip >= 0))
-        rest = bounds >= least - 1e-9
-        rest[taken] = False
+        # a block's best row can't pass its best so far plus the greatest weights of the pieces in it
+        bounds = np.maximum.reduceat(score, self.starts) + np.bincount(block, of_piece * self.piece_most[pieces], len(self.starts))
+        taken = np.zeros(len(bounds), bool)
+        taken[np.argsort(-bounds, kind="stable")[: self.first]] = True
+        score = score + self._products(pieces, of_piece, taken[block])
+        wanted = k + (skip >= 0)
+        least = float(np.partition(score, -wanted)[-wanted]) if len(score) >= wanted else 0.0
+        rest = (bounds >= least - 1e-9) & ~taken
         if rest.any():
-            self._add(score, pieces, of_piece, rest[block])
+            score += self._products(pieces, of_piece, rest[block])
         score = np.round(score, 12)
-        hit = np.nonzero(score > 0)[0]
+        hit = np.nonzero(score >= max(np.round(least - 1e-9, 12), 1e-12))[0]
         rows = self.order[hit]
         if skip >= 0:
             hit, rows = hit[rows != skip], rows[rows != skip]
         found = score[hit]
-        if len(hit) > k:
-            good = found >= np.partition(found, -k)[-k]
-            rows, found = rows[good], found[good]
         best = np.lexsort((rows, -found))[:k]
         return rows[best], found[best]
 
-    def _add(self, score: np.ndarray, pieces: np.ndarray, weights: np.ndarray, use: np.ndarray) -> None:
+    def _products(self, pieces: np.ndarray, weights: np.ndarray, use: np.ndarray) -> np.ndarray:
         at, owner = _ranges(self.piece[pieces[use]], self.piece[pieces[use] + 1])
-        score += np.bincount(self.row[at], weights[use][owner] * self.weight[at], self.rows)
-
-    def _kth(self, score: np.ndarray, k: int) -> float:
-        return float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
+        return np.bincount(self.row[at], weights[use][owner] * self.weight[at], self.rows)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,11 +180,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    """terms: number of every term of an example; weight: its idf times its log odds or the floor; apart: the largest
-    weight, which words that no example has get in a text's length."""
+    """weight: of every term of an example, its idf times its log odds or the floor; apart: the largest weight, which words
+    that no example has get in a text's length."""
 
     params: Params
-    terms: dict[str, int]
+    terms: Vocabulary
     weight: np.ndarray
     apart: float
     ids: list
@@ -156,20 +193,14 @@ class Model:
     base: float
     index: BlockMaxIndex | None = None
     curve: tuple[np.ndarray, np.ndarray] | None = None
-    heads: frozenset = frozenset()
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a text's words, of length 1 with the words that no example has."""
-        known = self.terms
-        found = [(k, c) for w, c in words.items() if (k := known.get(w)) is not None]
-        spare = np.array([c for w, c in words.items() if w not in known], float)
-        found += [(known[h], c) for h, c in heads_of(words, self.params.heads, self.heads).items()]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found.sort()
-        at = np.array([k for k, _ in found], np.int64)
-        w = (1 + np.log(np.array([c for _, c in found], float))) * self.weight[at]
-        length = np.sqrt((w * w).sum() + (((1 + np.log(spare)) * self.apart) ** 2).sum())
+        at, counts, spare = self.terms.numbers(words)
+        if not len(at):
+            return at, counts
+        w = (1 + np.log(counts)) * self.weight[at]
+        length = np.sqrt((w * w).sum() + (((1 + np.log(np.array(spare, float))) * self.apart) ** 2).sum())
         return (at, w / length) if length > 0 else (at[:0], w[:0])
 
     def raw(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
@@ -197,15 +228,14 @@ class Model:
 def build(examples: list[tuple], frequencies: dict[str, int], n: int, odds: dict[str, float], amount: dict[int, int], p: Params) -> Model:
     """The model of labelled examples (id, words, label). frequencies: documents of n that hold each of their terms; odds:
     log odds of the terms that go with label 1; amount: labelled rows by label, which the votes are weighed up to."""
-    terms = {t: k for k, t in enumerate(sorted(frequencies))}
+    terms = sorted(frequencies)
     idf = np.log((n + 1) / (np.array([frequencies[t] for t in terms], float) + 1)) if terms else np.zeros(0)
     weight = np.maximum(idf, 0) * np.array([odds.get(t, p.floor) for t in terms])
     each = Counter(t for _, _, t in examples)
     share = {t: amount.get(t, 0) / each[t] for t in each}
     mass = sum(share[t] * each[t] for t in each)
     toxic = np.array([t for _, _, t in examples], np.int64)
-    model = Model(p, terms, weight, float(np.log(n + 1) * p.floor), [i for i, _, _ in examples], toxic, np.array([share[t] / share.get(1, 1.0) for t in toxic]), share.get(1, 0.0) * each[1] / mass if mass else 0.0)
-    model.heads = frozenset(t for t in terms if t[0] == "^")
+    model = Model(p, Vocabulary(terms, p.heads), weight, float(np.log(n + 1) * p.floor), [i for i, _, _ in examples], toxic, np.array([share[t] / share.get(1, 1.0) for t in toxic]), share.get(1, 0.0) * each[1] / mass if mass else 0.0)
     vectors = [model.vector(words) for _, words, _ in examples]
     lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
     model.index = BlockMaxIndex(vectors, len(terms), p.block, sorted(range(len(vectors)), key=lambda k: (toxic[k], lead[k], k)), p.first)
@@ -264,19 +294,15 @@ def term_odds(sampled: DataFrame, p: Params) -> dict[str, float]:
 
 def frequencies_of(docs: DataFrame, terms: list[str], lengths: tuple[int, ...]) -> tuple[dict[str, int], int]:
     """How many of all documents hold each of the terms, and how many documents there are. docs: text."""
-    take = hold(docs.sparkSession, terms)
+    take = hold(docs.sparkSession, Vocabulary(terms, lengths))
 
     def run(batches):
-        number = {t: k for k, t in enumerate(take())}
-        heads = {t for t in number if t[0] == "^"}
-        seen, n = np.zeros(len(number), np.int64), 0
+        known = take()
+        seen, n = np.zeros(len(known.number), np.int64), 0
         for batch in batches:
             n += len(batch)
             for text in batch.column(0):
-                words = counts_of(text.as_py() or "")
-                here = [k for w in words if (k := number.get(w)) is not None]
-                here += [number[h] for h in heads_of(words, lengths, heads)]
-                seen[here] += 1
+                seen[known.numbers(counts_of(text.as_py() or ""))[0]] += 1
         held = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], n))], names=["t", "n"])
 
