@@ -9,11 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows that go to a Python worker at a time: texts are long, and a worker holds what it gets and what it gives.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application."""
+    """Send the package's sources to the executors, once per application; and keep the batches for Python workers small,
+    unless the session has a size of its own."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
