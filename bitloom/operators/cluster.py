@@ -122,10 +122,33 @@ def medoid_swap(df: DataFrame, medoids: DataFrame, id_col: str = "vec_id") -> Da
     return best.select("c_id", F.col("b.id").alias("medoid"), F.col("b.cost").alias("cost"), *[F.col(f"b.{w}").alias(w) for w in words])
 
 
-def pruned_nearest(queries: DataFrame, df: DataFrame, centroids: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Nearest rows, with ties, within the cluster of each query's nearest centroid."""
+def nearest_centroids(queries: DataFrame, centroids: DataFrame, probes: int, id_col: str = "vec_id") -> DataFrame:
+    """(q_id, c_id) of each query's `probes` nearest centroids, ties to the smaller id."""
+    words = search.words_of(queries)
+    c = centroids.select("c_id", *[F.col(w).alias(f"c_{w}") for w in words])
+    d = bits.hamming([F.col(w) for w in words], [F.col(f"c_{w}") for w in words])
+    met = queries.select(F.col(id_col).alias("q_id"), *words).join(small(c, 20_000)).select("q_id", "c_id", d.alias("d"))
+    return met.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", "c_id"))).where(F.col("r") <= probes).select("q_id", "c_id")
+
+
+def hashed_centroids(queries: DataFrame, centroids: DataFrame, params: search.LshParams, probes: int, id_col: str = "vec_id") -> DataFrame:
+    """(q_id, c_id) of each query's nearest centroids among those that share a bucket with it; a query that meets none looks
+    at all of them."""
+    words = search.words_of(queries)
+    both = lambda df, i: df.select(F.col(i).cast("long").alias("vec_id"), *words)
+    met = search.collisions(both(queries, id_col), both(centroids, "c_id"), params, exclude_self=False).select("q_id", F.col("m_id").alias("c_id"), "d").distinct()
+    found = met.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", "c_id"))).where(F.col("r") <= probes).select("q_id", "c_id")
+    alone = queries.join(small(found.select(F.col("q_id").alias(id_col)).distinct()), id_col, "left_anti")
+    return found.unionByName(nearest_centroids(alone, centroids, probes, id_col))
+
+
+def pruned_nearest(queries: DataFrame, df: DataFrame, centroids: DataFrame, id_col: str = "vec_id", probes: int = 1, chosen: DataFrame | None = None) -> DataFrame:
+    """Nearest rows, with ties, within the clusters of each query's `probes` nearest centroids, or of those chosen for it."""
     words = search.words_of(df)
-    q = assign(queries.select(id_col, *words), centroids, id_col).select(F.col(id_col).alias("q_id"), "c_id", *[F.col(w).alias(f"q_{w}") for w in words])
+    if chosen is None:
+        chosen = nearest_centroids(queries, centroids, probes, id_col)
+    q = queries.select(F.col(id_col).alias("q_id"), *[F.col(w).alias(f"q_{w}") for w in words]).join(chosen, "q_id")
     m = assign(df.select(id_col, *words), centroids, id_col).select(F.col(id_col).alias("m_id"), "c_id", *[F.col(w).alias(f"m_{w}") for w in words])
-    met = m.join(q, "c_id").where("q_id != m_id").select("q_id", "m_id", search._distance(words).alias("d"))
+    # the queries are a stated set; where it is small no cluster's rows are gathered in one task
+    met = m.join(small(q), "c_id").where("q_id != m_id").select("q_id", "m_id", search._distance(words).alias("d"))
     return search.nearest_with_ties(met)

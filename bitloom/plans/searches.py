@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits, geometry
-from bitloom.operators import cluster, retrieval, search
+from bitloom.operators import cluster, retrieval, search, spatial
 from bitloom.operators.sizing import small
 from bitloom.plans.registry import query, table
 
-LSH = search.LshParams(tables=4, bits=8)
+#: For tables of some 2,000 rows, as the largest given ones; a larger table takes for_rows() of its count.
+LSH = search.LshParams.for_rows(2_000)
+WIDE = search.LshParams(tables=12, bits=8)
+PROBES = 7
 SPARSE = search.LshParams(tables=1, bits=16, seed=3)
 
 
@@ -78,13 +81,68 @@ def knn_exact(spark, sf_dir):
     return search.k_nearest(hamming_pairs(spark, sf_dir), 5)
 
 
-@query("J34", f"WITH {_D}, f AS (SELECT q.vec_id AS a, m.vec_id AS b, {_APART} AS d FROM d q JOIN d m ON q.vec_id % 100 = 0 AND m.vec_id % 100 <> 0), x AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) r FROM f) WHERE r = 1), y AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) r FROM f) WHERE r = 1) SELECT x.a AS q_id, x.b AS m_id, x.d AS d FROM x JOIN y ON x.a = y.a AND x.b = y.b")
+@query("J3 J7", f"WITH {_D}, f AS (SELECT q.vec_id AS a, m.vec_id AS b, {_APART} AS d FROM d q JOIN d m ON q.vec_id % 100 = 0 AND m.vec_id % 100 <> 0), x AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) r FROM f) WHERE r = 1), y AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) r FROM f) WHERE r = 1) SELECT x.a AS q_id, x.b AS m_id, x.d AS d FROM x JOIN y ON x.a = y.a AND x.b = y.b")
 def mutual_match(spark, sf_dir):
     df = descriptors(spark, sf_dir)
     return search.mutual(asked(df), df.where("vec_id % 100 != 0")).select("q_id", "m_id", "d")
 
 
-@query("F23 J32 J33 J35", "WITH p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS s FROM embeddings q JOIN embeddings m ON q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) SELECT q_id, m_id, round(s, 6) AS ssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s, m_id) r FROM p) WHERE r = 1")
+_PLACED = "v AS (SELECT vec_id, (vec_id * 37 % 61)::DOUBLE AS x, (vec_id * 53 % 67)::DOUBLE AS y FROM embeddings)"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with a place in an image of 61 by 67 pixels."""
+    return df.select("*", (F.col("vec_id") * 37 % 61).cast("double").alias("x"), (F.col("vec_id") * 53 % 67).cast("double").alias("y"))
+
+
+@query(
+    "J34",
+    f"WITH {_D}, {_PLACED}, f AS (SELECT q.vec_id AS a, m.vec_id AS b, {_APART} AS d FROM d q JOIN d m ON q.vec_id % 100 = 0 AND m.vec_id % 100 <> 0), x AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) r FROM f) WHERE r = 1), y AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a) r FROM f) WHERE r = 1) "
+    "SELECT x.a AS q_id, x.b AS m_id, x.d AS d FROM x JOIN y ON x.b = y.b JOIN v p ON p.vec_id = x.a JOIN v o ON o.vec_id = y.a WHERE sqrt((p.x - o.x)**2 + (p.y - o.y)**2) <= sqrt(2::DOUBLE)",
+)
+def mutual_match_place(spark, sf_dir):
+    df = placed(descriptors(spark, sf_dir))
+    return search.mutual_by_place(asked(df), df.where("vec_id % 100 != 0"))
+
+
+_PATCH = "v AS (SELECT vec_id, (vec_id * 37 % 61)::DOUBLE AS x, (vec_id * 53 % 67)::DOUBLE AS y, list_transform(embedding, lambda x: floor(x::DOUBLE * 1000)) AS e FROM embeddings)"
+_ZM = "list_sum(list_transform(list_zip(q.e, m.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) - (list_sum(q.e) - list_sum(m.e)) * (list_sum(q.e) - list_sum(m.e)) / 64"
+_LEAST = "SELECT q_id, m_id, z AS zmssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY z, m_id) r FROM p WHERE z < 3000000) WHERE r = 1"
+
+
+def _patches(spark, sf_dir) -> DataFrame:
+    return placed(table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double")).alias("e")))
+
+
+def _least_patch(met: DataFrame) -> DataFrame:
+    """Of pairs (q_id, q, m_id, e) each query's patch of least difference, if that is below the bound; ties to the smaller id."""
+    z = met.select("q_id", "m_id", geometry.zero_mean_squared_apart(F.col("q"), F.col("e")).alias("z")).where("z < 3000000")
+    return z.groupBy("q_id").agg(F.min(F.struct("z", "m_id")).alias("b")).select("q_id", F.col("b.m_id").alias("m_id"), F.col("b.z").alias("zmssd"))
+
+
+@query("J32 J33", f"WITH {_PATCH}, p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_ZM} AS z FROM v q JOIN v m ON q.vec_id <> m.vec_id AND sqrt((q.x - m.x)**2 + (q.y - m.y)**2) <= 12 WHERE q.vec_id % 100 = 0) {_LEAST}")
+def patch_in_window(spark, sf_dir):
+    """The patch of least difference among those in a round window, if that is below a bound: a range join, then the least."""
+    v = _patches(spark, sf_dir)
+    met = spatial.within(asked(v), v, 12.0, "vec_id", "vec_id").where("l_vec_id != r_vec_id")
+    return _least_patch(met.select(F.col("l_vec_id").alias("q_id"), F.col("l_e").alias("q"), F.col("r_vec_id").alias("m_id"), F.col("r_e").alias("e")))
+
+
+@query(
+    "J31",
+    f"WITH {_PATCH}, g AS (SELECT vec_id, e, x AS ax, y AS ay, 60 - x AS bx, 66 - y AS by2 FROM v WHERE vec_id % 100 = 0), u AS (SELECT *, sqrt((bx - ax)**2 + (by2 - ay)**2) AS l FROM g), q AS (SELECT *, (bx - ax) / l AS ux, (by2 - ay) / l AS uy FROM u WHERE l > 0), "
+    f"p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_ZM} AS z FROM q JOIN v m ON q.vec_id <> m.vec_id AND abs((m.y - ay) * ux - (m.x - ax) * uy) <= 3 AND (m.x - ax) * ux + (m.y - ay) * uy BETWEEN -3 AND l + 3) {_LEAST}",
+)
+def epipolar_patch(spark, sf_dir):
+    """The patch of least difference within a band around each query's segment, if that is below a bound."""
+    v = _patches(spark, sf_dir)
+    q = asked(v).select("vec_id", "e", F.col("x").alias("ax"), F.col("y").alias("ay"), (60 - F.col("x")).alias("bx"), (66 - F.col("y")).alias("by"))
+    near = spatial.in_band(q, v, 3.0, "vec_id", "vec_id").where("segment != point")
+    met = near.join(small(q.select(F.col("vec_id").alias("segment"), F.col("e").alias("q"))), "segment").join(v.select(F.col("vec_id").alias("point"), "e"), "point")
+    return _least_patch(met.select(F.col("segment").alias("q_id"), "q", F.col("point").alias("m_id"), "e"))
+
+
+@query("F23 J35", "WITH p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS s FROM embeddings q JOIN embeddings m ON q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) SELECT q_id, m_id, round(s, 6) AS ssd FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s, m_id) r FROM p) WHERE r = 1")
 def ssd_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = small(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")))
@@ -146,19 +204,25 @@ def support_stats(spark, sf_dir):
     return s.agg(F.count("*").alias("n_queries"), F.sum("n_tables").alias("sum_support"), F.round(F.avg("n_tables"), 9).alias("avg_support"), F.round(F.stddev_samp("n_tables"), 9).alias("std_support"))
 
 
-_FLIPS = ", ".join(str(1 << k) for k in range(SPARSE.bits))
+_FLIPS = ", ".join(str(1 << k) for k in range(WIDE.bits))
+_WIDE = (
+    f"{_D}, {_buckets(WIDE)}, c1 AS (SELECT DISTINCT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM (SELECT b.*, unnest([0, {_FLIPS}]) AS flip FROM b WHERE vec_id % 100 = 0) q JOIN b m ON q.tab = m.tab AND m.hash = xor(q.hash, q.flip::BIGINT) AND q.vec_id <> m.vec_id), "
+    f"r1 AS ({_TIES.format('c1')}), l1 AS (SELECT * FROM d WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT q_id FROM r1)), c2 AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM l1 q JOIN d m ON q.vec_id <> m.vec_id), r2 AS ({_TIES.format('c2')})"
+)
 
 
-@query(
-    "J13",
-    f"WITH {_met(SPARSE)}, r0 AS ({_TIES.format('cand')}), l0 AS (SELECT * FROM d WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT q_id FROM r0)), "
-    f"c1 AS (SELECT DISTINCT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM (SELECT b.*, unnest([{_FLIPS}]) AS flip FROM b) q JOIN b m ON q.tab = m.tab AND m.hash = xor(q.hash, q.flip::BIGINT) AND q.vec_id <> m.vec_id WHERE q.vec_id IN (SELECT vec_id FROM l0)), "
-    f"r1 AS ({_TIES.format('c1')}), l1 AS (SELECT * FROM l0 WHERE vec_id NOT IN (SELECT q_id FROM r1)), c2 AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM l1 q JOIN d m ON q.vec_id <> m.vec_id), r2 AS ({_TIES.format('c2')}) "
-    "SELECT q_id, m_id, d, 0 AS flips FROM r0 UNION ALL SELECT q_id, m_id, d, 1 FROM r1 UNION ALL SELECT q_id, m_id, d, 2 FROM r2",
-)
+@query("J13", f"WITH {_WIDE} SELECT q_id, m_id, d, 1 AS flips FROM r1 UNION ALL SELECT q_id, m_id, d, 2 FROM r2")
 def lsh_multiprobe(spark, sf_dir):
     df = descriptors(spark, sf_dir)
-    return search.multi_probe(asked(df), df, SPARSE)
+    return search.multi_probe(asked(df), df, WIDE, wide=True)
+
+
+@query("H9", "SELECT CAST(m AS INTEGER) AS tables, CAST(floor(greatest(0.9261::DOUBLE * exp(-0.2317::DOUBLE * m) - 0.2447::DOUBLE, 0)) AS INTEGER) AS low, CAST(ceil(greatest(1.2102::DOUBLE * exp(-0.0540::DOUBLE * m) + 0.0801::DOUBLE, 0)) AS INTEGER) AS high FROM range(1, 61) t(m)")
+def support_thresholds(spark, sf_dir):
+    """For hash functions of up to 60 tables; no table is read."""
+    m = spark.range(1, 61).select(F.col("id").cast("int").alias("tables"))
+    low, high = search.support_thresholds(F.col("tables"))
+    return m.select("tables", low.alias("low"), high.alias("high"))
 
 
 @query(
@@ -167,7 +231,11 @@ def lsh_multiprobe(spark, sf_dir):
     "SELECT (SELECT count(*) FROM e) AS n_exact, round((SELECT avg(d) FROM e), 9) AS mean_exact, (SELECT count(*) FROM a) AS n_approx, round((SELECT avg(d) FROM a), 9) AS mean_approx, h.n AS n_hit, round(h.n / (SELECT count(*) FROM e), 9) AS recall FROM h",
 )
 def ann_recall(spark, sf_dir):
-    r = search.recall(nn_exact_ties(spark, sf_dir), lsh_ann(spark, sf_dir))
+    return _recall(spark, sf_dir, lsh_ann)
+
+
+def _recall(spark, sf_dir, approximate) -> DataFrame:
+    r = search.recall(nn_exact_ties(spark, sf_dir), approximate(spark, sf_dir))
     return r.select("n_exact", F.round("mean_exact", 9).alias("mean_exact"), "n_approx", F.round("mean_approx", 9).alias("mean_approx"), "n_hit", F.round("recall", 9).alias("recall"))
 
 
@@ -177,7 +245,7 @@ def bit_correlation(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(64) for j in range(64)], "i long, j long, r double")
 
 
-@query("H2 H4 H5 H8 H9 H10")
+@query("H2 H4 H5 H10")
 def hash_functions(spark, sf_dir):
     """Bits chosen by stability and by correlation, and how the tables that use them fill."""
     import random
@@ -262,10 +330,31 @@ def kmedoid_round(spark, sf_dir):
     return cluster.medoid_swap(df, _centres(df)).select("c_id", "medoid", "cost")
 
 
-@query("J16 J17", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM a q JOIN a m ON q.c_id = m.c_id AND q.vec_id <> m.vec_id WHERE q.vec_id % 100 = 0) {_TIES.format('p')}")
+_NEAR = f"qc AS (SELECT q_id, c_id, d FROM (SELECT q.vec_id AS q_id, m.c_id, {_APART} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_APART}, m.c_id) AS r FROM d q JOIN c0 m ON true WHERE q.vec_id % 100 = 0) WHERE r <= {PROBES})"
+_PRUNED = f"p AS (SELECT q.vec_id AS q_id, m.vec_id AS m_id, {_APART} AS d FROM qc JOIN d q ON q.vec_id = qc.q_id JOIN a m ON m.c_id = qc.c_id AND q.vec_id <> m.vec_id) {_TIES.format('p')}"
+
+
+@query("J16", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, {_NEAR}, {_PRUNED}")
 def cluster_pruned_nn(spark, sf_dir):
+    """The signs of these tables have no clusters, so that 0.9 of the neighbours are in the seven nearest of eight."""
+    df = descriptors(spark, sf_dir)
+    return cluster.pruned_nearest(asked(df), df, _centres(df), probes=PROBES)
+
+
+FEW = search.LshParams(tables=3, bits=4, seed=5)
+_FEW = (
+    f"{_buckets(FEW)}, {_buckets(FEW, 'cb').replace('FROM d', 'FROM (SELECT c_id AS vec_id, w0, w1 FROM c0)')}, hc AS (SELECT DISTINCT q.vec_id AS q_id, m.vec_id AS c_id, {_APART} AS d FROM b q JOIN cb m ON q.tab = m.tab AND q.hash = m.hash WHERE q.vec_id % 100 = 0), "
+    f"hq AS (SELECT q_id, c_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, c_id) AS r FROM hc) WHERE r <= {PROBES}), nc AS (SELECT q_id, c_id, d FROM (SELECT q.vec_id AS q_id, m.c_id, {_APART} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_APART}, m.c_id) AS r FROM d q JOIN c0 m ON true WHERE q.vec_id % 100 = 0) WHERE r <= {PROBES}), "
+    "qc AS (SELECT q_id, c_id FROM hq UNION ALL SELECT q_id, c_id FROM nc WHERE q_id NOT IN (SELECT q_id FROM hq))"
+)
+
+
+@query("J17", f"WITH {_D}, {_C0}, {_assigned('a', 'c0')}, {_FEW}, {_PRUNED}")
+def cluster_pruned_lsh(spark, sf_dir):
+    """Centroids by hashing. It looks into fewer clusters than cluster_pruned_nn, and so finds fewer of the neighbours."""
     df = descriptors(spark, sf_dir)
-    return cluster.pruned_nearest(asked(df), df, _centres(df))
+    centres = _centres(df)
+    return cluster.pruned_nearest(asked(df), df, centres, chosen=cluster.hashed_centroids(asked(df), centres, FEW, PROBES))
 
 
 # ---------------------------------------------------------------- retrieval
