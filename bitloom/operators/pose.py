@@ -7,6 +7,7 @@ and move through applyInPandas. Rotations are 3 x 3, poses map points of the wor
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -270,22 +271,51 @@ def relocalise(pairs: DataFrame, p: PoseParams = PoseParams(), progressive: bool
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "x", "y", "z", "u", "v"], kind="stable")
-        points, pixels = pdf[["x", "y", "z"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-        pose, inliers = (ransac(points, pixels, p, np.arange(len(pdf)) if progressive else None)) if sampled else ((np.eye(3), np.zeros(3)), np.ones(len(pdf), bool))
-        found, count = pose is not None and len(pdf) >= 4, 0
-        if found:
-            use = consensus(pose, points, pixels, p, p.pixels * p.widen) if sampled else inliers
-            pose = refine(pose, points[use], pixels[use], p if sampled else PoseParams(**{**p.__dict__, "steps": 30}))
-            count = int(consensus(pose, points, pixels, p, p.pixels).sum())
-            ok = np.isfinite(pose[0]).all() and np.isfinite(pose[1]).all()
-            found = bool(ok and count >= p.least and (p.farthest is None or np.linalg.norm(pose[0].T @ pose[1]) <= p.farthest))
-        numbers = [*pose[0].T.ravel().tolist(), *pose[1].tolist()] if found else None
-        return pd.DataFrame({"frame": [int(pdf["frame"].iloc[0])], "found": [found], "n": [len(pdf)], "inliers": [count], "pose": [numbers]})
+        found = _localise(pdf, p, progressive, sampled)
+        return pd.DataFrame({k: [found[k]] for k in ("frame", "found", "n", "inliers", "pose")})
 
     return pairs.groupBy("frame").applyInPandas(one, RELOCALISED)
 
 
+def _localise(pdf: pd.DataFrame, p: PoseParams, progressive: bool, sampled: bool) -> dict:
+    """One frame's RELOCALISED row, with the points of the last consensus and the seconds that preparing, pairing and all
+    of it took."""
+    began = time.perf_counter()
+    pdf = pdf.sort_values(["d", "x", "y", "z", "u", "v"], kind="stable")
+    points, pixels = pdf[["x", "y", "z"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
+    ready = time.perf_counter()
+    pose, inliers = (ransac(points, pixels, p, np.arange(len(pdf)) if progressive else None)) if sampled else ((np.eye(3), np.zeros(3)), np.ones(len(pdf), bool))
+    paired = time.perf_counter()
+    found, count, held = pose is not None and len(pdf) >= 4, 0, points[:0]
+    if found:
+        use = consensus(pose, points, pixels, p, p.pixels * p.widen) if sampled else inliers
+        pose = refine(pose, points[use], pixels[use], p if sampled else PoseParams(**{**p.__dict__, "steps": 30}))
+        agree = consensus(pose, points, pixels, p, p.pixels)
+        count, held = int(agree.sum()), points[agree]
+        ok = np.isfinite(pose[0]).all() and np.isfinite(pose[1]).all()
+        found = bool(ok and count >= p.least and (p.farthest is None or np.linalg.norm(pose[0].T @ pose[1]) <= p.farthest))
+    numbers = [*pose[0].T.ravel().tolist(), *pose[1].tolist()] if found else None
+    return {"frame": int(pdf["frame"].iloc[0]), "found": found, "n": len(pdf), "inliers": count, "pose": numbers, "points": held, "prep": ready - began, "pair": paired - ready, "all": time.perf_counter() - began}
+
+
+RECOVERED = "frame int, " + ", ".join(f"p{k} double" for k in range(12)) + ", t_reloc double, t_prep double, t_pair double, query_size int, map_size int, inliers int, points array<struct<x: double, y: double, z: double>>"
+
+
+def recovered(pairs: DataFrame, p: PoseParams = PoseParams(), progressive: bool = True) -> DataFrame:
+    """RECOVERED of every frame that is found again: its pose, the seconds of each stage, sizes, and its inliers' points.
+
+    query_size is the number of pairs, map_size that of their distinct points.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = _localise(pdf, p, progressive, True)
+        row = {"frame": r["frame"], **{f"p{k}": x for k, x in enumerate(r["pose"] or [0.0] * 12)}, "t_reloc": r["all"], "t_prep": r["prep"], "t_pair": r["pair"], "query_size": r["n"], "map_size": len(pdf[["x", "y", "z"]].drop_duplicates()), "inliers": r["inliers"]}
+        row["points"] = [{"x": x, "y": y, "z": z} for x, y, z in r["points"].tolist()]
+        return pd.DataFrame([row] if r["found"] else [], columns=list(row))
+
+    return pairs.groupBy("frame").applyInPandas(one, RECOVERED)
+
+
 # ---------------------------------------------------------------- planes and homographies
 
 

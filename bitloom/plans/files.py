@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from bitloom.functions import geometry
-from bitloom.operators import graph
+from bitloom.operators import graph, pose, retrieval
 from bitloom.operators.lineage import shared_dir
 from bitloom.plans.registry import query, table
-from bitloom.plans.searches import _D, descriptors
+from bitloom.plans.kernels import scene
+from bitloom.plans.searches import _D, _WORDS, _centres, descriptors
 from bitloom.sources import text
 
 
@@ -59,6 +60,25 @@ def poses_round_trip(spark, sf_dir):
     return spark.read.parquet(f"{place}/runs").select(F.col("seq").cast("long").alias("seq"), F.col("tag").cast("int").alias("tag"), "p0", "p11")
 
 
+@query("S13", f"WITH {_WORDS} SELECT word, image_id, count(*) AS tf FROM vw GROUP BY ALL")
+def inverted_file_round_trip(spark, sf_dir):
+    """Built and saved, then found there and read."""
+    df, place = descriptors(spark, sf_dir), _place(spark, "inverted")
+    words = retrieval.visual_words(df, _centres(df)).join(df.select("vec_id", F.col("label").alias("image_id")), "vec_id")
+    images = df.select("label").distinct().count()
+    text.load_or_build_index(spark, place, lambda: retrieval.postings(words), images)
+    return text.load_or_build_index(spark, place, lambda: None, images)
+
+
+@query("S20 T11")
+def recovery_records(spark, sf_dir):
+    """Poses with stage timings and sizes, written as text beside their inliers' points, and read again."""
+    place = _place(spark, "results")
+    text.write_results(pose.recovered(scene(spark, sf_dir)), place)
+    points = text.read_rows(spark, f"{place}/points3d", ["frame int", "x double", "y double", "z double"]).groupBy("frame").agg(F.count("*").alias("n_points"))
+    return text.read_rows(spark, f"{place}/poses", text.RESULT).join(points, "frame")
+
+
 @query("R14 W5", "SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN 1 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS turn FROM part")
 def creation_order(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("level"), F.col("p_retailprice").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators.lineage import shared_dir
 from bitloom.plans.registry import query, table
+from bitloom.sources.config import RunConfig
 from bitloom.streaming import frames as fr
 
 _F = "fr AS (SELECT user_id AS key, event_id AS seq, ts, CASE WHEN event_type = 'error' THEN 'BAD' WHEN event_type IN ('click', 'purchase') THEN 'GOOD' ELSE 'DODGY' END AS quality, value FROM events)"
@@ -43,7 +44,7 @@ def latest_observation(spark, sf_dir):
     return fr.latest(_frames(spark, sf_dir)).select("key", "seq", "quality", "value")
 
 
-@query("T4", f"WITH {_F}, w AS (SELECT key, seq, list(value) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM fr) SELECT key, seq, list_reduce(list_prepend(0.0::DOUBLE, v), lambda s, x: 0.9::DOUBLE * (0.5::DOUBLE * x + 0.5::DOUBLE * s)) AS motion FROM w")
+@query("T4", f"WITH {_F}, w AS (SELECT key, seq, list(value) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM fr) SELECT key, seq, list_reduce(list_prepend(0.0::DOUBLE, v), lambda s, x: 0.9::DOUBLE * (0.5::DOUBLE * x + 0.5::DOUBLE * s)) AS motion FROM w")
 def motion_ema(spark, sf_dir):
     return fr.motion_table(_frames(spark, sf_dir)).select("key", "seq", "motion")
 
@@ -62,16 +63,26 @@ def nine_after_key_frame(spark, sf_dir):
     return f.withColumn("last", F.max(F.when(F.col("quality") == "GOOD", F.col("n"))).over(w)).where("n - last = 9").select("key", "seq")
 
 
-@query("T6 T7 T9 T10")
+@query("T6")
 def keyframe_policy(spark, sf_dir):
     return fr.tracked_table(_frames(spark, sf_dir)).where("key_frame").select("key", "seq", "motion", "lost")
 
 
-@query("S14 S15 T1 T3 T4 T5 T6 T11")
+@query("S15 T1 T4 T5 T6")
 def stream_tracking(spark, sf_dir):
     return fr.finished(fr.tracked_stream(fr.event_stream(spark, sf_dir)), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
 
 
+@query("T3", f"WITH {_F}, {_RUNS}, n AS (SELECT key, seq, row_number() OVER (PARTITION BY key, run ORDER BY seq) - 1 AS again FROM r), e AS (SELECT key, min(seq) AS stop FROM n WHERE again >= 3 AND seq > 100 OR seq > 9000 GROUP BY key) SELECT n.key, n.seq FROM n LEFT JOIN e ON n.key = e.key WHERE stop IS NULL OR seq < stop")
+def stream_end(spark, sf_dir):
+    return fr.until_end(_frames(spark, sf_dir), repeats=3, least=100, last=RunConfig(last_frame=9000).last_frame).select("key", "seq")
+
+
+@query("T7", f"WITH {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM fr) SELECT key, seq, n >= 20 AND n % 20 = 0 AS forced, n >= 20 AND n % 20 < 5 AS lost FROM n")
+def forced_relocalisation(spark, sf_dir):
+    return fr.forced_losses(_frames(spark, sf_dir), RunConfig(force_every=20).force_every, 5).select("key", "seq", "forced", "lost")
+
+
 @query("T2", "SELECT user_id AS key, event_id AS seq FROM events")
 def stream_dedup(spark, sf_dir):
     return fr.finished(fr.distinct_frames(fr.event_stream(spark, sf_dir)).select("key", "seq"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")

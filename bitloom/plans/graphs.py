@@ -55,7 +55,7 @@ def dense_point_ids(spark, sf_dir):
     return graph.dense_ids(_edges(spark, sf_dir), "point", "dense")
 
 
-@query("J36 P9", "WITH x AS (SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey DESC LIMIT 1) SELECT x.frame, p.p_partkey AS point FROM x, part p WHERE (x.frame, p.p_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem) AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = x.frame)")
+@query("J36", "WITH x AS (SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey DESC LIMIT 1) SELECT x.frame, p.p_partkey AS point FROM x, part p WHERE (x.frame, p.p_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem) AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = x.frame)")
 def edges_not_seen(spark, sf_dir):
     newest = _frames(spark, sf_dir).orderBy(F.desc("seq")).limit(1)
     never = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("point"))
@@ -70,11 +70,19 @@ def outlier_points(spark, sf_dir):
 _COUNTS = "c AS (SELECT l_partkey AS point, count(*) FILTER (l_returnflag = 'R') AS n_out, count(*) FILTER (l_returnflag = 'A') AS n_in FROM lineitem GROUP BY l_partkey)"
 
 
-@query("P8 P9", f"WITH {_COUNTS} SELECT e.frame, e.point FROM (SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem) e WHERE point NOT IN (SELECT point FROM c WHERE n_out > 8 AND n_out > n_in)")
-def edges_without_bad_points(spark, sf_dir):
+def _point_counts(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    counts = li.groupBy(F.col("l_partkey").alias("point")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n_out"), F.count_if(F.col("l_returnflag") == "A").alias("n_in"))
-    return graph.without_points(_edges(spark, sf_dir), graph.bad_points(counts, 8))
+    return li.groupBy(F.col("l_partkey").alias("point")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n_out"), F.count_if(F.col("l_returnflag") == "A").alias("n_in"))
+
+
+@query("P8", f"WITH {_COUNTS} SELECT e.frame, e.point FROM (SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem) e WHERE point NOT IN (SELECT point FROM c WHERE n_out > 8 AND n_out > n_in)")
+def edges_without_bad_points(spark, sf_dir):
+    return graph.without_points(_edges(spark, sf_dir), graph.bad_points(_point_counts(spark, sf_dir), 8))
+
+
+@query("P9", f"WITH {_COUNTS} SELECT point, n_out, n_in, n_out > 8 AND n_out > n_in AS trash FROM c")
+def points_to_trash(spark, sf_dir):
+    return graph.split_bad(_point_counts(spark, sf_dir), 8)
 
 
 @query("J37", "SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem f WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = f.l_orderkey AND s.l_partkey = f.l_partkey AND s.l_returnflag <> 'N')")
@@ -118,7 +126,7 @@ def radius_anti(spark, sf_dir):
     return spatial.near_anti(pl.where("nation != 0"), pl.where("nation = 0"), 15.0, "id", "id").select("id")
 
 
-@query("J31 J32", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id, round({_APART}, 6) AS d FROM pl a JOIN pl b ON a.segment = 'BUILDING' AND b.segment <> 'BUILDING' AND {_APART} <= 10")
+@query("J31", f"WITH {_PLACES} SELECT a.id AS l_id, b.id AS r_id, round({_APART}, 6) AS d FROM pl a JOIN pl b ON a.segment = 'BUILDING' AND b.segment <> 'BUILDING' AND {_APART} <= 10")
 def radius_join(spark, sf_dir):
     pl = _places(spark, sf_dir)
     return spatial.within(pl.where("segment = 'BUILDING'"), pl.where("segment != 'BUILDING'"), 10.0, "id", "id").select("l_id", "r_id", F.round("d", 6).alias("d"))
@@ -246,11 +254,24 @@ def percentile_thresholds(spark, sf_dir):
     return stats.at_ranks(p, ["g"], "x", low=F.ceil(F.col("n") * 0.1) - 1, high=F.floor(F.col("n") * 0.9)).where("n >= 10").select("g", "low", "high")
 
 
-@query("W5 W7 W10", "SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
+@query("W5 W7", "SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
 def best_corners(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size >= 10").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
 
 
+@query("W10", "SELECT p_partkey, CAST(level AS INTEGER) AS level FROM (SELECT p_partkey, p_size % 4 AS level, row_number() OVER (PARTITION BY p_size % 4 ORDER BY (p_partkey * 2654435761) % 4294967296, p_partkey) AS r FROM part) WHERE r <= 20")
+def level_sample(spark, sf_dir):
+    return graph.level_sample(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("level")), 20, "level", "p_partkey")
+
+
+@query("J40", f"WITH {_PLACES}, p AS (SELECT a.id AS key, b.id AS id, sqrt((a.x + 20 - b.x)**2 + (a.y - b.y)**2) AS d FROM pl a JOIN pl b ON sqrt((a.x + 20 - b.x)**2 + (a.y - b.y)**2) < 12 WHERE a.id % 10 = 0) SELECT key, id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, id) AS r FROM p) WHERE r = 1")
+def predicted_corners(spark, sf_dir):
+    """The place nearest to one step to the right of every tenth, taken if nearer than 0.3 steps of 40."""
+    pl = _places(spark, sf_dir)
+    expected = pl.where("id % 10 = 0").select(F.col("id").alias("key"), (F.col("x") + 20).alias("x"), "y")
+    return spatial.predicted_corner(expected, pl.select("id", "x", "y"), "id", 40.0).select("key", "id", F.round("d", 6).alias("d"))
+
+
 @query("P6 P14", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS class_id FROM orders WHERE o_totalprice > 7000 AND o_orderpriority <> '5-LOW'")
 def candidate_keypoints(spark, sf_dir):
     from pyspark.sql import Window as W

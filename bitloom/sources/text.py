@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +112,19 @@ def load_or_build(spark: SparkSession, path: str, build) -> tuple[DataFrame, dic
     return load_vocabulary(spark, path)
 
 
+def load_or_build_index(spark: SparkSession, path: str, build, images: int) -> DataFrame:
+    """The inverted file (word, image_id, tf) at path; where there is none, what build() gives, which is saved first. One
+    that is not of so many images is given with a warning."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        build().write.mode("overwrite").parquet(path)
+    index = spark.read.parquet(path)
+    held = index.select("image_id").distinct().count()
+    if held != images:
+        warnings.warn(f"{path} is of {held} images, not {images}", stacklevel=2)
+    return index
+
+
 def descriptors_of(images: DataFrame, wanted: DataFrame, image_col: str = "image_id") -> DataFrame:
     """Descriptors of the listed images."""
     return images.join(wanted.select(image_col), image_col, "left_semi")

@@ -20,8 +20,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FRAME = "key long, seq long, ts timestamp, quality string, value double"
 TRACKED = "key long, seq long, motion double, lost int, recovering boolean, key_frame boolean"
 _STATE = "motion double, lost int, last_seq long, last_value double, taken int"
-#: Terms of the motion average after which 0.45 ** n is lost in a double.
-MEMORY = 64
 
 
 @dataclass
@@ -75,9 +73,30 @@ def tracked_stream(frames: DataFrame) -> DataFrame:
 
 
 def motion_table(frames: DataFrame) -> DataFrame:
-    """(key, seq, motion): the motion average by a window, as old terms vanish by 0.45 a frame."""
-    w = W.partitionBy("key").orderBy("seq").rowsBetween(-(MEMORY - 1), 0)
-    return frames.withColumn("_v", F.collect_list("value").over(w)).select("key", "seq", F.aggregate("_v", F.lit(0.0), lambda s, x: 0.9 * (0.5 * x + 0.5 * s)).alias("motion"))
+    """(key, seq, motion): the motion average over all of a key's frames, by the tracker's own steps."""
+    return tracked_table(frames).select("key", "seq", "motion")
+
+
+def until_end(frames: DataFrame, repeats: int = 2500, least: int = 100, last: int = -1, value: str = "quality") -> DataFrame:
+    """Each key's frames before its end: the first frame behind `least` that repeats its value so many times on end, or the
+    first behind `last`, if that is not negative."""
+    w = W.partitionBy("key", "run").orderBy("seq")
+    numbered = runs(frames, value).withColumn("_n", F.row_number().over(w) - 1)
+    over = (F.col("_n") >= repeats) & (F.col("seq") > least)
+    if last >= 0:
+        over = over | (F.col("seq") > last)
+    # a key's frames are in order already for its runs
+    ended = F.max(over.cast("int")).over(W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    return numbered.withColumn("_over", ended).where("_over = 0").drop("_over", "_n", "run")
+
+
+def forced_losses(frames: DataFrame, every: int, length: int) -> DataFrame:
+    """frames with forced, true on every so-many-th of a key's frames, where relocalisation is asked for, and lost, true on
+    that and the next ones up to `length`, for which the tracker is held to be lost. every 0: never."""
+    n = F.row_number().over(W.partitionBy("key").orderBy("seq")) - 1
+    if every < 1:
+        return frames.select("*", F.lit(False).alias("forced"), F.lit(False).alias("lost"))
+    return frames.withColumn("_n", n).select(*frames.columns, ((F.col("_n") >= every) & (F.col("_n") % every == 0)).alias("forced"), ((F.col("_n") >= every) & (F.col("_n") % every < length)).alias("lost"))
 
 
 def runs(frames: DataFrame, value: str = "quality") -> DataFrame:

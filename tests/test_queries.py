@@ -11,6 +11,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 
 
+#: Queries that may rightly find nothing in small tables.
+EMPTY = {"corner_scores", "saddle_corners", "stream_windows", "keyframe_policy"}
+
+
 def normal(rows, columns):
     import math
 
@@ -42,7 +46,10 @@ def test_sql_agrees(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_the_others_run(spark, name):
-    assert entry.queries()[name](spark, DIR).columns
+    df = entry.queries()[name](spark, DIR)
+    rows = df.collect()
+    assert rows or name in EMPTY
+    assert all(len(r) == len(df.columns) for r in rows)
 
 
 def test_entry(spark):
