@@ -27,3 +27,24 @@ def prose():
         return " ".join(w + ("." if k % 9 == 8 else "") for k, w in enumerate(words))
 
     return write
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints (wrapped in a list) and strings, signed; nulls are passed over."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, list) else struct.pack("<q", v)
+            h = xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.fixture(scope="session")
+def xxhash64(spark):
+    got = spark.sql("SELECT xxhash64(7L, 'é', 3) AS a, xxhash64(cast(null as bigint), '') AS b").first()
+    assert (got.a, got.b) == (spark_hash(7, "é", [3]), spark_hash(None, ""))
+    return spark_hash

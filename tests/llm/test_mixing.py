@@ -64,3 +64,48 @@ def test_reruns_agree_and_passes_differ(docs):
 def test_an_empty_table(docs):
     mixed, plan = mixing.mix(docs.where("false"))
     assert mixed.collect() == [] and plan == []
+
+
+@pytest.mark.parametrize("params", [{}, {"block": 16}, {"max_passes": 3.5, "block": 9}, {"budget": 0.4, "block": 20}])
+def test_the_mix_row_by_row(docs, xxhash64, params):
+    """Every row that is taken, its pass, block and draw, by a plain loop over the sources' documents."""
+    p = mixing.Params(**params)
+    mixed, _ = mixing.mix(docs, p)
+    got = Counter((r.doc_id, r.text, r.source, r.pass_1, r.block, r.draw) for r in mixed.collect())
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    tokens = lambda t: len((t or "").split())
+    total = sum(tokens(t) for _, t, _ in rows)
+    stats = {s: sum(tokens(t) for _, t, x in rows if x == s) for _, _, s in rows}
+    # the flattest exponent that keeps within the limit, by a fine scan
+    def over(e):
+        raised = {s: n**e for s, n in stats.items()}
+        return any(w / sum(raised.values()) * p.budget * total > p.max_passes * stats[s] * (1 + 1e-9) for s, w in raised.items())
+    low, high = 0.0, 1.0
+    for _ in range(80) if over(0.0) else ():
+        low, high = ((low + high) / 2, high) if over((low + high) / 2) else (low, (low + high) / 2)
+    e = high if over(0.0) else 0.0
+    raised = {s: n**e for s, n in stats.items()}
+    want = Counter()
+    for s, n in stats.items():
+        wanted = min(round(raised[s] / sum(raised.values()) * p.budget * total), math.floor(p.max_passes * n))
+        own = [(i, t) for i, t, x in rows if x == s]
+        blocks = -(-len(own) // p.block)
+        left = wanted
+        for k in range(wanted // n + 1):
+            order = sorted((((d := xxhash64(xxhash64(i, t), k, [p.seed])) >> 16) % blocks, d, i, t or "", t) for i, t in own)
+            for b, d, i, _, t in order:
+                if k < wanted // n or tokens(t) <= left:
+                    want[i, t, s, k, b, d] += 1
+                    left -= tokens(t) if k == wanted // n else 0
+                else:
+                    break
+            if k < wanted // n:
+                left -= n
+    assert got == want
+
+
+def test_repeated_rows_and_a_source_of_one_document(spark, make_docs, prose):
+    rows = make_docs([(1, prose(1, 10))] * 40 + [(2, prose(2, 10))]).withColumn("source", F.when(F.col("doc_id") == 1, "copies").otherwise("one"))
+    mixed, plan = mixing.mix(rows, mixing.Params(block=4))
+    taken = Counter((r.source, r["pass"]) for r in mixed.collect())
+    assert sum(s.tokens for s in plan) == 410 and taken["one", 0] == 1 and taken["one", 1] == 1 and taken["copies", 0] == 39
