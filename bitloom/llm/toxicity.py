@@ -11,6 +11,7 @@ isotonic fit to the examples' own leave-one-out votes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -71,8 +72,8 @@ class Vocabulary:
         self.least = min(lengths, default=0)
         self.starts = frozenset(t[1 : self.least + 1] for t in terms if t[0] == "^")
 
-    def numbers(self, words: Counter) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(numbers, counts) of a text's terms, beginnings once, and the counts of its words without a number."""
+    def numbers(self, words: Counter) -> tuple[list[int], list[int], float]:
+        """(numbers, counts) of a text's terms, beginnings once, and the squared weights of its words without a number."""
         at, counts, spare, heads = [], [], [], {}
         number, starts, least = self.number.get, self.starts, self.least
         for w, n in words.items():
@@ -86,7 +87,7 @@ class Vocabulary:
                 for size in self.lengths:
                     if size < len(w) and (h := number("^" + w[:size])) is not None:
                         heads[h] = heads.get(h, 0) + n
-        return np.array([*at, *heads], np.int64), np.array([*counts, *heads.values()], float), spare
+        return [*at, *heads], [*counts, *heads.values()], float(sum((1 + math.log(n)) ** 2 for n in spare))
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +185,6 @@ class Model:
     that no example has get in a text's length."""
 
     params: Params
-    terms: Vocabulary
     weight: np.ndarray
     apart: float
     ids: list
@@ -194,13 +194,10 @@ class Model:
     index: BlockMaxIndex | None = None
     curve: tuple[np.ndarray, np.ndarray] | None = None
 
-    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text's words, of length 1 with the words that no example has."""
-        at, counts, spare = self.terms.numbers(words)
-        if not len(at):
-            return at, counts
+    def vector(self, at: np.ndarray, counts: np.ndarray, spare: float) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of what Vocabulary.numbers() gives, of length 1 with the words that no example has."""
         w = (1 + np.log(counts)) * self.weight[at]
-        length = np.sqrt((w * w).sum() + (((1 + np.log(np.array(spare, float))) * self.apart) ** 2).sum())
+        length = np.sqrt(w @ w + spare * self.apart**2)
         return (at, w / length) if length > 0 else (at[:0], w[:0])
 
     def raw(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
@@ -216,29 +213,31 @@ class Model:
         v = sims**2 * self.votes[ids]
         return float((v * self.toxic[ids]).sum() / (v.sum() + self.params.doubt)), ids, sims
 
-    def score(self, text: str | None) -> tuple[float, str]:
+    def score(self, at: np.ndarray, counts: np.ndarray, spare: float) -> tuple[float, str]:
         """The probability of label 1, and as evidence the nearest examples as id:label:cosine."""
-        raw, ids, sims = self.raw(*self.vector(counts_of(text or "")))
+        raw, ids, sims = self.raw(*self.vector(at, counts, spare))
         if raw is None:
             return self.base, ""
         p = float(np.clip(np.interp(raw, *self.curve), 0, 1)) if self.curve else raw
         return p, ",".join(f"{self.ids[i]}:{self.toxic[i]}:{s:.3f}" for i, s in zip(ids[:3], sims[:3]))
 
 
-def build(examples: list[tuple], frequencies: dict[str, int], n: int, odds: dict[str, float], amount: dict[int, int], p: Params) -> Model:
-    """The model of labelled examples (id, words, label). frequencies: documents of n that hold each of their terms; odds:
-    log odds of the terms that go with label 1; amount: labelled rows by label, which the votes are weighed up to."""
-    terms = sorted(frequencies)
-    idf = np.log((n + 1) / (np.array([frequencies[t] for t in terms], float) + 1)) if terms else np.zeros(0)
-    weight = np.maximum(idf, 0) * np.array([odds.get(t, p.floor) for t in terms])
+def build(examples: list[tuple], terms: Vocabulary, frequencies: np.ndarray, n: int, odds: dict[str, float], amount: dict[int, int], p: Params) -> Model:
+    """The model of labelled examples (id, words, label). frequencies: documents of n that hold each of the terms; odds: log
+    odds of those that go with label 1; amount: labelled rows by label, which the votes are weighed up to."""
+    idf = np.maximum(np.log((n + 1) / (frequencies + 1)), 0)
+    weight = idf * np.array([odds.get(t, p.floor) for t in terms.number])
     each = Counter(t for _, _, t in examples)
     share = {t: amount.get(t, 0) / each[t] for t in each}
     mass = sum(share[t] * each[t] for t in each)
     toxic = np.array([t for _, _, t in examples], np.int64)
-    model = Model(p, Vocabulary(terms, p.heads), weight, float(np.log(n + 1) * p.floor), [i for i, _, _ in examples], toxic, np.array([share[t] / share.get(1, 1.0) for t in toxic]), share.get(1, 0.0) * each[1] / mass if mass else 0.0)
-    vectors = [model.vector(words) for _, words, _ in examples]
+    model = Model(p, weight, float(np.log(n + 1) * p.floor), [i for i, _, _ in examples], toxic, np.array([share[t] / share.get(1, 1.0) for t in toxic]), share.get(1, 0.0) * each[1] / mass if mass else 0.0)
+    vectors = []
+    for _, words, _ in examples:
+        at, counts, spare = terms.numbers(words)
+        vectors.append(model.vector(np.array(at, np.int64), np.array(counts, float), spare))
     lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-    model.index = BlockMaxIndex(vectors, len(terms), p.block, sorted(range(len(vectors)), key=lambda k: (toxic[k], lead[k], k)), p.first)
+    model.index = BlockMaxIndex(vectors, len(weight), p.block, sorted(range(len(vectors)), key=lambda k: (toxic[k], lead[k], k)), p.first)
     votes = [(model.raw(*v, skip=k)[0], k) for k, v in enumerate(vectors)]
     seen = [(raw, toxic[k], share[toxic[k]]) for raw, k in votes if raw is not None]
     if seen:
@@ -292,26 +291,21 @@ def term_odds(sampled: DataFrame, p: Params) -> dict[str, float]:
     return {r.term: float(np.log((r.c1 + 0.5) / (n1 + 1)) - np.log((r.c0 + 0.5) / (n0 + 1))) for r in kept.collect()}
 
 
-def frequencies_of(docs: DataFrame, terms: list[str], lengths: tuple[int, ...]) -> tuple[dict[str, int], int]:
-    """How many of all documents hold each of the terms, and how many documents there are. docs: text."""
-    take = hold(docs.sparkSession, Vocabulary(terms, lengths))
+def numbered(docs: DataFrame, terms: Vocabulary) -> DataFrame:
+    """id, and of every whole text what Vocabulary.numbers() gives: terms, counts, spare. docs: id and text."""
+    take = hold(docs.sparkSession, terms)
 
     def run(batches):
         known = take()
-        seen, n = np.zeros(len(known.number), np.int64), 0
         for batch in batches:
-            n += len(batch)
-            for text in batch.column(0):
-                seen[known.numbers(counts_of(text.as_py() or ""))[0]] += 1
-        held = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], n))], names=["t", "n"])
+            found = [known.numbers(counts_of(t.as_py() or "")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in found], pa.list_(pa.int32())), pa.array([c for _, c, _ in found], pa.list_(pa.int32())), pa.array([x for _, _, x in found], pa.float64())], names=["id", "terms", "counts", "spare"])
 
-    found = {r.t: r["sum(n)"] for r in docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").sum("n").collect()}
-    return {t: found.get(k, 0) for k, t in enumerate(terms)}, found.get(-1, 0)
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, terms array<int>, counts array<int>, spare double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
-    """The model of documents (id, text) by the labels that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[Model, DataFrame]:
+    """The model of documents (id, text) by the labels that aren't held out; and the documents by numbers of its terms."""
     kind = docs.schema["id"].dataType.simpleString()
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     usable = cut(usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic")))
@@ -336,9 +330,13 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     found = sampled.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(run, f"id {kind}, label int, terms array<string>, counts array<int>")
     examples = sorted((r.id, r.label, dict(zip(r.terms, r.counts))) for r in found.collect()) if chosen else []
     terms = sorted({t for _, _, words in examples for t in words})
-    frequencies, n = frequencies_of(docs, terms, lengths)
+    vocabulary = Vocabulary(terms, lengths)
+    counted = cut(numbered(docs, vocabulary))
+    frequencies, n = np.zeros(len(terms)), counted.count()
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+        frequencies[r.t] = r["count"]
     bare = [(i, Counter({w: c for w, c in words.items() if w[0] != "^"}), label) for i, label, words in examples]
-    return build(bare, frequencies, n, odds, amount, p)
+    return build(bare, vocabulary, frequencies, n, odds, amount, p), counted
 
 
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,15 +349,19 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     """
     p = params
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    take = hold(docs.sparkSession, learn(source, labels, p))
+    model, counted = learn(source, labels, p)
+    take = hold(docs.sparkSession, model)
     threshold = p.threshold
 
     def run(batches):
         m = take()
         for batch in batches:
-            found = [m.score(t.as_py()) for t in batch.column(1)]
+            ends = np.append(0, np.cumsum(batch.column(1).value_lengths().to_numpy()))
+            terms, counts = (batch.column(k).flatten().to_numpy() for k in (1, 2))
+            terms, counts, spare = terms.astype(np.int64), counts.astype(float), batch.column(3).to_numpy()
+            found = [m.score(terms[a:b], counts[a:b], x) for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), spare.tolist())]
             s = [x for x, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([e for _, e in found], pa.string())], names=["id", "score", "predicted", "evidence"])
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int, evidence string")
+    out = counted.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int, evidence string")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted", "evidence")
