@@ -26,6 +26,12 @@ def with_words(df: DataFrame, vector: str = "embedding", bits: int = 64, prefix:
     return df.select("*", *[w.alias(f"{prefix}{k}") for k, w in enumerate(binarise(vector, bits))])
 
 
+def packed(words: Sequence[Column]) -> list[Column]:
+    """Two words in one long each, the first in its low half; the same bits differ, and half the longs are compared."""
+    pairs = [words[k : k + 2] for k in range(0, len(words), 2)]
+    return [p[0] if len(p) == 1 else F.shiftleft(p[1], WORD).bitwiseOR(p[0]) for p in pairs]
+
+
 def hamming(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Differing bits of two descriptors given word by word; unrolled, so that it stays in generated code."""
     return reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]).cast("int")
