@@ -97,9 +97,10 @@ class FieldOfViewCamera:
 
     def visible(self, x: Column, y: Column, z: Column) -> Column:
         """Whether a point in camera coordinates is in front, within the lens and on the image."""
-        u, v, invalid = self.project(x / z, y / z)
+        front = F.when(z >= 0.001, z)
+        u, v, invalid = self.project(x / front, y / front)
         inside = (u >= 0) & (v >= 0) & (u <= self.width - 1) & (v <= self.height - 1)
-        return (z >= 0.001) & (norm(x / z, y / z) <= self.largest) & ~invalid & inside
+        return F.coalesce((norm(x / front, y / front) <= self.largest) & ~invalid & inside, F.lit(False))
 
 
 @dataclass(frozen=True)

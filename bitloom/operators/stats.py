@@ -102,3 +102,17 @@ def plane_sums(df: DataFrame, by: list[str]) -> DataFrame:
     for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"):
         out.append((F.sum(x[a] * x[b]) - F.sum(x[a]) * F.sum(x[b]) / n).alias(f"s{a}{b}"))
     return df.groupBy(*by).agg(n.alias("n"), *out)
+
+
+def block_sums(df: DataFrame, by: list[str], left: list[list], right: list[list], weight) -> DataFrame:
+    """Per group the weighted sums that normal equations are made of: s_i_j, the sum over rows and residuals of
+    weight * left[r][i] * right[r][j]. left and right: for every residual the expressions of its derivatives (or of itself).
+
+    By camera, by point or by both these are the blocks of a bundle; sums are taken before the shuffle.
+    """
+    out = []
+    for i in range(len(left[0])):
+        for j in range(len(right[0])):
+            total = sum((a[i] * b[j] for a, b in zip(left[1:], right[1:])), left[0][i] * right[0][j])
+            out.append(F.sum(weight * total).alias(f"s_{i}_{j}"))
+    return df.groupBy(*by).agg(*out)

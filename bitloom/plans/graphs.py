@@ -85,6 +85,42 @@ def points_to_trash(spark, sf_dir):
     return graph.split_bad(_point_counts(spark, sf_dir), 8)
 
 
+@query("P4 J36", "WITH x AS (SELECT o_orderkey AS frame FROM orders ORDER BY o_orderkey DESC LIMIT 10), e AS (SELECT x.frame, p.p_partkey AS point, (p_size % 7 - 3) / 4.0::DOUBLE AS x, (p_partkey % 11 - 5) / 8.0::DOUBLE AS y, (p_partkey % 5 - 1) / 1.0::DOUBLE AS z FROM x, part p WHERE (x.frame, p.p_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem)), q AS (SELECT *, CASE WHEN z < 0.001 THEN NULL WHEN sqrt(x*x/(z*z) + y*y/(z*z)) < 0.001 THEN 1.0 ELSE atan(sqrt(x*x/(z*z) + y*y/(z*z)) * 2 * tan(0.05)) / (sqrt(x*x/(z*z) + y*y/(z*z)) * 0.1) END AS k FROM e) SELECT frame, point, NOT coalesce(z >= 0.001 AND x / z * k * 320 + 319.5 BETWEEN 0 AND 639 AND y / z * k * 360 + 239.5 BETWEEN 0 AND 479, false) AS never FROM q")
+def refind_failures(spark, sf_dir):
+    """The ten newest frames against all points that they haven't: which of them can't be seen and are never to be tried again."""
+    newest = _frames(spark, sf_dir).orderBy(F.desc("seq")).limit(10)
+    k = F.col("point")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point"), ((F.col("p_size") % 7 - 3) / 4.0).alias("x"))
+    pairs = graph.unseen(newest, p, _edges(spark, sf_dir)).join(p, "point")
+    camera = geometry.FieldOfViewCamera()
+    return graph.refind(pairs, camera.visible(F.col("x"), (k % 11 - 5) / 8.0, (k % 5 - 1) / F.lit(1.0)))
+
+
+@query("R22", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0.0::DOUBLE ELSE p_size / 2.0::DOUBLE END AS x, CASE WHEN p_size % 3 > 0 THEN round(sqrt(1 / (p_size % 3)::DOUBLE), 9) END AS noise FROM part")
+def bundle_inserts(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_size") / 2).alias("x"), (F.col("p_size") % 3).cast("double").alias("sigma2"))
+    return graph.with_noise(graph.clean_nan(p, ("x",))).select("p_partkey", "x", F.round("noise", 9).alias("noise"))
+
+
+_ROWS = "m AS (SELECT l_orderkey % 100 AS camera, l_partkey AS point, l_linenumber::DOUBLE AS a0, (l_quantity % 7)::DOUBLE AS a1, (l_suppkey % 5)::DOUBLE AS b0, (l_orderkey % 3)::DOUBLE AS b1, (l_partkey % 11)::DOUBLE AS e0, (l_quantity % 4)::DOUBLE AS e1, CASE WHEN l_returnflag = 'R' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM lineitem)"
+_BLOCKS = {"camera": "camera AS id, 'camera' AS block, sum(w * (a0 * a0 + b0 * b0)) AS s_0_0, sum(w * (a0 * a1 + b0 * b1)) AS s_0_1, sum(w * (a1 * a0 + b1 * b0)) AS s_1_0, sum(w * (a1 * a1 + b1 * b1)) AS s_1_1", "point": "point AS id, 'point' AS block, sum(w * (a0 * e0 + b0 * e1)) AS s_0_0, sum(w * (a0 * e1 + b0 * e0)) AS s_0_1, sum(w * (a1 * e0 + b1 * e1)) AS s_1_0, sum(w * (a1 * e1 + b1 * e0)) AS s_1_1"}
+
+
+@query("A18 A15", f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT {columns} FROM m GROUP BY {by}" for by, columns in _BLOCKS.items()))
+def bundle_blocks(spark, sf_dir):
+    """Weighted sums of products of two residuals' derivatives: by camera with themselves, by point with the residuals."""
+    li = table(spark, sf_dir, "lineitem")
+    number = lambda c: c.cast("double")
+    a = [number(F.col("l_linenumber")), number(F.col("l_quantity") % 7)]
+    b = [number(F.col("l_suppkey") % 5), number(F.col("l_orderkey") % 3)]
+    e = [number(F.col("l_partkey") % 11), number(F.col("l_quantity") % 4)]
+    w = F.when(F.col("l_returnflag") == "R", 0.5).otherwise(1.0)
+    rows = li.withColumns({"camera": F.col("l_orderkey") % 100, "point": F.col("l_partkey")})
+    cameras = stats.block_sums(rows, ["camera"], [a, b], [a, b], w).select(F.col("camera").alias("id"), F.lit("camera").alias("block"), *[f"s_{i}_{j}" for i in (0, 1) for j in (0, 1)])
+    points = stats.block_sums(rows, ["point"], [a, b], [e, e[::-1]], w).select(F.col("point").alias("id"), F.lit("point").alias("block"), *[f"s_{i}_{j}" for i in (0, 1) for j in (0, 1)])
+    return cameras.unionByName(points)
+
+
 @query("J37", "SELECT DISTINCT l_orderkey AS frame, l_partkey AS point FROM lineitem f WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = f.l_orderkey AND s.l_partkey = f.l_partkey AND s.l_returnflag <> 'N')")
 def retry_queue(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("point"), "l_returnflag")

@@ -92,15 +92,25 @@ def write_results(results: DataFrame, path: str) -> None:
     write_rows(points, f"{path}/points3d")
 
 
+#: What tells a vocabulary's folder from another, and the versions of it that are read; the last is written.
+SIGNATURE, VERSIONS = "binary vocabulary", ("1",)
+
+
 def save_vocabulary(centroids: DataFrame, cost: float, path: str, **parameters) -> None:
-    """Centroids, and beside them a row with the cost and the parameters."""
+    """Centroids, and beside them rows with signature, version, cost and parameters."""
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    meta = [(k, str(v)) for k, v in {**parameters, "cost": cost}.items()]
+    meta = [(k, str(v)) for k, v in {**parameters, "cost": cost, "signature": SIGNATURE, "version": VERSIONS[-1]}.items()]
     centroids.sparkSession.createDataFrame(meta, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    return spark.read.parquet(f"{path}/centroids"), {r.name: r.value for r in spark.read.parquet(f"{path}/parameters").collect()}
+    """(centroids, parameters); a folder of another kind or version is an error."""
+    held = {r.name: r.value for r in spark.read.parquet(f"{path}/parameters").collect()}
+    if held.pop("signature", None) != SIGNATURE:
+        raise ValueError(f"{path} holds no vocabulary")
+    if (version := held.pop("version", None)) not in VERSIONS:
+        raise ValueError(f"{path} is of version {version}, which isn't read")
+    return spark.read.parquet(f"{path}/centroids"), held
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> tuple[DataFrame, dict[str, str]]:

@@ -255,3 +255,12 @@ def test_bundles_come_back(estimator):
     b = pose.Bundle(off, points + rng.normal(0, 0.01, points.shape), measured)
     b.solve(estimator)
     assert np.abs(b.points - points).max() < 1e-3
+
+
+def test_pairs_of_frames_of_a_crowded_point(spark):
+    from bitloom.operators import graph
+
+    edges = [(f, 1) for f in range(60)] + [(f, 2) for f in range(0, 60, 7)] + [(3, 3)]
+    df = spark.createDataFrame(edges, "frame long, point long")
+    want = sorted((p, j, k) for j, p in edges for k, q in edges if p == q and j < k)
+    assert sorted(map(tuple, graph.covisible(df, block=8).collect())) == want == sorted(map(tuple, graph.covisible(df).collect()))

@@ -70,3 +70,15 @@ def test_a_vocabulary_is_built_once(spark, tmp_path):
     assert built == [1]
     images = spark.createDataFrame([(1, 2), (2, 3)], "image_id long, w0 long")
     assert text.descriptors_of(images, images.where("image_id = 2")).count() == 1
+
+
+def test_vocabularies_of_another_kind_are_refused(spark, tmp_path):
+    from bitloom.sources import text
+
+    place = str(tmp_path / "v")
+    text.save_vocabulary(spark.createDataFrame([(0, 1)], "c_id long, w0 long"), 0.5, place, k=1)
+    assert text.load_vocabulary(spark, place)[1] == {"k": "1", "cost": "0.5"}
+    for rows, said in (([("signature", text.SIGNATURE), ("version", "9")], "version 9"), ([("version", "1")], "no vocabulary")):
+        spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{place}/parameters")
+        with pytest.raises(ValueError, match=said):
+            text.load_vocabulary(spark, place)
