@@ -17,9 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import cut, free_name
+from bitloom.operators.sizing import small
 
 #: Sources are a list that people keep; one row of each meets on the driver, and goes to every task. More is an error.
 MAX_SOURCES = 100_000
+#: Rows of a table of keys that may be broadcast.
+FEW_KEYS = 500_000
 _TOKENS = r"[^\x20\x09-\x0D]+"
 
 
@@ -138,8 +141,15 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
     taken = taken.withColumn("draw", _draw(key, F.col("pass"), p.seed)).withColumn("block", _block(F.col("draw"), F.col("blocks")))
     partial = F.col("pass") == F.col("passes")
     whole = taken.where(~partial | F.col("end").isNull() | (F.col("block") < F.col("end")))
-    edge = taken.where(partial & (F.col("block") == F.col("end")))
-    order = W.partitionBy("of").orderBy("draw", at[id_col], at[text_col]).rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.sum(tokens).over(order)).where(F.col("upto") <= F.col("left")).drop("upto")
+
+    # what the budget takes of the block that it cuts is told by keys, so that no text is ordered or shuffled
+    cut_block = slim.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("of"))).where("end is not null").withColumn("draw", _draw(F.col("key"), F.col("passes"), p.seed)).where(_block(F.col("draw"), F.col("blocks")) == F.col("end"))
+    upto = F.sum("tokens").over(W.partitionBy("of").orderBy("draw", "key").rowsBetween(W.unboundedPreceding, 0))
+    chosen = cut_block.withColumn("upto", upto).groupBy(F.col("of").alias("from"), F.col("key").alias("place")).agg(F.count("*").alias("held"), F.sum((F.col("upto") <= F.col("left")).cast("long")).alias("kept"))
+    chosen = small(cut(chosen.where("kept > 0")), FEW_KEYS)
+    edge = taken.where(partial & (F.col("block") == F.col("end"))).withColumn("place", key).join(chosen, ["place"]).where(F.col("of").eqNullSafe(F.col("from")))
+    # of rows that agree in id and text as many as are kept: one place a source at most
+    some = edge.where("kept < held").withColumn("n", F.row_number().over(W.partitionBy("of", "place").orderBy("draw"))).where("n <= kept").drop("n")
+    edge = edge.where("kept = held").unionByName(some).select(*whole.columns)
     out = whole.unionByName(edge).select(*at.values(), "pass", "block", "draw")
     return out.toDF(*docs.columns, *(free_name(docs, stem) for stem in ("pass", "block", "draw"))), shares
