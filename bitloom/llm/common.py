@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where its files give half as many tasks as there are cores or fewer; for work on texts that costs
+    more than moving them. A large table has more parts than that, and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of df has, whatever its case."""
     held = {c.lower() for c in df.columns}

@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import bpe, chat, language, mixing, pii, quality, sharding, simhash, topk, toxicity
-from bitloom.llm.common import table
+from bitloom.llm.common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.dedup_classes(table(spark, sf_dir, "documents"))
+    return simhash.dedup_classes(documents(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents"))
+    out = quality.judge(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +54,11 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(documents(spark, sf_dir))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
 def vocabulary() -> str:
