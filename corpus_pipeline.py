@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import bpe, mixing, pii, quality, queries, simhash
-from bitloom.llm.common import cut, drop, table
+from bitloom.llm.common import cut, drop
 from bitloom.sources.shipping import ship
 
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again, as a rerun after a loss needs."""
-    docs, held = table(spark, sf_dir, "documents"), None
+    docs, held = queries.documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         kept = cut(stage(spark, docs, sf_dir))
         if held is not None:
