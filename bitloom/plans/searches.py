@@ -153,7 +153,7 @@ def ssd_nearest(spark, sf_dir):
 # ---------------------------------------------------------------- hashing
 
 
-@query("J8 H1 H6 A20", f"WITH {_D}, {_buckets(LSH)} SELECT tab AS \"table\", count(DISTINCT hash) AS n_buckets, count(*) AS n_elems FROM b GROUP BY tab")
+@query("J8 H1 A20", f"WITH {_D}, {_buckets(LSH)} SELECT tab AS \"table\", count(DISTINCT hash) AS n_buckets, count(*) AS n_elems FROM b GROUP BY tab")
 def lsh_buckets(spark, sf_dir):
     return search.bucket_stats(descriptors(spark, sf_dir), LSH)
 
@@ -245,7 +245,7 @@ def bit_correlation(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(64) for j in range(64)], "i long, j long, r double")
 
 
-@query("H2 H4 H5 H10")
+@query("H2 H4 H5 H6 H10")
 def hash_functions(spark, sf_dir):
     """Bits chosen by stability and by correlation, and how the tables that use them fill."""
     import random
