@@ -15,12 +15,10 @@ from bitloom.operators.sizing import small
 
 def majority(df: DataFrame, by: str | None, words: list[str], width: int = 64) -> DataFrame:
     """One descriptor a group: a bit is set if over half of the rows (rounded down) have it. All bits in one aggregate."""
-    half = F.floor(F.count("*") / 2)
-    columns = [F.col(w) for w in words]
     out = []
     for k, w in enumerate(words):
-        votes = [F.when(F.sum(bits.bit(columns, 32 * k + j)) > half, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j in range(min(32, width - 32 * k))]
-        out.append(reduce(Column.bitwiseOR, votes).alias(w))
+        votes = [f"if(sum((`{w}` >> {j}) & 1) > floor(count(*) / 2), {1 << j}L, 0L)" for j in range(min(32, width - 32 * k))]
+        out.append(F.expr(" | ".join(votes)).alias(w))
     grouped = df.groupBy(by) if by else df.groupBy()
     return grouped.agg(*out, F.count("*").alias("n"))
 
