@@ -31,39 +31,66 @@ DENSE = 64
 BLOCK = 2048
 
 
-def simhash(data: bytes, width: int = 3) -> int:
-    """The 64-bit fingerprint of one text: a bit is set if over half of its shingles' hashes have it."""
-    counts, total, carry = np.zeros(64, np.int64), 0, []
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash of the same shingles, for every k over 0, made of their first by the splitmix64 finaliser."""
+    if not k:
+        return h
+    h = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def simhashes(data: bytes, prints: int = 1, width: int = 3) -> list[int]:
+    """Independent 64-bit fingerprints of one text, each by a hash of its own: a bit is set if over half of the shingles'
+    hashes have it. Without words all are 0."""
+    counts, total, carry = np.zeros((prints, 64), np.int64), 0, []
+    votes = lambda h: np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     for words in word_chunks(data.lower()):
         words = carry + words
         shingles = zip(*(words[k:] for k in range(width)))
         h = np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), np.uint64)
         carry = words[-(width - 1) :]
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for k in range(prints):
+            counts[k] += votes(_mixed(h, k))
         total += len(h)
     if not total:
-        return xxh64_intdigest(b" ".join(carry), SEED) if carry else 0
-    return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
+        if not carry:
+            return [0] * prints
+        one = np.array([xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+        return [int(_mixed(one, k)[0]) for k in range(prints)]
+    return [int.from_bytes(np.packbits(c * 2 > total, bitorder="little").tobytes(), "little") for c in counts]
+
+
+def simhash(data: bytes, width: int = 3) -> int:
+    """The first fingerprint of one text."""
+    return simhashes(data, 1, width)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """id and `fingerprint` (long) of docs, and more columns by expressions over id and text.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column, prints: int = 1) -> DataFrame:
+    """id and `fingerprint` (long) of docs, and more columns by expressions over id and text; then, of several prints, the
+    others as fingerprint_1 and so on.
 
     A text that is null, empty or without words has fingerprint 0.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).select("id", *more, F.col("text").cast("binary").alias("text"))
     held = range(len(source.columns) - 1)
-    out = StructType([source.schema.fields[i] for i in held]).add("fingerprint", "long", False)
+    out = StructType([source.schema.fields[i] for i in held])
+    for name in _names(prints):
+        out = out.add(name, "long", False)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(held))
-            prints = np.fromiter((simhash(t.as_py() or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in held), pa.array(prints)], names=out.names)
+            found = np.array([simhashes(t.as_py() or b"", prints) for t in batch.column(len(held))], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in held), *(pa.array(found[:, k]) for k in range(prints))], names=out.names)
 
     return source.mapInArrow(run, out)
 
 
+def _names(prints: int) -> list[str]:
+    return ["fingerprint", *(f"fingerprint_{k}" for k in range(1, prints))]
+
+
 def _unary(f: Column) -> Column:
     """Every two-bit segment's number of set bits, in unary."""
     low, half = F.lit(0x5555555555555555), F.shiftrightunsigned(f, 1)
@@ -167,9 +194,24 @@ def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return _classes_of(cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("own_id"))))
 
 
-def _classes_of(own: DataFrame) -> DataFrame:
-    """classes() of distinct fingerprints with their least ids, `own_id`: equal ones have met before any join."""
-    found = connected(links(own))
+def _all_links(own: DataFrame, others: list[str]) -> DataFrame:
+    """links() of the fingerprints of own, and those by its other prints, as links of first fingerprints: another print that
+    is the same, or near, links the texts that have it. own: the prints of every distinct text."""
+    out = links(own.select("fingerprint").distinct())
+    for name in others:
+        pairs = cut(own.select(F.col(name).alias("o"), "fingerprint").distinct())
+        least = cut(pairs.groupBy("o").agg(F.min("fingerprint").alias("rep")))
+        near = links(least.select(F.col("o").alias("fingerprint")))
+        near = near.join(least.select(F.col("o").alias("a"), F.col("rep").alias("x")), "a").join(least.select(F.col("o").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        same = pairs.join(least, "o").select(F.col("fingerprint").alias("a"), F.col("rep").alias("b"))
+        out = out.unionByName(near).unionByName(same)
+    return out.where("a != b")
+
+
+def _classes_of(own: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """classes() of distinct fingerprints with their least ids, `own_id`: equal ones have met before any join. edges: their
+    links, if not those of links()."""
+    found = connected(links(own) if edges is None else edges)
     linked = cut(own.join(found.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select("fingerprint", "own_id", F.coalesce("root", "fingerprint").alias("root"), F.col("root").isNotNull().alias("moved")))
     # ids of a class meet once a map task has taken the least of its own
     least = linked.where("moved").unionByName(linked.where("not moved").join(found.select("root").distinct(), "root", "left_semi")).groupBy("root").agg(F.min("own_id").alias("component_id"), F.count("*").alias("rows"))
@@ -199,12 +241,17 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Rows of a table of dropped documents (an id and two hashes each) that may be broadcast.
 FEW_DROPPED = 500_000
+#: Independent fingerprints by which keep_first() links.
+PRINTS = 3
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS) -> DataFrame:
     """docs with one row of each class: that of its smallest id, the rest of its rows dropped. Columns stay as they are,
     whatever their names.
 
+    Texts link if any of several independent fingerprints differ in MAX_BITS bits or fewer: a near copy that one print
+    misses, another may find.
+
     Rows that repeat an id are told apart by fingerprint and then text (by two 64-bit hashes), and of rows that agree in
     all these the least by its other columns stays, so exactly one row of a class remains. Null ids come after all others.
     Texts are read once for fingerprints, and classes are made of ids, fingerprints and hashes; texts aren't shuffled
@@ -213,12 +260,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     id_at, text_at = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     hashes = lambda text: (F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
-    prints = cut(fingerprints(numbered, id_at, text_at, *hashes(F.col("text"))))
-    keys = cut(prints.groupBy("fingerprint", "id", "h", "g").agg(F.count("*").alias("rows")))
-    drop(prints)
+    others = _names(prints)[1:]
+    found = cut(fingerprints(numbered, id_at, text_at, *hashes(F.col("text")), prints=prints))
+    keys = cut(found.groupBy("fingerprint", "id", "h", "g").agg(F.count("*").alias("rows")))
     best = keys.groupBy("fingerprint").agg(F.min("id").alias("own_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "h", "g")).alias("best"))
     best = cut(best)
-    first = best.join(_classes_of(best.select("fingerprint", "own_id")).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
+    every = found.groupBy("fingerprint", *others).count().drop("count")
+    edges = _all_links(cut(every), others)
+    first = best.join(_classes_of(best.select("fingerprint", "own_id"), edges).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
     first = first.select(F.col("best.fingerprint").alias("fingerprint"), F.col("best.id").alias("id"), F.col("best.h").alias("h"), F.col("best.g").alias("g"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]) & (a["g"] == b["g"])
     k, f = keys.alias("k"), first.alias("f")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import cut, held_out, hold
+from bitloom.llm.common import cut, drop, held_out, hold
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -335,6 +335,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[Model, DataFra
     frequencies, n = np.zeros(len(terms)), counted.count()
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         frequencies[r.t] = r["count"]
+    drop(usable, sampled)
     bare = [(i, Counter({w: c for w, c in words.items() if w[0] != "^"}), label) for i, label, words in examples]
     return build(bare, vocabulary, frequencies, n, odds, amount, p), counted
 

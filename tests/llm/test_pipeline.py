@@ -18,10 +18,10 @@ def test_stages_by_brute_force(spark, make_docs, prose, tmp_path):
     rows = {r.doc_id: r for r in docs.collect()}
     kept = [r.doc_id for r in quality.judge(docs).where("kept").collect()]
     assert not {62, 63, 64} & set(kept)
-    prints = {k: simhash.simhash(rows[k].text.encode()) for k in kept}
+    prints = {k: simhash.simhashes(rows[k].text.encode(), simhash.PRINTS) for k in kept}
     groups = {}
     for k in sorted(kept):
-        near = [g for g in groups.values() if any(bin(prints[k] ^ prints[j]).count("1") <= 3 for j in g)]
+        near = [g for g in groups.values() if any(bin(a ^ b).count("1") <= 3 for j in g for a, b in zip(prints[k], prints[j]))]
         merged = {k}.union(*near)
         groups = {min(g): g for g in groups.values() if g not in near} | {min(merged): merged}
     assert 60 not in groups and 3 in groups

@@ -127,3 +127,33 @@ def test_one_row_of_each_class_stays(make_docs, prose):
 def test_an_empty_table_gives_nothing(make_docs):
     docs = make_docs([(1, "x")]).where("false")
     assert simhash.dedup_classes(docs).collect() == [] and simhash.keep_first(docs).collect() == []
+
+
+def test_near_copies_by_several_prints(spark, make_docs, prose):
+    """The stage against all pairs of all prints, and how many near copies it takes."""
+    rng = random.Random(12)
+    texts = [prose(k, 120) for k in range(150)]
+    for k in range(150):
+        words = texts[k].split()
+        words[rng.randrange(len(words))] = f"changed{k}"
+        texts.append(" ".join(words))
+    texts += ["", "one", "one two", None, "   "]
+    prints = [simhash.simhashes((t or "").encode(), 3) for t in texts]
+    assert [p[0] for p in prints] == [plain(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(bin(a ^ b).count("1") <= 3 for a, b in zip(prints[i], prints[j])):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    docs = make_docs(texts)
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert kept == {k for k in range(len(texts)) if top(k) == k}
+    one = simhash.keep_first(docs, prints=1).count()
+    assert len(kept) < one and sum(k in kept for k in range(150, 300)) < 0.3 * 150
