@@ -16,7 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays, that of the smallest id; links are those of the op1 query."""
+    """One document of each SimHash class stays, that of the smallest id. Links are those of the op1 query, and of two more
+    fingerprints of the same kind."""
     ship(spark)
     return simhash.keep_first(docs)
 
