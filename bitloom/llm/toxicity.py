@@ -35,7 +35,7 @@ class Params:
     """
 
     max_fit: int = 10_000
-    max_examples: int = 500
+    max_examples: int = 1_000
     min_root: float = 4.0
     heads: tuple[int, ...] = (4, 5, 6, 7)
     floor: float = 0.1
