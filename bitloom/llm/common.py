@@ -5,12 +5,14 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.operators.lineage import cut, drop, shared_dir  # noqa: F401
+from bitloom.operators import lineage
+from bitloom.operators.lineage import drop, shared_dir  # noqa: F401
 from bitloom.sources.shipping import ship
 
 #: Bytes of text that are split into words at a time.
@@ -22,6 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the running pipeline stage has cut, if one runs, and what earlier stages have left.
+_made: list[DataFrame] | None = None
+_left: list[DataFrame] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """lineage.cut(), remembered where a pipeline stage runs."""
+    out = lineage.cut(df)
+    if _made is not None:
+        _made.append(out)
+    return out
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage that deletes the working tables of the stages before it, as their results have been written by then;
+    those that its docs are still read from stay."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _made
+        used = docs.inputFiles() if _left else []
+        for df in [x for x in _left if not any(f"{x._cut_path}/" in name for name in used)]:
+            drop(df)
+            _left.remove(df)
+        before, _made = _made, []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _left.extend(x for x in _made if x._cut_path)
+            _made = before
+
+    return run
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out anew where its files give half as many tasks as there are cores or fewer; for work on texts that costs
     more than moving them. A large table has more parts than that, and stays as it is."""

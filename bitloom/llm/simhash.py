@@ -242,7 +242,7 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Rows of a table of dropped documents (an id and two hashes each) that may be broadcast.
 FEW_DROPPED = 500_000
 #: Independent fingerprints by which keep_first() links.
-PRINTS = 3
+PRINTS = 2
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS) -> DataFrame:

@@ -61,3 +61,15 @@ def test_stages_with_clashing_names(spark, make_docs, prose):
         assert sorted(repr(r[:5]) for r in rows) == sorted(repr(tuple(r)) for r in stage(spark, plain, "").collect()), name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == len(texts)
+
+
+def test_working_tables_go_once_they_are_read(spark, make_docs, prose):
+    from bitloom.llm import common
+
+    docs = make_docs([prose(k, 40) for k in range(30)])
+    first = corpus_pipeline.quality_rules(spark, docs, "")
+    second = corpus_pipeline.near_dedup(spark, first, "")
+    assert second.count() == first.count() == 30  # first hasn't been written, so what it reads is still there
+    held = [df._cut_path for df in common._left]
+    corpus_pipeline.personal_data(spark, docs, "")
+    assert held and common._left == [] and not any(os.path.exists(p) for p in held)

@@ -130,7 +130,7 @@ def test_an_empty_table_gives_nothing(make_docs):
 
 
 def test_near_copies_by_several_prints(spark, make_docs, prose):
-    """The stage against all pairs of all prints, and how many near copies it takes."""
+    """The operator against all pairs of all of three prints, and how many near copies it takes."""
     rng = random.Random(12)
     texts = [prose(k, 120) for k in range(150)]
     for k in range(150):
@@ -153,7 +153,7 @@ def test_near_copies_by_several_prints(spark, make_docs, prose):
                 x, y = top(i), top(j)
                 up[max(x, y)] = min(x, y)
     docs = make_docs(texts)
-    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    kept = {r.doc_id for r in simhash.keep_first(docs, prints=3).collect()}
     assert kept == {k for k in range(len(texts)) if top(k) == k}
     one = simhash.keep_first(docs, prints=1).count()
     assert len(kept) < one and sum(k in kept for k in range(150, 300)) < 0.3 * 150
