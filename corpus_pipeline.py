@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import bpe, mixing, pii, quality, queries, simhash
-from bitloom.llm.common import cut, drop
+from bitloom.llm.common import cut, drop, stage
 from bitloom.sources.shipping import ship
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     ship(spark)
     return quality.keep_good(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays, that of the smallest id. Links are those of the op1 query, and of two more
-    fingerprints of the same kind."""
+    """One document of each SimHash class stays, that of the smallest id. Links are those of the op1 query, and of one more
+    fingerprint of the same kind."""
     ship(spark)
     return simhash.keep_first(docs)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked by its kind, disguised or not."""
     ship(spark)
     return pii.mask(docs)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mix of their sources takes them."""
     ship(spark)
@@ -35,6 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*[f"`{c}`" for c in docs.columns])
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     ship(spark)
@@ -56,8 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again, as a rerun after a loss needs."""
     docs, held = queries.documents(spark, sf_dir), None
-    for _, stage in STAGES[:-1]:
-        kept = cut(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        kept = cut(step(spark, docs, sf_dir))
         if held is not None:
             drop(held)
         docs = held = kept
