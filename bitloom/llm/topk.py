@@ -4,7 +4,8 @@ Vectors are turned into integers, sorted by falling length once and written in t
 bounded sample, moves most of the product into the first coordinates: the partial product over those plus the product of
 the residual lengths (by Cauchy-Schwarz) bounds the whole, and only pairs whose bound reaches the query's k-th best score
 are multiplied out. The k-th best starts from the longest vectors of all, so every task prunes from its first row, a task
-stops at the first row that is too short for all of its queries, and files of shorter rows aren't read at all.
+stops at the first row that is too short for all of its queries, and files of shorter rows aren't read at all. Where the
+bounds leave many pairs, a block of pairs is multiplied out at once, and only scores that reach the k-th best go on.
 
 Queries are broadcast, in as few parts as a bound on their bytes allows: one part, and so one pass over the vectors, for
 up to some 100,000 queries. Candidates are shuffled once, for their order, however many queries there are.
@@ -28,7 +29,8 @@ class Params:
     """head: rotated coordinates of the partial product. seeds: longest vectors; sample: rows the rotation is fitted on.
 
     part_bytes: size of the queries that are broadcast at a time; query_block, rows: queries and candidates whose bounds
-    are held at a time.
+    are held at a time; dense, patience: the share of pairs above which bounds give way to whole products, and for how
+    many blocks they aren't tried again.
     """
 
     k: int = 5
@@ -38,8 +40,17 @@ class Params:
     seeds: int = 2048
     sample: int = 4096
     part_bytes: int = 64 << 20
-    query_block: int = 4096
+    query_block: int = 2048
     rows: int = 1024
+    dense: float = 0.01
+    patience: int = 63
+
+
+#: Integer products of vectors whose lengths multiply to less are exact in 32-bit floats, summed in any order: by
+#: Cauchy-Schwarz no sum of some of their terms is larger.
+NARROW = 2**24
+#: Answers that are gathered before they are sorted in, at least.
+PENDING = 200_000
 
 
 def integers(column: pa.Array, scale: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +82,39 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)], np.int64)
 
 
+class Best:
+    """The k best (score, id) so far of each query, and its floors: a row is of use if it scores more than the floor, or
+    as much with an id no larger than that of the floor."""
+
+    def __init__(self, score: np.ndarray, ident: np.ndarray, k: int) -> None:
+        self.score, self.id, self.k = score.copy(), ident.copy(), k
+        self.held = [(np.zeros(0, np.int64),) * 3]
+        self.fresh = 0
+
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in answers to queries; they are sorted in when they are as many as those that are held."""
+        kept = (scores > self.score[q]) | (scores == self.score[q]) & (ids <= self.id[q])
+        self.held.append((q[kept], scores[kept], ids[kept]))
+        self.fresh += int(kept.sum())
+        if self.fresh > max(PENDING, len(self.held[0][0])):
+            self.settled()
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, scores, ids) of the k best, sorted; the floors rise to the last of each full k."""
+        q, s, i = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        at, score, ident = q[last], s[last], i[last]
+        up = (score > self.score[at]) | (score == self.score[at]) & (ident < self.id[at])
+        self.score[at[up]], self.id[at[up]] = score[up], ident[up]
+        self.held, self.fresh = [(q[rank < self.k], s[rank < self.k], i[rank < self.k])], 0
+        return self.held[0]
+
+
 class Search:
-    """A block of queries with rotation and floors; best() is fed rows and keeps each query's k best."""
+    """A block of queries with rotation and floors; feed() is given rows and keeps each query's k best."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, rotation: np.ndarray, p: Params) -> None:
         self.ids, self.rows, self.rotation, self.p = ids, rows, rotation, p
@@ -80,17 +122,18 @@ class Search:
         self.turned = turned[:, : p.head]
         self.rest = np.sqrt((turned[:, p.head :] ** 2).sum(1))
         self.length = np.sqrt((rows**2).sum(1))
-        self.floor_score = np.full(len(ids), -np.inf)
+        self.floor_score = np.full(len(ids), np.iinfo(np.int64).min)
         self.floor_id = np.full(len(ids), np.iinfo(np.int64).max)
+        self.narrow, self.wait = None, 0
 
-    def start(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def start(self) -> Best:
+        return Best(self.floor_score, self.floor_id, self.p.k)
 
-    def feed(self, best, score_floor, ids, rows):
-        """Merge rows into best = (query places, scores, ids); score_floor falls never and is changed in place.
+    def feed(self, best: Best, ids: np.ndarray, rows: np.ndarray) -> bool:
+        """Merge rows into best.
 
-        Rows come by falling length, so the first run of them that no query can use ends it. Also tells whether the first
-        run was of use; if not, no later row is.
+        Rows come by falling length, so the first run of them that no query can use ends it. Tells whether the first run
+        was of use; if not, no later row is.
         """
         p = self.p
         length = np.sqrt((rows**2).sum(1))
@@ -98,44 +141,75 @@ class Search:
         for s in range(0, len(order), p.rows):
             part = order[s : s + p.rows]
             reach = self.length * length[part[0]]
-            every = np.nonzero(~(reach * (1 + 1e-9) + 1e-6 < score_floor))[0]
+            every = np.nonzero(~(reach * (1 + 1e-9) + 1e-6 < best.score))[0]
             if not len(every):
-                return best, s > 0
-            turned = rows[part] @ self.rotation
-            rest = np.sqrt((turned[:, p.head :] ** 2).sum(1))
-            for block in range(0, len(every), p.query_block):
-                live = every[block : block + p.query_block]
-                bound = self.turned[live] @ turned[:, : p.head].T
-                bound += self.rest[live][:, None] * rest[None, :]
-                slack = 1e-9 * reach[live] + 1e-6
-                q, r = np.nonzero(~(bound < (score_floor[live] - slack)[:, None]))
-                best = self._merge(best, score_floor, live[q], part[r], ids, rows)
-        return best, True
-
-    def _merge(self, best, score_floor, q, r, ids, rows):
-        """best with the pairs of queries q and rows r that are good enough."""
+                return s > 0
+            some = Block(rows[part], self, bool(reach.max() < NARROW))
+            first = ids[part].min()
+            for at in range(0, len(every), p.query_block):
+                live = every[at : at + p.query_block]
+                # where all ids are larger than the floor's, an equal score is of no use
+                floor = best.score[live] + (best.id[live] < first)
+                q, r = self._promising(live, some, floor, reach[live])
+                q, r = live[q], part[r]
+                own = ids[r] == self.ids[q]
+                q, r = q[~own], r[~own]
+                for t in range(0, len(q), 100_000):
+                    qq, rr = q[t : t + 100_000], r[t : t + 100_000]
+                    best.add(qq, exact(self.rows[qq], rows[rr]), ids[rr])
+        return True
+
+    def _promising(self, live: np.ndarray, some: Block, floor: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in live, places in the block) of all pairs that may score as much as the floor, and few others.
+
+        By partial products and Cauchy-Schwarz; where these leave more than p.dense of the pairs, as on vectors without
+        long directions, by whole products, and the next p.patience blocks at once by those.
+        """
         p = self.p
-        own = ids[r] == self.ids[q]
-        q, r = q[~own], r[~own]
-        for t in range(0, len(q), 100_000):
-            qq, rr = q[t : t + 100_000], r[t : t + 100_000]
-            scores = exact(self.rows[qq], rows[rr])
-            kept = (scores > self.floor_score[qq]) | (scores == self.floor_score[qq]) & (ids[rr] <= self.floor_id[qq])
-            kept &= scores >= score_floor[qq]
-            best = tuple(np.concatenate(x) for x in zip(best, (qq[kept], scores[kept], ids[rr][kept])))
-            best = tuple(x[np.lexsort((best[2], -best[1], best[0]))] for x in best)
-            rank = np.arange(len(best[0])) - np.searchsorted(best[0], best[0])
-            full = rank == p.k - 1
-            score_floor[best[0][full]] = np.maximum(score_floor[best[0][full]], best[1][full])
-            best = tuple(x[rank < p.k] for x in best)
-        return best
+        floor = floor.astype(some.kind)
+        if self.wait:
+            self.wait -= 1
+        else:
+            bound = self._side(0, some.kind)[live] @ some.bounds().T
+            slack = (p.head + 8) * 2.0**-22 * reach if some.kind is np.float32 else 1e-9 * reach
+            low = bound < (floor - slack - 1e-6).astype(some.kind)[:, None]
+            if low.size - np.count_nonzero(low) <= p.dense * low.size:
+                return np.divmod(np.flatnonzero(~low), low.shape[1])
+            self.wait = p.patience
+        product = self._side(1, some.kind)[live] @ some.rows.T
+        least = floor if some.kind is np.float32 else floor - 1e-9 * reach - 1e-6
+        return np.divmod(np.flatnonzero(~(product < least[:, None])), product.shape[1])
+
+    def _side(self, which: int, kind: type) -> np.ndarray:
+        """The queries' turned coordinates with the lengths of their rests (0), or their rows (1), as numbers of this kind."""
+        if self.narrow is None or self.narrow[0] is not kind:
+            self.narrow = kind, np.column_stack([self.turned, self.rest]).astype(kind), self.rows.astype(kind)
+        return self.narrow[1 + which]
 
     def settle(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Take the k-th best among these rows as every query's floor."""
-        (q, s, i), _ = self.feed(self.start(), np.full(len(self.ids), -np.inf), ids, rows)
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        last = rank == self.p.k - 1
-        self.floor_score[q[last]], self.floor_id[q[last]] = s[last], i[last]
+        best, done, take = self.start(), 0, 32
+        while done < len(ids):
+            # few first, so that later ones meet a floor
+            self.feed(best, ids[done : done + take], rows[done : done + take])
+            best.settled()
+            done, take = done + take, 2 * take
+        self.floor_score, self.floor_id, self.narrow = best.score, best.id, None
+
+
+class Block:
+    """Rows to be held against queries: in 32-bit floats where all partial sums of products are exact in these."""
+
+    def __init__(self, rows: np.ndarray, asked: Search, narrow: bool) -> None:
+        self.kind = np.float32 if narrow else np.float64
+        self.whole, self.asked, self.rows = rows, asked, rows.astype(self.kind)
+
+    def bounds(self) -> np.ndarray:
+        """Turned coordinates and the length of the rest; made when first asked for."""
+        if self.whole is not None:
+            turned, head = self.whole @ self.asked.rotation, self.asked.p.head
+            self.turned, self.whole = np.column_stack([turned[:, :head], np.sqrt((turned[:, head:] ** 2).sum(1))]).astype(self.kind), None
+        return self.turned
 
 
 def search(vectors: DataFrame, params: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -196,12 +270,13 @@ def _part(table: DataFrame, asked: Search, seed_ids: np.ndarray, seeds: np.ndarr
 
     def run(batches):
         s = take()
-        best, floor, more = s.start(), s.floor_score.copy(), True
+        best, more = s.start(), True
         for batch in batches:
             if more:
                 at, rows = integers(batch.column(1), scale, dim)
-                best, more = s.feed(best, floor, batch.column(0).to_numpy()[at].astype(np.int64), rows)
-        yield pa.RecordBatch.from_arrays([pa.array(s.ids[best[0]], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.int64())], names=["query_id", "vec_id", "score"])
+                more = s.feed(best, batch.column(0).to_numpy()[at].astype(np.int64), rows)
+        q, scores, ids = best.settled()
+        yield pa.RecordBatch.from_arrays([pa.array(s.ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
     return live.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
 

@@ -75,3 +75,26 @@ def test_pruning_does_prune():
     s.settle(np.arange(1000, 3000), rows[1000:3000])
     reach = (s.turned @ (rows @ s.rotation)[:, : p.head].T) + s.rest[:, None] * np.sqrt(((rows @ s.rotation)[:, p.head :] ** 2).sum(1))
     assert (reach >= s.floor_score[:, None]).mean() < 0.02
+
+
+def test_few_pairs_are_multiplied_one_by_one(monkeypatch):
+    """On vectors of one length without long directions no bound prunes; also where many are copies of one another."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(12_000, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None])
+    rows[6_000:] = rows[0]
+    ids, done, real = np.arange(len(rows)), [], topk.exact
+    monkeypatch.setattr(topk, "exact", lambda a, b: done.append(len(a)) or real(a, b))
+    s = topk.Search(ids[:200], rows[:200], np.linalg.svd(rows[:4096])[2].T, topk.Params())
+    s.settle(ids[:2048], rows[:2048])
+    best = s.start()
+    for k in range(0, len(rows), 1000):
+        s.feed(best, ids[k : k + 1000], rows[k : k + 1000])
+    got = best.settled()
+    assert sum(done) < 0.03 * 200 * len(rows)
+    scores = rows[:200] @ rows.T
+    for q in range(200):
+        want = [i for i in np.lexsort((ids, -scores[q])) if i != q][:5]
+        assert got[2][got[0] == q].tolist() == want and got[1][got[0] == q].tolist() == scores[q][want].astype(int).tolist()
