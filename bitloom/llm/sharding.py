@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve; DataFrame functions only.
 
-Four metadata columns are quantised to 4 bits each, language, source, length and id, by values that part the rows of a
-bounded sample, chosen by hash, into sixteen.
+Four metadata columns are quantised to 4 bits each, language, source, length and id, by values that part all rows into
+sixteen; these are exact, from counted distinct values.
 The cell's index on a four-dimensional Hilbert curve orders the rows, and equal runs of that order are the shards, so a
 shard covers few values of each column and readers can skip it by its statistics. Ranks are exact without a global
 sort: at most 65,536 cells are counted and ordered, each cell is dealt into buckets of bounded size, and a row's rank is
@@ -17,12 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import cut, drop, free_name
+from bitloom.operators.stats import at_ranks
 
 BITS, DIMS = 4, 4
 #: Rows of a cell that one bucket gets, about.
 BUCKET = 4096
-#: Rows whose values decide the cuts of the axes, about; and rows of one written file.
-SAMPLE = 20_000
+#: Rows of one written file.
 FILE_ROWS = 1_000_000
 
 
@@ -54,12 +54,11 @@ def hilbert(cells: DataFrame, axes: list[str], out: str, bits: int = BITS) -> Da
     return df.withColumn(out, index).drop("_t", "_u", *[f"_{c}{k}" for c in "xy" for k in range(n)])
 
 
-def _cuts(values: list) -> list:
-    """The values that part these into sixteen, as near as repeated ones allow; nulls come before all of them."""
-    known = sorted(v for v in values if v is not None)
-    nulls = len(values) - len(known)
-    places = [len(values) * k // 16 - nulls for k in range(1, 16)]
-    return sorted({known[max(0, k - 1)] for k in places if known and k > 0})
+def _cuts(df: DataFrame, value: str, rows: int) -> list:
+    """The values that part these rows into sixteen, as near as repeated ones allow; nulls come before all of them."""
+    ranks = {f"r{j}": F.col("n") - (rows - rows * j // 16) - 1 for j in range(1, 16)}
+    found = at_ranks(df.select(F.lit(0).alias("g"), value), ["g"], value, **ranks).select(*ranks).first()
+    return sorted({v for v in found or () if v is not None})
 
 
 def _quantised(c: Column, cuts: list) -> Column:
@@ -73,18 +72,15 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     The law is `rows`: shards' counts differ by one at most. size: bytes of the text (null: none) plus 1. Rows of one
     cell are ordered by the hash of their id, then id, checksum and size; rows that agree in all are alike, so any order
     of them is the same result. Null metadata come first; an empty table gives no rows; other columns don't matter,
-    whatever their names. The cuts come from rows chosen by hash, so reruns give the same shards.
+    whatever their names. The cuts come from all rows, so reruns give the same shards.
     """
     name = lambda c: F.col(f"`{c}`")
     text = F.coalesce(name(text_col), F.lit("")).cast("binary")
     number = lambda c: F.xxhash64(name(c)) if docs.schema[c].dataType.simpleString() == "string" else name(c).cast("long")
     whole = docs.select(name(id_col).alias("id"), *[name(c).cast("string").alias(f"x{k}") for k, c in enumerate(strings)], name(length_col).cast("long").alias("x2"), number(id_col).alias("x3"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"))
     whole = cut(whole)
-    chance = F.xxhash64(*whole.columns)
-    step = max(1, whole.count() // SAMPLE)
-    # equal rows share a hash, hence the limit beside it
-    picked = whole.where(F.pmod(chance, F.lit(step)) == 0).select(chance.alias("chance"), "x0", "x1", "x2", "x3").orderBy("chance").limit(4 * SAMPLE).collect()
-    cell = reduce(lambda s, a: s * 16 + a, [_quantised(F.col(f"x{k}"), _cuts([r[f"x{k}"] for r in picked])) for k in range(DIMS)])
+    rows = whole.count()
+    cell = reduce(lambda s, a: s * 16 + a, [_quantised(F.col(f"x{k}"), _cuts(whole, f"x{k}", rows)) for k in range(DIMS)])
     slim = cut(whole.select("id", "size", "crc", cell.alias("cell")))
     drop(whole)
 

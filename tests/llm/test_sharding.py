@@ -90,3 +90,9 @@ def test_shards_of_a_hot_cell_are_written_by_many_tasks(spark, make_docs, tmp_pa
     for folder in (0, 1):
         rows = [r.doc_id for f in sorted(tmp_path.glob(f"out/shard_1={folder}/*.parquet")) for r in spark.read.parquet(str(f)).collect()]
         assert [slots[i] for i in rows] == [(folder, k) for k in range(100)]
+
+
+def test_cuts_part_all_rows_and_not_a_sample(spark):
+    """65,536 ids and nothing else to part them: each sixteenth is one cell, to the row."""
+    docs = spark.range(65_536).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("n_chars"))
+    assert [r["count"] for r in sharding.shards(docs).groupBy("curve").count().collect()] == [4096] * 16
